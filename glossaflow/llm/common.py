@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Rows per Arrow batch for whole-text Python stages: long texts stay within memory.
@@ -67,7 +69,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch, as a batch holds whole texts."""
+    """Readies a session for Python stages over texts: workers get the package, and a batch few rows, as it holds whole texts."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 

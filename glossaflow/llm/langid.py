@@ -97,6 +97,7 @@ class Filters:
     slots: np.ndarray  # (slots, words)
     wrong: np.ndarray  # false-positive rate of each language
     hashes: int = 3
+    usual: str = UNKNOWN  # the most frequent language of the training texts
 
     @classmethod
     def build(cls, grams: dict[str, np.ndarray], bits: int, hashes: int = 3) -> Filters:
@@ -124,8 +125,8 @@ class Filters:
             out = self.slots[at] if out is None else out & self.slots[at]
         return out
 
-    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) corrected share of grams; which texts have a letter."""
+    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, languages) corrected share of grams; which texts have a letter; number of grams."""
         h, owner, lettered = gram_hashes(texts)
         n = np.bincount(owner, minlength=len(texts)).astype(float)
         masks = self.masks(h)
@@ -134,7 +135,7 @@ class Filters:
             has = masks[:, i // 64] >> masks.dtype.type(i % 64) & masks.dtype.type(1)
             count = np.bincount(owner[has.astype(bool)], minlength=len(texts))
             out[:, i] = np.clip((count - n * wrong) / (np.maximum(n, 1) * (1 - wrong)), 0, 1)
-        return out, lettered
+        return out, lettered, n
 
 
 def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -172,23 +173,27 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
     totals = {r["lang"]: r["t"] for r in kept.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     least = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, rate * totals.get(k, 1))])
     found = kept.filter(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()
-    return Filters.build({k: v["gram"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")} | {k: np.zeros(0, np.uint64) for k in set(sizes) - set(found["lang"])}, bits)
+    grams = {k: v["gram"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")}
+    filters = Filters.build({k: grams.get(k, np.zeros(0, np.uint64)) for k in sizes}, bits)
+    filters.usual = max(sorted(sizes), key=sizes.get)
+    return filters
 
 
 def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_share (names get underscores before them if docs has them).
+    """docs with lang_pred, lang_score, lang_share and lang_grams (names get underscores before them if docs has them).
 
     lang_pred is ``und`` with score 0 for null texts and texts without a letter (and
     when no language is known). lang_score is the winner's part of the two largest
-    shares, lang_share the share of the text's grams that its language contains.
-    Ties go to the first language by code point. Empty tables give empty ones.
+    shares, lang_share the share of the text's lang_grams grams that its language
+    contains. Texts without a known gram are given the most frequent language; other
+    ties go to the first by code point. Empty tables give empty ones.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    names = {n: free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_share")}
+    names = {n: free_name(docs, n) for n in ("lang_pred", "lang_score", "lang_share", "lang_grams")}
     state = free_name(docs, "lang_state")
 
-    @F.pandas_udf("lang string, score double, share double")
+    @F.pandas_udf("lang string, score double, share double, grams long")
     def predict(texts: pd.Series) -> pd.DataFrame:
         f = shared.value
         made = []
@@ -200,25 +205,29 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
                 size += len(rows[end])
                 end += 1
             part = rows[at:end]
-            shares, lettered = f.shares(part)
+            shares, lettered, grams = f.shares(part)
             for i in range(len(part)):
                 if not lettered[i] or not f.langs:
-                    made.append((UNKNOWN, 0.0, 0.0))
+                    made.append((UNKNOWN, 0.0, 0.0, int(grams[i])))
                     continue
                 best = int(np.argmax(shares[i]))
                 top = float(shares[i][best])
                 second = float(np.partition(shares[i], -2)[-2]) if len(f.langs) > 1 else 0.0
-                made.append((f.langs[best], top / (top + second) if top > 0 else 1.0 / len(f.langs), top))
+                made.append((f.langs[best] if top > 0 else f.usual, top / (top + second) if top > 0 else 1.0 / len(f.langs), top, int(grams[i])))
             at = end
-        return pd.DataFrame(made, columns=["lang", "score", "share"])
+        return pd.DataFrame(made, columns=["lang", "score", "share", "grams"])
 
     out = spread(docs).withColumn(state, predict(F.col(f"`{text}`")))
     s = F.col(state)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], s["lang"].alias(names["lang_pred"]), s["score"].alias(names["lang_score"]), s["share"].alias(names["lang_share"]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], s["lang"].alias(names["lang_pred"]), s["score"].alias(names["lang_score"]), s["share"].alias(names["lang_share"]), s["grams"].alias(names["lang_grams"]))
 
 
-def keep_known(docs: DataFrame, filters: Filters, least_share: float = 0.2, **kw) -> DataFrame:
-    """docs in a language of the filters; rejected: und, and texts of which the language contains less than least_share."""
-    pred, share = free_name(docs, "lang_pred"), free_name(docs, "lang_share")
+def keep_known(docs: DataFrame, filters: Filters, least_share: float = 0.2, least_grams: int = 20, **kw) -> DataFrame:
+    """docs in a language of the filters; all columns are kept.
+
+    Rejected: und, and texts of least_grams grams or more of which the predicted
+    language contains less than least_share.
+    """
+    pred, share, grams = (free_name(docs, n) for n in ("lang_pred", "lang_share", "lang_grams"))
     found = identify(docs, filters, **kw)
-    return found.filter((F.col(pred) != UNKNOWN) & (F.col(share) >= least_share)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter((F.col(pred) != UNKNOWN) & ((F.col(share) >= least_share) | (F.col(grams) < least_grams))).select(*[F.col(f"`{c}`") for c in docs.columns])
