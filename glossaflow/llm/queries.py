@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, media, mixing, pii, ppm, simhash
+from . import decontaminate, html, langid, linededup, media, mixing, pii, ppm, quality, simhash
 from .common import read_table
 
 
@@ -34,6 +34,20 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose a passage: what is cut, by original offsets, and which documents keep it."""
+    runs = linededup.repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    span = F.struct("start", "end", "words", "kept_in")
+    per = runs.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(span)).alias("s"))
+    return per.select(
+        "doc_id",
+        F.size("s").cast("long").alias("n_spans"),
+        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("n_words"),
+        F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: x["kept_in"])))).alias("kept_in"),
+    )
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -45,6 +59,13 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    found = quality.classify(docs, quality.fit(docs, quality.labelled_sample(docs, labels)))
+    return found.select("doc_id", "quality", F.col("toxic").alias("toxic_score"), (F.col("toxic") >= 0.5).alias("toxic"), "keep")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -74,4 +95,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_mixing, op3_pii, op5_html, op6_ppm, op8_simhash, op9_decontaminate, op10_media)}
+    return {f.__name__: f for f in (op1_langid, op2_mixing, op3_pii, op4_linededup, op5_html, op6_ppm, op7_quality, op8_simhash, op9_decontaminate, op10_media)}
