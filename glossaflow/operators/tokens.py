@@ -124,3 +124,17 @@ def merge_subwords(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.min_by("label", F.struct(rank.alias("r"), "unit_no", "piece_no")).alias("main_label"),
         F.bool_or(F.col("label").startswith("B-")).alias("has_b"),
     )
+
+
+def drop_special(df: DataFrame, unknown: bool = False) -> DataFrame:
+    """df without [CLS], [SEP] and [PAD]; with unknown also without [UNK] and tokens of no width at 0."""
+    df = df.filter(~F.col("token").isin("[CLS]", "[SEP]", "[PAD]"))
+    return df.filter((F.col("token") != "[UNK]") & ~((F.col("start_b") == 0) & (F.col("end_b") == 0))) if unknown else df
+
+
+def repair_offsets(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Ends before starts are swapped; a token at (0, 0) goes if one before it ends elsewhere."""
+    before = F.lag("end_b").over(Window.partitionBy(*keys).orderBy(order))
+    lost = (F.col("start_b") == 0) & (F.col("end_b") == 0) & (F.coalesce("_before", F.lit(0)) != 0)
+    fixed = df.withColumns({"start_b": F.least("start_b", "end_b"), "end_b": F.greatest("start_b", "end_b")}).withColumn("_before", before)
+    return fixed.filter(~lost).drop("_before")

@@ -220,6 +220,9 @@ SELECT *, CASE WHEN exact + partial = 0 THEN '❌ Ничего не найден
 array_to_string(list_concat([-1], wids, [-1], list_transform(range(126 - len(ids)), lambda x: -1)), ' ') AS word_ids, CAST(err AS BIGINT) AS err FROM enc""",
         "attention_mask": f"{ENC} SELECT {KEY}, repeat('1', len(ids) + 2) || repeat('0', 126 - len(ids)) AS mask, len(ids) + 2 AS n FROM enc",
         "decode_roundtrip": f"{ENC} SELECT {KEY}, replace(array_to_string(tokens, ' '), ' ##', '') AS decoded FROM enc",
+        "offset_repair": f"""WITH {UNITS}, hurt AS (SELECT {KEY}, unit_no, unit, CASE WHEN unit_no % 7 = 3 THEN 0 ELSE start_b END AS a, CASE WHEN unit_no % 7 = 3 THEN 0 ELSE end_b END AS b FROM units),
+prev AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY {KEY} ORDER BY unit_no), 0) AS was FROM hurt)
+SELECT {KEY}, unit_no, unit, a AS start_b, b AS end_b FROM prev WHERE NOT (a = 0 AND b = 0 AND was <> 0)""",
         "argmax_labels": f"SELECT vec_id, l AS label_id, {NAMES}[1 + l] AS label FROM (SELECT vec_id, CAST(list_position(embedding[1:11], list_max(embedding[1:11])) - 1 AS BIGINT) AS l FROM embeddings)",
         "subword_merge": f"""{LSUBS}, grp AS (SELECT *, CAST(sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY {KEY} ORDER BY unit_no, piece_no) AS BIGINT) AS word_no,
 CASE WHEN starts_with(label, 'B-') THEN 0 WHEN starts_with(label, 'I-') THEN 1 ELSE 2 END AS r FROM lab)

@@ -308,6 +308,14 @@ def decode_roundtrip(spark, d):
     return _encoded(spark, d).select(*TURN, long("sent_no").alias("sent_no"), tokens.decode(F.col("tokens")).alias("decoded"))
 
 
+def offset_repair(spark, d):
+    """Units whose places were damaged on purpose: swapped, or set to zero."""
+    swapped, zero = F.col("unit_no") % 5 == 0, F.col("unit_no") % 7 == 3
+    places = {"start_b": F.when(zero, 0).when(swapped, F.col("end_b")).otherwise(F.col("start_b")), "end_b": F.when(zero, 0).when(swapped, F.col("start_b")).otherwise(F.col("end_b"))}
+    df = tokens.repair_offsets(_units(spark, d).withColumns(places), BY, "unit_no")
+    return df.select(*TURN, long("sent_no").alias("sent_no"), long("unit_no").alias("unit_no"), "unit", long("start_b").alias("start_b"), long("end_b").alias("end_b"))
+
+
 def argmax_labels(spark, d):
     df = table(spark, d, "embeddings").select("vec_id", taggers.argmax(F.slice("embedding", 1, len(schema.LABELS))).alias("label_id"))
     return df.select("vec_id", long("label_id").alias("label_id"), schema.label_name(F.col("label_id")).alias("label"))
@@ -404,7 +412,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         cyrillic_detect, string_primitives, snippet_truncate, highlight_mark, html_escape, file_sizes, label_decode, unit_offsets, entities_bytes, entities_chars,
         sentence_structure, markup_stream, console_by_type, global_stats, category_totals, sentence_parts, category_share, top_member_per_category, search_items,
         file_totals, search_relevance, search_relevance_typed, search_hit_stats, search_reset, vocabulary, wordpiece_tokens, subtoken_offsets, encode_padded, attention_mask,
-        decode_roundtrip, argmax_labels, subword_merge, bio_encode, bio_violations, invalid_labels, align_subtoken_labels, label_counts, base_class_counts, train_val_split,
+        decode_roundtrip, offset_repair, argmax_labels, subword_merge, bio_encode, bio_violations, invalid_labels, align_subtoken_labels, label_counts, base_class_counts, train_val_split,
         gold_span_align, confusion_matrix, confusion_normalized, per_class_prf, weighted_prf, macro_best_worst,
     )
     found = {f.__name__: f for f in named}
