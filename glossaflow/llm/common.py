@@ -21,13 +21,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one in tests."""
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/glossaflow-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base if "://" in base else f"file://{base}"
+        base = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='glossaflow-shared-')}")
+    if base not in _local:  # a path without a scheme belongs to the default file system
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        _local[base] = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    return _local[base]
 
 
 _made: list[tuple[SparkSession, str]] = []
