@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, spread, stored
 
-#: Bits of a refinement step, in hex digits: 4096 ranges a source and step.
-DIGITS = 3
+#: Hex digits of the key that a refinement step looks at: 256 ranges a source and step.
+DIGITS = 2
 
 
 def word_count(text: Column) -> Column:
@@ -76,7 +76,7 @@ def mix(
     share: tuple[int, int] = (3, 2),
     most: int = 2,
     seed: int = 42,
-    range_rows: int = 50_000,
+    range_rows: int = 2_000,
 ) -> DataFrame:
     """docs with size, source_size, target and taken (names get underscores before them if docs has them).
 
