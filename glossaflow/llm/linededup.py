@@ -1,6 +1,15 @@
 """Substring dedup by hashing lines and their parts.
 
-Units: a line is cut behind a word that ends a sentence or whose checksum is a
+Passages (``passages``, ``remove``): the words of a text are one stream, whatever its
+lines. A cut comes behind the word pair of least hash of every ``window`` neighbouring
+pairs, so cuts depend on the words around them alone, are in step ``window`` words
+into a passage at the latest, and are never more than ``window`` words apart. At each
+cut, and at the text's end, the words back to the nearest cut that leaves
+``least_unit`` words or more are hashed: a short piece is never judged by itself and
+never breaks a run. What is lost of a passage are the words before its first and
+behind its last cut.
+
+Units (``units``, ``repeated``), the older form, which stays within lines: a line is cut behind a word that ends a sentence or whose checksum is a
 multiple of ``cut``, if the unit has ``least_unit`` words by then. So cuts depend on
 the words around them alone, and a passage gives the same units wherever it stands in
 a line. Units are normalised (case, white space), hashed, and grouped globally; the
@@ -63,6 +72,82 @@ def _digest(words: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def spans(text: str, least_unit: int = 6, window: int = 12, codes: dict[str, int] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(digest, start, end, words, number of the last word) at each cut of the text."""
+    codes = {} if codes is None else codes
+    at = [m.span() for m in _WORD.finditer(text)]
+    words = [text[a:b].lower() for a, b in at]
+    n = len(words)
+    cuts = [0]
+    if n > window:
+        for w in words:
+            if w not in codes:
+                codes[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = np.fromiter(map(codes.__getitem__, words), np.uint64, n)
+        pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        pair ^= pair >> np.uint64(29)
+        least = np.lib.stride_tricks.sliding_window_view(pair, window).argmin(1)
+        cuts += (np.unique(least + np.arange(len(least))) + 2).tolist()
+    if cuts[-1] < n:
+        cuts.append(n)
+    first, made = 0, False
+    for end in cuts[1:]:
+        while cuts[first + 1] <= end - least_unit:
+            first += 1
+        begin = cuts[first] if made else 0
+        if end - begin >= least_unit:
+            made = True
+            yield _digest(words[begin:end]), at[begin][0], at[end - 1][1], end - begin, end - 1
+
+
+def _scan_spans(least_unit: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, ...]] = []
+            sizes = []
+            codes: dict[str, int] = {}
+            for t in batch.column(1).to_pylist():
+                n = len(rows)
+                rows += spans(t or "", least_unit, window, codes)
+                sizes.append(len(rows) - n)
+            made = np.array(rows, np.int64).reshape(-1, 5)
+            parent = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            ids, keys = batch.column(0).take(parent), batch.column(2).take(parent)
+            for at in range(0, len(made), 1 << 16):
+                s = slice(at, at + (1 << 16))
+                columns = {name: made[s, i].astype(np.int32) for name, i in (("no", 4), ("start", 1), ("end", 2), ("words", 3))}
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[s], "tk": keys[s], "digest": made[s, 0]} | columns)
+
+    return run
+
+
+def _again(found: DataFrame, apart: bool = False) -> DataFrame:
+    """The rows of found whose digest has an occurrence of lesser rank, each once, with the doc_id that keeps it."""
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
+    per = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    # the same document's rows have equal places: they are told apart by nothing, and count once
+    again = found.join(per.select("digest", "first"), "digest").filter(place != F.col("first"))
+    if apart:  # a span that reaches into the one that stays, in the same text, must not take its words
+        same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tk").eqNullSafe(F.col("first.tk"))
+        again = again.filter(~(same & (F.col("no") - F.col("words") < F.col("first.no"))))
+    return again.groupBy("doc_id", "tk", "no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.first("first.doc_id").alias("kept"))
+
+
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, least_run: int = 20, window: int = 12) -> DataFrame:
+    """One row per removed run, as repeated() has them, but of spans that overlap or touch, across line ends."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {kind}, tk long, digest long, no int, start int, end int, words int"
+    again = _again(stored(spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan_spans(least_unit, window), columns), "dedup-spans"), apart=True)
+    again = again.withColumn("begin", F.col("no") - F.col("words"))  # the number of the word before
+    order = Window.partitionBy("doc_id", "tk").orderBy("no")
+    apart = F.coalesce(F.col("begin") > F.lag("no").over(order), F.lit(False))
+    runs = again.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order))
+    out = runs.groupBy("doc_id", "tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("no") - F.min("begin")).alias("words"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
+    return out.filter(F.col("words") >= least_run).drop("run")
+
+
 def _scan(least_unit: int, cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +183,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = stored(spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan(least_unit, cut), f"doc_id {kind}, tk long, digest long, no int, start int, end int, words int"), "dedup-units")
-    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
-    per = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    # the same document's rows have equal places: they are told apart by nothing, and count once
-    again = found.join(per.select("digest", "first"), "digest").filter(place != F.col("first"))
-    again = again.groupBy("doc_id", "tk", "no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.first("first.doc_id").alias("kept"))
+    again = _again(found)
     order = Window.partitionBy("doc_id", "tk").orderBy("no")
     runs = again.withColumn("run", F.col("no") - F.row_number().over(order))
     out = runs.groupBy("doc_id", "tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
@@ -115,7 +196,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) ->
     removed gets underscores before it if docs has it. Null texts stay null.
     """
     out, key = free_name(docs, "removed"), free_name(docs, "tk")
-    spans = repeated(docs, doc_id, text, **kw).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = passages(docs, doc_id, text, **kw).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
     spans = spans.withColumnsRenamed({"doc_id": "_sid", "tk": "_stk"})
     t = F.col(f"`{text}`")
     df = docs.withColumn(key, F.xxhash64(t))

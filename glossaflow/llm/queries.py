@@ -36,7 +36,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose a passage: what is cut, by original offsets, and which documents keep it."""
-    runs = linededup.repeated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs = linededup.passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     span = F.struct("start", "end", "words", "kept_in")
     per = runs.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(span)).alias("s"))
     return per.select(

@@ -91,3 +91,61 @@ def test_against_brute_force(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert linededup.repeated(none).count() == 0 and linededup.remove(none).count() == 0
+
+
+def windows_seen_before(docs, size=6):
+    """Of each document, by doc_id, the words that stand in a window of size words which an earlier document or place has."""
+    seen, out = set(), {}
+    for d, t in sorted(docs):
+        words = t.lower().split()
+        out[d] = set()
+        for i in range(len(words) - size + 1):
+            w = tuple(words[i : i + size])
+            if w in seen:
+                out[d] |= set(range(i, i + size))
+            seen.add(w)
+    return out
+
+
+def test_passages_whatever_the_lines(spark):
+    """Copies of passages of over 50 words, set in lines of other lengths: all but few words at the ends go, and nothing else."""
+    rng = random.Random(3)
+    say = lambda n: ["w%d" % rng.randrange(50_000) for _ in range(n)]
+
+    def lines(words, least, most):
+        out = []
+        while words:
+            n = rng.randrange(least, most + 1)
+            out.append(" ".join(words[:n]))
+            words = words[n:]
+        return "\n".join(out)
+
+    docs, planted = [], {}
+    for i in range(40):
+        passage = say(rng.randrange(51, 120))
+        a, b = say(rng.randrange(5, 90)), say(rng.randrange(5, 90))
+        docs.append((2 * i, lines([*a, *passage, *b], 8, 12)))
+        a = say(rng.randrange(5, 90))
+        docs.append((2 * i + 1, lines([*a, *passage, *say(30)], *[(1, 5), (8, 12), (200, 300)][i % 3])))
+        planted[2 * i + 1] = range(len(a), len(a) + len(passage))
+    docs += [(100, docs[0][1]), (101, lines(docs[2][1].split(), 2, 4)), (102, "é " * 3000), (103, "a\nb\nc")]
+    brute = windows_seen_before(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    gone = {d: set() for d, _ in docs}
+    texts = dict(docs)
+    for r in linededup.passages(df).collect():
+        before = len(texts[r["doc_id"]][: r["start"]].split())
+        assert len(texts[r["doc_id"]][r["start"] : r["end"]].split()) == r["words"] >= 20
+        gone[r["doc_id"]] |= set(range(before, before + r["words"]))
+    lost = []
+    for d, want in planted.items():
+        assert gone[d] <= set(want) and gone[d] <= brute[d], d
+        assert gone[d] == set(range(min(gone[d]), max(gone[d]) + 1))
+        lost += [min(gone[d]) - want[0], want[-1] - max(gone[d])]
+    assert max(lost) <= 24 and sum(lost) / len(lost) < 8, lost
+    assert not any(gone[2 * i] for i in range(40)) and not gone[103]
+    for d in (100, 101):  # whole copies go whole, however they are set
+        assert gone[d] == brute[d] == set(range(len(texts[d].split())))
+    assert set(range(6, 2980)) <= gone[102] <= set(range(6, 3000))
+    kept = {r["doc_id"]: r["text"] for r in linededup.remove(df).collect()}
+    assert kept[101] == "" and 6 <= len(kept[102].split()) <= 26
