@@ -1,17 +1,17 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-The trie holds contexts of up to five bytes with the counts of the symbols that
-follow (255 possible: the bytes of UTF-8 and an end). Contexts of up to two bytes are
-all kept, longer ones if they precede at least ``rate`` of all symbols: at most
-1 / rate of each length, whatever the corpus size, from counts over all texts.
-Counting is distributed: each task turns its texts into 6-byte keys, and equal keys
-are summed by Spark.
-
-Probabilities: method C escapes with symbol exclusion; a symbol's probability in a
-context is fixed once counting is done, so the trie is unfolded into one row of
-log10 probabilities for each context, and scoring is a search for the longest
-context, a lookup and a sum. The unfolded trie goes out in blocks of at most
-``block_cells`` cells: one block for usual alphabets, further narrow passes beyond.
+The trie holds all contexts of up to five bytes with the counts of the symbols that
+follow (255 possible: the bytes of UTF-8 and an end). Counting is distributed: each
+task turns its texts into 6-byte keys (five bytes of context and a symbol), and equal
+keys are summed by Spark. Keys of texts outside the training set count 0.
+
+Probabilities: method C escapes with symbol exclusion. A symbol's probability is fixed
+by its key once counting is done, and the symbols of a context are among those of
+each of its suffixes, so the keys that share the last two bytes of the context are
+worked out together, a group a time, with the counts of the contexts of one byte
+(65,536 at most) at hand. The (key, log10 probability) table stays distributed;
+scoring is a lookup and a sum. The table goes out in blocks of about
+``block_cells`` / 10 keys, a pass over the texts each, so no block grows with the corpus.
 
 Beside the trie, the base model: add-half unigram probabilities of words. Its counts
 grow with the corpus and are never collected: (word, text) pairs are shuffled once
@@ -79,21 +79,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return k[first], np.add.reduceat(c, first) if len(k) else c
 
     for batch in batches:
-        for part in _parts([_bytes(t) for t in batch.column(0).to_pylist()]):
-            k, _ = _keys(part)
-            waiting.append(np.unique(k, return_counts=True))
-            if len(waiting) >= 16:
-                keys, n = merged()
-                waiting = []
+        texts, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for flag in (True, False):
+            for part in _parts([_bytes(t) for t, f in zip(texts, flags) if bool(f) == flag]):
+                k, c = np.unique(_keys(part)[0], return_counts=True)
+                waiting.append((k, c * flag))
+                if len(waiting) >= 16:
+                    keys, n = merged()
+                    waiting = []
     keys, n = merged()
     for at in range(0, len(keys), 1 << 16):
         yield pa.RecordBatch.from_pydict({"k": keys[at : at + (1 << 16)], "n": n[at : at + (1 << 16)].astype(np.int64)})
 
 
-def count_contexts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(k, n): counts of each 6-byte key over all docs."""
+def count_contexts(docs: DataFrame, text: str = "text", train: Column | None = None) -> DataFrame:
+    """(k, n): each 6-byte key of docs, and how often the training texts (all, without train) have it."""
     small_batches(docs.sparkSession)
-    slim = spread(docs.select(F.col(f"`{text}`").alias("text")))
+    slim = spread(docs.select(F.col(f"`{text}`").alias("text"), (F.lit(True) if train is None else train).alias("train")))
     return stored(slim.mapInArrow(_count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "ppm-counts")
 
 
@@ -131,126 +133,112 @@ class Places:
         return out
 
 
-class Trie:
-    """The unfolded trie: all contexts by length, and the rows of some of them."""
+class Block:
+    """Some keys of the table and their log10 probabilities."""
 
-    def __init__(self, contexts: list[np.ndarray], rows: np.ndarray, column: np.ndarray, table: np.ndarray, own: np.ndarray | None):
-        self.contexts, self.rows, self.column, self.table, self.own = contexts, rows, column, table, own
-        self._short: np.ndarray | None = None
+    def __init__(self, keys: np.ndarray, p: np.ndarray):
+        self.keys, self.p = keys, np.r_[p, 0].astype(np.float32)
+        self._places: Places | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_short": None, "_places": None}
-
-    def _ready(self) -> None:
-        """Places of all contexts: dense for up to two bytes, hashed for longer ones."""
-        if self._short is None:
-            first = np.cumsum([0, *map(len, self.contexts)])
-            self._places = {k: (Places(self.contexts[k]), int(first[k])) for k in range(3, ORDER + 1) if len(self.contexts[k])}
-            short = np.zeros(1 << 16, np.int32)
-            short.reshape(256, 256)[:, self.contexts[1]] = first[1] + np.arange(len(self.contexts[1]))
-            short[self.contexts[2]] = first[2] + np.arange(len(self.contexts[2]))
-            self._short = short
+        return self.__dict__ | {"_places": None}
 
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text, the sum over the symbols whose context is in this block."""
-        self._ready()
+        """Of each text, the sum over the symbols whose key is in this block."""
+        if self._places is None:
+            self._places = Places(self.keys)
         out = []
         for part in _parts(texts, 1 << 19):
             keys, sizes = _keys(part)
-            at = self._short[keys >> 8 & 0xFFFF]
-            todo = np.arange(len(keys))
-            for k in sorted(self._places):  # a context is kept only if its suffixes are
-                places, first = self._places[k]
-                i = places.find((keys[todo] >> 8) & ((1 << 8 * k) - 1))
-                ok = i < len(self.contexts[k])
-                todo = todo[ok]
-                at[todo] = first + i[ok]
-            row = self.rows[at]
-            p = self.table[row, self.column[keys & 0xFF]].astype(np.float64)
-            if self.own is not None:
-                p[~self.own[row]] = 0.0
-            out.append(np.add.reduceat(p, np.cumsum(sizes) - sizes))
+            out.append(np.add.reduceat(self.p[self._places.find(keys)].astype(np.float64), np.cumsum(sizes) - sizes))
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def unfold(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], block_cells: int = 40_000_000) -> Iterator[Trie]:
-    """Tries, in blocks of rows, from (context, symbol, count) sorted by context, for each length of context."""
-    symbols = levels[0][1]
-    column = np.full(256, len(symbols), np.int64)
-    column[symbols] = np.arange(len(symbols))
-    width = len(symbols) + 1
-    contexts, starts = zip(*(np.unique(ctx, return_index=True) for ctx, *_ in levels))
-    starts = [np.r_[s, len(ctx)] for s, (ctx, *_) in zip(starts, levels)]
-    if not len(symbols):
-        contexts = (np.zeros(1, np.int64), *contexts[1:])
-    first = np.cumsum([0, *map(len, contexts)])
-    total = int(first[-1])
-
-    def dense(k: int, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(ids), width))
-        begin, size = starts[k][ids], starts[k][ids + 1] - starts[k][ids]
-        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[np.repeat(np.arange(len(ids)), size), column[levels[k][1][at]]] = levels[k][2][at]
-        return out
+def probabilities(keys: np.ndarray, n: np.ndarray, ones: np.ndarray, least: float = 0) -> np.ndarray:
+    """log10 of each key's probability.
 
-    def logs(k: int, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(ids), width))
-        escape = np.zeros(len(ids))
-        excluded = np.zeros((len(ids), width), bool)
-        ctx = contexts[k][ids]
-        for j in range(k, -1, -1) if len(symbols) else ():
-            c = dense(j, np.searchsorted(contexts[j], ctx & ((1 << 8 * j) - 1)))
-            c[excluded] = 0
-            new = c > 0
-            distinct, whole = new.sum(1), c.sum(1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.log10(c / (whole + distinct)[:, None]) + escape[:, None]
-                out[new] = p[new]
-                escape += np.where(distinct > 0, np.log10(distinct / np.maximum(whole + distinct, 1)), 0)
-            excluded |= new
-        even = escape - np.log10(np.maximum(_SYMBOLS - excluded.sum(1), 1))
-        return np.where(excluded, out, even[:, None]).astype(np.float32)
-
-    blocks = max(1, -(-total * width // block_cells))
+    keys: distinct, all of the corpus that share the last two bytes of the context; n:
+    their counts; ones: counts of (context of one byte, symbol), 256 x 256. Contexts
+    of three bytes or more count from least symbols on.
+    """
+    levels = []  # by length of context: nodes, their counts, contexts, and of each its nodes' range, total and symbols
+    for k in range(ORDER + 1):
+        if k > 1:
+            node, where = np.unique(keys[n > 0] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            count = np.bincount(where, n[n > 0], len(node))
+        elif k:
+            one = int(keys[0]) >> 8 & 255
+            count = ones[one].astype(float)
+            node = np.flatnonzero(count) + (one << 8)
+            count = count[count > 0]
+        else:
+            count = ones.sum(0).astype(float)
+            node = np.flatnonzero(count)
+            count = count[count > 0]
+        ctx, where, d = np.unique(node >> 8, return_inverse=True, return_counts=True)
+        total = np.bincount(where, count, len(ctx))
+        if k > 2 and least:
+            keep = total >= least
+            node, count = node[keep[where]], count[keep[where]]
+            ctx, where, d = np.unique(node >> 8, return_inverse=True, return_counts=True)
+            total = np.bincount(where, count, len(ctx))
+        # what the symbols of each context make up in the context a byte shorter
+        known = np.zeros(len(ctx))
+        if k and len(node):
+            short, short_count = levels[-1][0], levels[-1][1]
+            known = np.bincount(where, short_count[np.searchsorted(short, node & ((1 << 8 * k) - 1))], len(ctx))
+        levels.append((node, count, ctx, total, d, known))
+
+    out = np.zeros(len(keys))
+    done = np.zeros(len(keys), bool)
+    gone_n, gone_d = np.zeros(len(keys)), np.zeros(len(keys))  # what longer contexts exclude here
+
+    def find(have: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))
+        return at, have[at] == want if len(have) else np.zeros(len(want), bool)
+
+    for k in range(ORDER, -1, -1):
+        node, count, ctx, total, d, known = levels[k]
+        if not len(node):
+            continue
+        key = keys & ((1 << 8 * (k + 1)) - 1)
+        at, here = find(ctx, key >> 8)
+        where, seen = find(node, key)
+        new = np.where(here, d[at] - gone_d, 0)
+        whole = np.where(here, total[at] - gone_n, 0) + new
+        hit, miss = here & ~done & seen, here & ~done & ~seen & (new > 0)
+        out[hit] += np.log10(count[where[hit]] / whole[hit])
+        out[miss] += np.log10(new[miss] / whole[miss])
+        done |= hit
+        gone_n, gone_d = np.where(here, known[at], gone_n), np.where(here, d[at], gone_d)
+    out[~done] -= np.log10(np.maximum(_SYMBOLS - len(levels[0][0]), 1))
+    return out
+
+
+def fit(docs: DataFrame, text: str = "text", rate: float = 0.0, block_cells: int = 40_000_000, *, train: Column | None = None) -> Iterator[Block]:
+    """Blocks of the table of all keys of docs, learned from the rows that train tells (all, without it).
+
+    With a rate, contexts of three bytes or more are left out below that share of all symbols.
+    """
+    counts = count_contexts(docs, text, train)
+    ones = np.zeros((256, 256), np.int64)
+    for r in counts.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():
+        ones[r["key"] >> 8, r["key"] & 255] = r["n"]
+    least = rate * int(ones.sum())
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        keys = group["k"].to_numpy(np.int64)
+        return pd.DataFrame({"k": keys, "p": probabilities(keys, group["n"].to_numpy(np.int64), ones, least).astype(np.float32)})
+
+    last = F.shiftright("k", 8).bitwiseAND(F.lit(0xFFFF))
+    table = stored(counts.groupBy(last.alias("last")).applyInPandas(work, "k long, p float"), "ppm-table")
+    blocks = max(1, -(-table.count() // max(1, block_cells // 10)))
     for b in range(blocks):
-        lo, hi = total * b // blocks, total * (b + 1) // blocks
-        table = np.zeros((hi - lo + (blocks > 1), width), np.float32)
-        for at in range(lo, hi, 4096):
-            ids = np.arange(at, min(hi, at + 4096))
-            for k in range(ORDER + 1):
-                mine = ids[(ids >= first[k]) & (ids < first[k + 1])]
-                if len(mine):
-                    table[mine - lo] = logs(k, mine - first[k])
-        rows = np.arange(total)
-        if blocks == 1:
-            yield Trie(list(contexts), rows.astype(np.int32), column, table, None)
-        else:  # contexts of other blocks share the last row, which counts nothing
-            mine = (rows >= lo) & (rows < hi)
-            own = np.r_[np.ones(hi - lo, bool), False]
-            yield Trie(list(contexts), np.where(mine, rows - lo, hi - lo).astype(np.int32), column, table, own)
-
-
-def fit(docs: DataFrame, text: str = "text", rate: float = 1e-5, block_cells: int = 40_000_000) -> Iterator[Trie]:
-    """Tries from all docs. The driver gets the kept contexts alone: at most 1 / rate of each length above two."""
-    counts = count_contexts(docs, text)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(2, ORDER + 1):
-        key = F.col("k").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")
-        nodes = counts.groupBy(key).agg(F.sum("n").alias("n"))
-        node = F.struct(F.col("key").bitwiseAND(F.lit(255)).alias("s"), "n")
-        kept = nodes.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("t"), F.collect_list(node).alias("nodes"))
-        least = rate * total if k > 2 else 0
-        found = kept.filter(F.col("t") >= least).select("ctx", F.explode("nodes").alias("x")).select("ctx", "x.s", "x.n").toPandas().sort_values(["ctx", "s"])
-        levels.append((found["ctx"].to_numpy(np.int64), found["s"].to_numpy(np.int64), found["n"].to_numpy(float)))
-    for k in (1, 0):
-        ctx, s, n = levels[0]
-        key, where = np.unique((ctx & ((1 << 8 * k) - 1)) << 8 | s, return_inverse=True)
-        levels.insert(0, (key >> 8, key & 255, np.bincount(where, n, len(key))))
-    return unfold(levels, block_cells)
-
-
-def with_score(docs: DataFrame, tries: Iterator[Trie], text: str = "text", out: str = "ppm_log10") -> DataFrame:
+        found = table.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()  # as rows, a block would take the driver a GB
+        yield Block(found["k"].to_numpy(), found["p"].to_numpy())
+
+
+def with_score(docs: DataFrame, tries: Iterator[Block], text: str = "text", out: str = "ppm_log10") -> DataFrame:
     """docs and the log10 probability of each whole text, its end included; null counts as empty."""
     small_batches(docs.sparkSession)
     df = spread(docs)
@@ -336,7 +324,7 @@ def score_corpus(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
     per, figures = word_scores(rows, F.col("train"))
-    tries = fit(rows.filter("train"))
+    tries = fit(rows, train=F.col("train"))
     scored = with_score(rows, tries, out="score").withColumn("tk", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text")
     n = figures["n_train"]
     total = F.lit(figures["tokens"] + 0.5 * (figures["distinct"] + 1))

@@ -82,3 +82,20 @@ def test_empty_and_untrained(spark):
     one = ppm.score_corpus(spark.createDataFrame([(1, "ab c")], "doc_id long, text string"), F.lit(False)).first()
     assert (one["n_tokens"], one["n_known"], one["train_tokens"]) == (3, 0, 0)
     assert math.isclose(one["score"], -5 * math.log10(255), rel_tol=1e-5)
+
+
+def test_keeps_all_contexts(spark):
+    """No context is left out, however rare: one that occurs once among many symbols predicts as well."""
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("abcd ") for _ in range(6000)) for _ in range(20)]
+    docs = [(i, t, True) for i, t in enumerate(filler)] + [(90, "xyzzyx quux", True), (91, "xyzzyx quux", False), (92, "abc dcba xyzzy", False)]
+    train, counts = [t for _, t, y in docs if y], {}
+    for t in train:
+        s = [-1] * 5 + [*t.encode(), 256]
+        for i in range(5, len(s)):
+            for k in range(6):
+                counts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
+    assert sum(len(t) + 1 for t in train) > 1e5  # a rate of 1e-5 would drop what occurs once
+    got = {r["doc_id"]: r["score"] for r in ppm.score_corpus(spark.createDataFrame(docs, "doc_id long, text string, y boolean"), F.col("y")).collect()}
+    for d in (90, 91, 92):
+        assert math.isclose(got[d], brute_ppm(counts, docs[[x[0] for x in docs].index(d)][1]), rel_tol=1e-5, abs_tol=1e-4)
