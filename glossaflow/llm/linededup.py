@@ -7,7 +7,8 @@ into a passage at the latest, and are never more than ``window`` words apart. At
 cut, and at the text's end, the words back to the nearest cut that leaves
 ``least_unit`` words or more are hashed: a short piece is never judged by itself and
 never breaks a run. What is lost of a passage are the words before its first and
-behind its last cut.
+behind its last cut. Whole lines are hashed besides, and each that stands earlier goes,
+whatever its length; only lines without a letter or digit stay.
 
 Units (``units``, ``repeated``), the older form, which stays within lines: a line is cut behind a word that ends a sentence or whose checksum is a
 multiple of ``cut``, if the unit has ``least_unit`` words by then. So cuts depend on
@@ -17,15 +18,16 @@ occurrence of the least rank (doc_id, text, place) is kept. Neighbouring repeate
 units form runs, and runs of ``least_run`` words or more are removed, so that common
 phrases stay. Offsets are those of the original text, in code points.
 
-Only digests that occur twice go back to their documents. The digests are
-aggregated with map-side combine, and the join that returns them is one that AQE may
-split, so a line that stands in a third of all documents is no bottleneck.
+Passages and lines take one exchange by digest, over which a window finds the least
+rank; a digest that is very common meets in one task, sorted, spilled as need be. For
+units, the digests are aggregated, and a join that AQE may split returns them.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +75,7 @@ def _digest(words: list[str]) -> int:
 
 
 def spans(text: str, least_unit: int = 6, window: int = 12, codes: dict[str, int] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
-    """(digest, start, end, words, number of the last word) at each cut of the text."""
+    """(digest, start, end, words, number of the last word) at each cut of the text, and of each line that has a letter or digit, with words below 0."""
     codes = {} if codes is None else codes
     at = [m.span() for m in _WORD.finditer(text)]
     words = [text[a:b].lower() for a, b in at]
@@ -98,6 +100,14 @@ def spans(text: str, least_unit: int = 6, window: int = 12, codes: dict[str, int
         if end - begin >= least_unit:
             made = True
             yield _digest(words[begin:end]), at[begin][0], at[end - 1][1], end - begin, end - 1
+    # whole lines, with the number of words below 0
+    begin, stop = 0, 0
+    while begin < n:
+        stop = text.find("\n", at[begin][0])
+        end = n if stop < 0 else bisect_left(at, (stop,), begin)
+        if any(map(str.isalnum, text[at[begin][0] : at[end - 1][1]])):
+            yield _digest(["\n", *words[begin:end]]), at[begin][0], at[end - 1][1], begin - end, end - 1
+        begin = end
 
 
 def _scan_spans(least_unit: int, window: int):
@@ -121,31 +131,48 @@ def _scan_spans(least_unit: int, window: int):
     return run
 
 
-def _again(found: DataFrame, apart: bool = False) -> DataFrame:
+def _again(found: DataFrame) -> DataFrame:
     """The rows of found whose digest has an occurrence of lesser rank, each once, with the doc_id that keeps it."""
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
     per = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     # the same document's rows have equal places: they are told apart by nothing, and count once
     again = found.join(per.select("digest", "first"), "digest").filter(place != F.col("first"))
-    if apart:  # a span that reaches into the one that stays, in the same text, must not take its words
-        same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tk").eqNullSafe(F.col("first.tk"))
-        again = again.filter(~(same & (F.col("no") - F.col("words") < F.col("first.no"))))
     return again.groupBy("doc_id", "tk", "no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.first("first.doc_id").alias("kept"))
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, least_run: int = 20, window: int = 12) -> DataFrame:
-    """One row per removed run, as repeated() has them, but of spans that overlap or touch, across line ends."""
+    """One row per removed part: doc_id, tk (text key), start, end, words, kept_in (doc_ids that keep its words, sorted).
+
+    Parts are whole lines that stand earlier, of any length, and runs of least_run
+    words or more of spans that overlap or touch, across line ends; parts that overlap
+    or touch are one. Ranks are those of repeated(). Lines without a letter or digit
+    (rules, brackets) stay.
+    """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, tk long, digest long, no int, start int, end int, words int"
-    again = _again(stored(spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan_spans(least_unit, window), columns), "dedup-spans"), apart=True)
-    again = again.withColumn("begin", F.col("no") - F.col("words"))  # the number of the word before
-    order = Window.partitionBy("doc_id", "tk").orderBy("no")
-    apart = F.coalesce(F.col("begin") > F.lag("no").over(order), F.lit(False))
-    runs = again.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order))
-    out = runs.groupBy("doc_id", "tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("no") - F.min("begin")).alias("words"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
-    return out.filter(F.col("words") >= least_run).drop("run")
+    found = spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan_spans(least_unit, window), columns)
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
+    # a window over one exchange: a join would run the Python stage, or write its rows, and shuffle them twice
+    again = found.withColumn("first", F.min(place).over(Window.partitionBy("digest"))).filter(place != F.col("first"))
+    again = again.withColumns({"line": F.col("words") < 0, "words": F.abs("words")}).withColumn("begin", F.col("no") - F.col("words"))  # the number of the word before
+    # a span that reaches into the one that stays, in the same text, must not take its words
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tk").eqNullSafe(F.col("first.tk"))
+    again = again.filter(~(same & (F.col("begin") < F.col("first.no"))))
+    again = again.groupBy("doc_id", "tk", "no", "line").agg(*[F.first(c).alias(c) for c in ("start", "end", "begin")], F.array(F.first("first.doc_id")).alias("kept"))
+    runs = _joined(again, "line").filter(F.col("line") | (F.col("no") - F.col("begin") >= least_run))
+    out = _joined(runs).withColumn("words", F.col("no") - F.col("begin"))
+    return out.select("doc_id", "tk", "start", "end", "words", F.array_sort(F.array_distinct(F.col("kept"))).alias("kept_in"))
+
+
+def _joined(parts: DataFrame, *by: str) -> DataFrame:
+    """parts (begin, no], with those of the same text that overlap or touch made one."""
+    keys = ["doc_id", "tk", *by]
+    order = Window.partitionBy(*keys).orderBy("begin", "no")
+    apart = F.coalesce(F.col("begin") > F.max("no").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    runs = parts.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("begin").alias("begin"), F.max("no").alias("no"), F.array_distinct(F.flatten(F.collect_set("kept"))).alias("kept")).drop("run")
 
 
 def _scan(least_unit: int, cut: int):

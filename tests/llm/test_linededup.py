@@ -149,3 +149,23 @@ def test_passages_whatever_the_lines(spark):
     assert set(range(6, 2980)) <= gone[102] <= set(range(6, 3000))
     kept = {r["doc_id"]: r["text"] for r in linededup.remove(df).collect()}
     assert kept[101] == "" and 6 <= len(kept[102].split()) <= 26
+
+
+def test_whole_lines_of_any_length(spark):
+    docs = [
+        (1, "a line of its own here\nAll rights reserved by the authors of it.\n---\nShort one\nonly once"),
+        (2, "Another text\n  all rights  reserved by the authors of it.\n---\nmore, and Short one\nshort one"),
+        (3, "x\nShort one\nAll rights reserved by the authors of it.\nx\nShort one more"),
+        (None, "x"),
+        (4, None),
+        (5, ""),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    left = {r["doc_id"]: r["text"].split("\n") if r["text"] else r["text"] for r in linededup.remove(df).collect()}
+    assert left[1] == docs[0][1].split("\n")
+    assert [x.strip() for x in left[2]] == ["Another text", "", "---", "more, and Short one", ""]
+    # lines 2 and 3 of doc 3 touch: they go as one part, with the line end between them
+    assert [x for x in left[3] if x] == ["x", "Short one more"]
+    assert left[None] == "" and left[4] is None and left[5] == ""
+    rows = {(r["doc_id"], r["words"]): r["kept_in"] for r in linededup.passages(df).collect()}
+    assert rows == {(2, 8): [1], (2, 2): [1], (3, 11): [1, 3], (None, 1): [3]}
