@@ -6,7 +6,8 @@ hashed words of their class, id and role, hashed words of its text, and a few
 measures. A bidirectional LSTM in numpy reads the blocks of a page in order and
 labels each as article or not, with the whole document as context. It is trained
 here, on generated pages, once a process. After it, blocks inside nav, footer,
-aside and form elements are left out whatever the label.
+aside and form elements are left out whatever the label, unless such an element holds
+most of the page's text: then it is taken as not there, and the label decides.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,9 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W_]+")
 #: Fixed values of HTML: elements whose content isn't text of the page, those without content, block-level and inline ones.
-_RAW = frozenset("script style template noscript title textarea iframe xmp noembed noframes svg math object".split())
+_RAW = frozenset("script style title textarea iframe noembed noframes".split())
+#: Those of them that reach to the end of a page that doesn't end them.
+_TO_END = frozenset("script style title textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAGS = (
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot caption tr td th blockquote pre figure figcaption "
@@ -114,7 +117,8 @@ def blocks(page: str | None) -> list[Block]:
         attr = m["attr"] or m["attr2"] or ""
         if tag in _RAW and not attr.rstrip().endswith("/"):
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
-            at = end.end() if end else len(source)
+            if end or tag in _TO_END:
+                at = end.end() if end else len(source)
             continue
         if tag in ("br", "img", "wbr", "input"):
             add("" if tag == "wbr" else " ")
@@ -406,9 +410,16 @@ def model(pages: int = 500, seed: int = 5) -> Labeller:
     return Labeller(seed=seed).train(made)
 
 
+def opened(page: list[Block]) -> list[Block]:
+    """The blocks, with those _NEVER elements off their paths that hold most of the page: one around the article, or one that isn't closed."""
+    whole = sum(len(b.text) for b in page)
+    held = {t for t in _NEVER if 2 * sum(len(b.text) for b in page if t in b.path) > whole}
+    return [replace(b, path=tuple(t for t in b.path if t not in held)) for b in page] if held else page
+
+
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[list[str]]:
     """The article blocks of each page."""
-    found = [blocks(p) for p in pages]
+    found = [opened(blocks(p)) for p in pages]
     labels = labeller.label([vectors(b) for b in found])
     return [[b.text for b, p in zip(bs, ps) if p > 0.5 and _NEVER.isdisjoint(b.path)] for bs, ps in zip(found, labels)]
 

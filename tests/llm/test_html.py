@@ -78,3 +78,25 @@ def test_extract(spark):
     assert [r["_text"] for r in rows if r["html"] in (None, "")] == ["", ""]
     assert len({r["_text"] for r in rows if r["page_id"] == 1}) == 1
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_broken_pages_keep_their_article():
+    want = html.main_texts([PAGE], html.model())[0]
+    page = PAGE.replace("as such paragraphs do", "as such paragraphs do, " + "and go on for a while, with words and more words, " * 12 + "to the end")
+    for tag in ("noscript", "object", "svg", "math", "template", "iframe", "xmp"):
+        (got,) = html.main_texts([PAGE.replace("<article>", f"<{tag}><article>")], html.model())
+        assert got == want, tag
+    for tag in ("math", "object"):
+        (got,) = html.main_texts([PAGE.replace("<i>text</i>", f"<{tag}>text</{tag}>")], html.model())
+        assert got == want, tag
+    (want,) = html.main_texts([page], html.model())
+    assert len(want) == 4
+    for tag in ("form", "aside", "nav"):
+        (got,) = html.main_texts([page.replace("<article>", f"<{tag}><article>")], html.model())
+        assert set(want) <= set(got), tag
+    (got,) = html.main_texts([page.replace("<body>", "<body><form>").replace("</body>", "</form></body>")], html.model())
+    assert set(want) <= set(got)
+    (got,) = html.main_texts([page.replace("</head>", "")], html.model())
+    assert set(want) <= set(got)
+    # what HTML itself carries to the end of the page
+    assert html.blocks("<p>a<script>x<p>b")[0].text == "a" and len(html.blocks("<p>a<script>x<p>b")) == 1
