@@ -12,7 +12,7 @@ from .. import schema
 from ..functions import text as T
 from ..session import ship
 
-#: A vocabulary above this is refused: it is broadcast to every worker.
+#: A vocabulary above this is not broadcast to every worker, but joined.
 MAX_VOCABULARY = 1_000_000
 MAX_WORD_BYTES = 100
 
@@ -49,8 +49,8 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFra
     """words with pieces (array). Call it with distinct words: texts repeat them a lot."""
     spark = words.sparkSession
     ship(spark)
-    if (n := vocab.count()) > MAX_VOCABULARY:
-        raise ValueError(f"a vocabulary of {n} tokens is too large to broadcast")
+    if vocab.count() > MAX_VOCABULARY:
+        return _joined_pieces(words, vocab, word)
     shared = spark.sparkContext.broadcast({r["token"] for r in vocab.select("token").toLocalIterator()})
 
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -62,6 +62,26 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFra
     return words.withColumn("pieces", F.pandas_udf(pieces, "array<string>")(F.col(word)))
 
 
+def _joined_pieces(words: DataFrame, vocab: DataFrame, word: str) -> DataFrame:
+    """As wordpiece(), by a join of each word's candidate pieces with the vocabulary: no task holds more than a word's own pieces."""
+
+    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda w: sorted({("##" if i else "") + w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}) if len(w.encode("utf-8", "surrogatepass")) <= MAX_WORD_BYTES else [])
+
+    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch, known in batches:
+            yield pd.Series([split_word(w, set() if k is None else set(k)) for w, k in zip(batch, known)], dtype=object)
+
+    candidates.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    pieces.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    every = words.select(F.col(word).alias("_w")).distinct().withColumn("_piece", F.explode(F.pandas_udf(candidates, "array<string>")("_w")))
+    tokens = vocab.select(F.col("token").alias("_piece")).distinct()
+    known = every.join(tokens, "_piece").groupBy("_w").agg(F.collect_set("_piece").alias("_known"))
+    both = words.join(known, F.col(word) == F.col("_w"), "left")
+    return both.select(*words.columns, F.pandas_udf(pieces, "array<string>")(F.col(word), F.col("_known")).alias("pieces"))
+
+
 def subtokens(units: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A row for each sub-token: (keys, sent_no, unit_no, piece_no, token, id, start_b, end_b, err).
 

@@ -212,3 +212,16 @@ def test_offsets_and_specials(spark):
     assert [(r["pos"], r["start_b"], r["end_b"]) for r in got] == [(0, 0, 0), (1, 1, 3), (3, 5, 6)]
     assert [r["token"] for r in tokens.drop_special(df).orderBy("pos").collect()] == ["a", "b", "[UNK]"]
     assert [r["token"] for r in tokens.drop_special(df, unknown=True).orderBy("pos").collect()] == ["a"]
+
+
+def test_wordpiece_of_a_vocabulary_too_large_to_broadcast(spark, monkeypatch):
+    from glossaflow.operators import tokens
+
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(["[UNK]", "сло", "##во", "##в", "##о", "а", "##б", "слово"])], "token string, id long")
+    words = spark.createDataFrame([(w, n) for n, w in enumerate(["слово", "словов", "аб", "аб", "абв", "я", "", "а" * 60, "аббб"])], "word string, n long")
+    want = sorted((r["n"], r["word"], r["pieces"]) for r in tokens.wordpiece(words, vocab).collect())
+    monkeypatch.setattr(tokens, "MAX_VOCABULARY", 3)
+    out = tokens.wordpiece(words, vocab)
+    assert out.columns == ["word", "n", "pieces"]
+    assert sorted((r["n"], r["word"], r["pieces"]) for r in out.collect()) == want
+    assert (0, "слово", ["слово"]) in want and (2, "аб", ["а", "##б"]) in want
