@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import running
+
 #: Fixed values of the text rules: ASCII white space, the units' punctuation, Cyrillic capitals that are lower-cased.
 SPACE = r"[\x09-\x0D ]"
 PUNCTUATION = (",", ".", "!", "?", ";", ":", "(", ")", "-", "*", "—", "–", "«", "»", "…", "...", "“", "„", '"')
@@ -129,14 +131,8 @@ def find(c: Column, needle: str, start: int = 0) -> Column:
 
 def char_offsets(c: Column) -> Column:
     """Byte offset of every code point."""
-    widths = F.transform(F.split(c, ""), lambda x: F.octet_length(x))
-    whole = F.aggregate(
-        widths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, w: F.struct((s["at"] + w).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
-        lambda s: s["out"],
-    )
-    return F.when(F.length(c) > 0, whole).otherwise(F.array().cast("array<int>"))
+    widths = F.transform(F.split(c, ""), lambda x: F.octet_length(x).cast("long"))
+    return F.when(F.length(c) > 0, F.transform(running(widths), lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def byte_to_char(c: Column, byte: int) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
+from ..functions.arrays import blocks, cut, let, running
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -34,18 +35,21 @@ def sentences(df: DataFrame, keys: Sequence[str], text: str = "text", clean: boo
 def units(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     """df with a row for each unit: unit_no from 0, unit, is_mark and its place in code points and bytes, ends exclusive."""
     s = F.col(sentence)
-    zipped = F.arrays_zip(T.unit_gaps(s).alias("g"), T.units(s).alias("u"))
-    kind = "array<struct<unit:string,start_c:bigint,end_c:bigint,start_b:bigint,end_b:bigint>>"
-    begin = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("b"), F.array().cast(kind).alias("a"))
 
-    def step(acc, x):
-        c, b = acc["c"] + F.length(x["g"]), acc["b"] + F.octet_length(x["g"])
-        c2, b2 = c + F.length(x["u"]), b + F.octet_length(x["u"])
-        place = F.struct(x["u"].alias("unit"), c.alias("start_c"), c2.alias("end_c"), b.alias("start_b"), b2.alias("end_b"))
-        return F.struct(c2.alias("c"), b2.alias("b"), F.concat(acc["a"], F.array(place)).alias("a"))
+    def placed(x):
+        def starts(size):
+            return running(F.zip_with(x["g"], x["u"], lambda g, u: (size(g) + size(u)).cast("long")))
 
-    placed = df.select(*df.columns, F.posexplode(F.aggregate(zipped, begin, step, lambda acc: acc["a"])).alias("unit_no", "_u"))
-    return placed.select(*df.columns, "unit_no", "_u.*").withColumn("is_mark", T.is_mark(F.col("unit")))
+        zipped = F.arrays_zip(x["g"].alias("g"), x["u"].alias("u"), starts(F.length).alias("c"), starts(F.octet_length).alias("b"))
+        return F.transform(zipped, place)
+
+    def place(z):
+        c, b = z["c"] + F.length(z["g"]), z["b"] + F.octet_length(z["g"])
+        return F.struct(z["u"].alias("unit"), c.alias("start_c"), (c + F.length(z["u"])).alias("end_c"), b.alias("start_b"), (b + F.octet_length(z["u"])).alias("end_b"))
+
+    made = let(F.struct(T.unit_gaps(s).alias("g"), T.units(s).alias("u")), placed)
+    placed_units = df.select(*df.columns, F.posexplode(made).alias("unit_no", "_u"))
+    return placed_units.select(*df.columns, "unit_no", "_u.*").withColumn("is_mark", T.is_mark(F.col("unit")))
 
 
 def entities(words: DataFrame, keys: Sequence[str], chars: bool = False) -> DataFrame:
@@ -96,21 +100,24 @@ def markup(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
     by = [*keys, "sent_no"]
     item = F.struct("ent_no", "start_c", "end_c", "type_ru")
     rows = ents.groupBy(*by).agg(F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(item)).alias("e"))
-    s = F.col("sentence")
+    size = F.length("sentence").cast("long")
     kind = "array<struct<piece:string,kind:string,type_ru:string>>"
-    none = F.array().cast(kind)
-
-    def gap(a, b):
-        chars = F.filter(F.split(F.substring(s, (a + 1).cast("int"), (b - a).cast("int")), ""), lambda x: (x != "") & ~x.rlike(f"^{T.ANY_SPACE}$"))
-        made = F.transform(chars, lambda x: F.struct(x.alias("piece"), F.lit("gap").alias("kind"), F.lit("").alias("type_ru")))
-        return F.when(b > a, made.cast(kind)).otherwise(none)
-
-    def step(acc, e):
-        shown = (e["end_c"] > acc["at"]) & (e["end_c"] <= F.length(s))
-        word = F.struct(F.substring(s, (e["start_c"] + 1).cast("int"), (e["end_c"] - e["start_c"]).cast("int")).alias("piece"), F.lit("entity").alias("kind"), e["type_ru"].alias("type_ru"))
-        before = F.concat(acc["out"], gap(acc["at"], e["start_c"]))
-        return F.struct(F.when(shown, e["end_c"]).otherwise(acc["at"]).alias("at"), F.when(shown, F.concat(before, F.array(word).cast(kind))).otherwise(before).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    pieces = F.aggregate("e", start, step, lambda acc: F.concat(acc["out"], gap(acc["at"], F.length(s).cast("long"))))
-    return rows.select(*by, F.posexplode(pieces).alias("piece_no", "p")).select(*by, "piece_no", "p.*").withColumn("role", F.when(F.col("kind") == "entity", T.role(F.col("type_ru"))).otherwise(""))
+
+    def gap(text, a, b):
+        chars = F.filter(F.split(cut(text, a, b), ""), lambda x: (x != "") & ~x.rlike(f"^{T.ANY_SPACE}$"))
+        return F.transform(chars, lambda x: F.struct(x.alias("piece"), F.lit("gap").alias("kind"), F.lit("").alias("type_ru"))).cast(kind)
+
+    def pieces(text):
+        ends = F.transform("e", lambda e: F.when(e["end_c"] <= size, e["end_c"]).otherwise(0))
+        marked = F.arrays_zip(F.col("e").alias("e"), running(ends, lambda a, b: F.greatest(a, b)).alias("at"))
+
+        def each(z):
+            e, at = z["e"], z["at"]
+            word = F.struct(cut(text, e["start_c"], e["end_c"]).alias("piece"), F.lit("entity").alias("kind"), e["type_ru"].alias("type_ru"))
+            shown = F.when((e["end_c"] > at) & (e["end_c"] <= size), F.array(word)).otherwise(F.array()).cast(kind)
+            return F.concat(gap(text, at, e["start_c"]), shown)
+
+        return F.concat(F.flatten(F.transform(marked, each)), gap(text, F.coalesce(F.array_max(ends), F.lit(0)), size))
+
+    out = rows.select(*by, F.posexplode(let(blocks(F.col("sentence")), pieces)).alias("piece_no", "p"))
+    return out.select(*by, "piece_no", "p.*").withColumn("role", F.when(F.col("kind") == "entity", T.role(F.col("type_ru"))).otherwise(""))

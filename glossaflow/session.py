@@ -1,13 +1,16 @@
-"""Making this package importable by Python workers, wherever the driver found it."""
+"""What jobs share: the package on Python workers, and tables in the folder that driver and executors both see."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +28,67 @@ def ship(spark: SparkSession) -> None:
             archive.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster that is
+    an error, as executors would write to disks of their own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='glossaflow-shared-')}")
+    if base not in _local:  # a path without a scheme belongs to the default file system
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+        _local[base] = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+    return _local[base]
+
+
+_made: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _forget() -> None:
+    """At exit, removes the tables that this process wrote, as far as the store still answers."""
+    for spark, path in _made:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001  the session may be gone
+            return
+
+
+atexit.register(_forget)
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/glossaflow-{os.getpid()}/{label}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: lineage ends there, and any lost executor only costs a reread."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._glossaflow_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that stored() wrote, once nothing reads it any more."""
+    path = df._glossaflow_path
+    _delete(df.sparkSession, path)
+    _made.remove((df.sparkSession, path))
