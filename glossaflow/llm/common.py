@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import discard, fresh_path, shared_dir, ship, stored  # noqa: F401
 
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -21,52 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _local.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='glossaflow-shared-')}")
-    if base not in _local:  # a path without a scheme belongs to the default file system
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-        full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
-        _local[base] = full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
-    return _local[base]
-
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def _forget() -> None:
-    """At exit, removes the tables that this process wrote, as far as the store still answers."""
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may be gone
-            return
-
-
-atexit.register(_forget)
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/glossaflow-{os.getpid()}/{label}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and any lost executor only costs a reread."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Deals a small input out to all cores; a large one is already split by the scan."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,72 +1,38 @@
-"""Substring dedup by hashing lines and their parts.
-
-Passages (``passages``, ``remove``): the words of a text are one stream, whatever its
-lines. A cut comes behind the word pair of least hash of every ``window`` neighbouring
-pairs, so cuts depend on the words around them alone, are in step ``window`` words
-into a passage at the latest, and are never more than ``window`` words apart. At each
-cut, and at the text's end, the words back to the nearest cut that leaves
-``least_unit`` words or more are hashed: a short piece is never judged by itself and
-never breaks a run. What is lost of a passage are the words before its first and
-behind its last cut. Whole lines are hashed besides, and each that stands earlier goes,
-whatever its length; only lines without a letter or digit stay.
-
-Units (``units``, ``repeated``), the older form, which stays within lines: a line is cut behind a word that ends a sentence or whose checksum is a
-multiple of ``cut``, if the unit has ``least_unit`` words by then. So cuts depend on
-the words around them alone, and a passage gives the same units wherever it stands in
-a line. Units are normalised (case, white space), hashed, and grouped globally; the
-occurrence of the least rank (doc_id, text, place) is kept. Neighbouring repeated
-units form runs, and runs of ``least_run`` words or more are removed, so that common
-phrases stay. Offsets are those of the original text, in code points.
-
-Passages and lines take one exchange by digest, over which a window finds the least
-rank; a digest that is very common meets in one task, sorted, spilled as need be. For
-units, the digests are aggregated, and a join that AQE may split returns them.
+"""Substring dedup by hashing lines and the passages of the word stream.
+
+Passages: the words of a text are one stream, whatever its lines. A cut comes behind
+the word pair of least hash of every ``window`` neighbouring pairs, so cuts depend on
+the words around them alone, are in step ``window`` words into a passage at the latest,
+and are never more than ``window`` words apart. At each cut, and at the text's end, the
+words back to the nearest cut that leaves ``least_unit`` words or more are hashed: a
+short piece is never judged by itself and never breaks a run. What is lost of a passage
+are the words before its first and behind its last cut. Whole lines are hashed besides,
+and each that stands earlier goes, whatever its length; only lines without a letter or
+digit stay.
+
+Digests are grouped globally, and the occurrence of the least rank (doc_id, text, place)
+stays. A task sends the least occurrence of a digest that it has seen to the digest's
+group; the others can't be the one that stays, so they are dealt out by themselves. So a
+line or passage that stands in a third of all rows gives its group some rows a task, and
+no group meets in one task as a whole.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches, spread, stored
+from .common import free_name, small_batches, spread
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_STOPS = (".", "!", "?", "…", ":", ";")
-
-
-def units(text: str, least_unit: int = 6, cut: int = 3) -> Iterator[tuple[int, int, int, int]]:
-    """(digest, start, end, words) of each unit of least_unit words or more, and with 0 words a mark between units that don't touch."""
-    at = 0
-    ends: dict[str, bool] = {}
-    for line in text.split("\n"):
-        first, words = 0, []
-        last = len(line)
-        for m in _WORD.finditer(line):
-            if not words:
-                first = m.start()
-            w = m[0]
-            words.append(w)
-            if len(words) >= least_unit:
-                stop = ends.get(w)
-                if stop is None:
-                    stop = ends[w] = w.endswith(_STOPS) or zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % cut == 0
-                if stop:
-                    yield _digest(words), at + first, at + m.end(), len(words)
-                    words = []
-            last = m.end()
-        if len(words) >= least_unit:
-            yield _digest(words), at + first, at + last, len(words)
-        elif words:
-            yield 0, at + first, at + last, 0
-        at += len(line) + 1
 
 
 def _digest(words: list[str]) -> int:
@@ -110,8 +76,47 @@ def spans(text: str, least_unit: int = 6, window: int = 12, codes: dict[str, int
         begin = end
 
 
-def _scan_spans(least_unit: int, window: int):
+#: What a row of a digest is: the least of its task so far; its text's first, but not the task's; a later one of its text; one that overlaps its text's first.
+_LEAST, _FIRST, _LATER, _OVERLAPPING = 0, 1, 2, 3
+
+
+class _Task:
+    """Tells the rows of a task's batches apart, and leaves out those of a text that it has seen."""
+
+    def __init__(self) -> None:
+        self.least: dict[int, tuple] = {}
+
+    def kinds(self, owner: np.ndarray, made: np.ndarray, docs: list[tuple]) -> np.ndarray:
+        """The kind of each row (digest, start, end, words, no), -1 for one to leave out; docs: (no id, id, text key) of each text."""
+        order = sorted(set(docs))
+        number = {d: i for i, d in enumerate(order)}
+        rank = np.array([number[d] for d in docs], np.int64)[owner]
+        at = np.lexsort((made[:, 4], rank, made[:, 0]))
+        digest, doc, no, words = made[at, 0], rank[at], made[at, 4], np.abs(made[at, 3])
+        new = np.r_[True, digest[1:] != digest[:-1]]  # a digest's least row in this batch
+        in_text = new | np.r_[True, doc[1:] != doc[:-1]]  # and in its text
+        kind = np.where(new, _LEAST, np.where(in_text, _FIRST, _LATER))
+        first = np.maximum.accumulate(np.where(in_text, np.arange(len(at)), 0))
+        kind[~in_text & (no - words < no[first])] = _OVERLAPPING
+        kind[~in_text & (no == np.r_[-1, no[:-1]])] = -1  # the same text again
+        begin = np.flatnonzero(new)
+        for i, d, n in zip(begin.tolist(), digest[begin].tolist(), np.diff(np.r_[begin, len(at)]).tolist()):
+            was = self.least.get(d)
+            if was is None and n < 4:
+                continue
+            here = (*order[doc[i]], int(no[i]))
+            if was is None or here < was:
+                self.least[d] = here
+            else:
+                kind[i] = _FIRST if here != was else -1
+        out = np.empty(len(at), np.int64)
+        out[at] = kind
+        return out
+
+
+def _scan(least_unit: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = _Task()
         for batch in batches:
             rows: list[tuple[int, ...]] = []
             sizes = []
@@ -120,50 +125,55 @@ def _scan_spans(least_unit: int, window: int):
                 n = len(rows)
                 rows += spans(t or "", least_unit, window, codes)
                 sizes.append(len(rows) - n)
+            if not rows:
+                continue
             made = np.array(rows, np.int64).reshape(-1, 5)
-            parent = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            docs = [(i is None, "" if i is None else i, k) for i, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            kind = task.kinds(owner, made, docs)
+            keep = np.flatnonzero(kind >= 0)
+            parent, made, kind = pa.array(owner[keep]), made[keep], kind[keep]
             ids, keys = batch.column(0).take(parent), batch.column(2).take(parent)
             for at in range(0, len(made), 1 << 16):
                 s = slice(at, at + (1 << 16))
                 columns = {name: made[s, i].astype(np.int32) for name, i in (("no", 4), ("start", 1), ("end", 2), ("words", 3))}
-                yield pa.RecordBatch.from_pydict({"doc_id": ids[s], "tk": keys[s], "digest": made[s, 0]} | columns)
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[s], "tk": keys[s], "digest": made[s, 0]} | columns | {"kind": kind[s].astype(np.int8)})
 
     return run
 
 
-def _again(found: DataFrame) -> DataFrame:
-    """The rows of found whose digest has an occurrence of lesser rank, each once, with the doc_id that keeps it."""
-    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
-    per = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    # the same document's rows have equal places: they are told apart by nothing, and count once
-    again = found.join(per.select("digest", "first"), "digest").filter(place != F.col("first"))
-    return again.groupBy("doc_id", "tk", "no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.first("first.doc_id").alias("kept"))
-
-
-def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, least_run: int = 20, window: int = 12) -> DataFrame:
-    """One row per removed part: doc_id, tk (text key), start, end, words, kept_in (doc_ids that keep its words, sorted).
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, least_run: int | None = 20, window: int = 12) -> DataFrame:
+    """One row per removed part: doc_id, tk (text key), start, end, words.
 
     Parts are whole lines that stand earlier, of any length, and runs of least_run
-    words or more of spans that overlap or touch, across line ends; parts that overlap
-    or touch are one. Ranks are those of repeated(). Lines without a letter or digit
-    (rules, brackets) stay.
+    words or more of spans that overlap or touch, across line ends (None: lines only);
+    parts that overlap or touch are one. Ranks go by doc_id, nulls last, then text hash,
+    then place; rows of the same doc_id and text are one document. Lines without a
+    letter or digit (rules, brackets) stay. Null and empty texts have no parts, an empty
+    table gives an empty one, and no text is too long. Offsets are code points.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {kind}, tk long, digest long, no int, start int, end int, words int"
-    found = spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan_spans(least_unit, window), columns)
+    name = rows.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {name}, tk long, digest long, no int, start int, end int, words int, kind byte"
+    found = spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan(least_unit, window), columns)
+    if least_run is None:
+        found = found.filter("words < 0")
     place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
     # a window over one exchange: a join would run the Python stage, or write its rows, and shuffle them twice
-    again = found.withColumn("first", F.min(place).over(Window.partitionBy("digest"))).filter(place != F.col("first"))
-    again = again.withColumns({"line": F.col("words") < 0, "words": F.abs("words")}).withColumn("begin", F.col("no") - F.col("words"))  # the number of the word before
-    # a span that reaches into the one that stays, in the same text, must not take its words
-    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("tk").eqNullSafe(F.col("first.tk"))
-    again = again.filter(~(same & (F.col("begin") < F.col("first.no"))))
-    again = again.groupBy("doc_id", "tk", "no", "line").agg(*[F.first(c).alias(c) for c in ("start", "end", "begin")], F.array(F.first("first.doc_id")).alias("kept"))
-    runs = _joined(again, "line").filter(F.col("line") | (F.col("no") - F.col("begin") >= least_run))
-    out = _joined(runs).withColumn("words", F.col("no") - F.col("begin"))
-    return out.select("doc_id", "tk", "start", "end", "words", F.array_sort(F.array_distinct(F.col("kept"))).alias("kept_in"))
+    dealt = F.when(F.col("kind") == _LEAST, F.lit(0)).otherwise(F.xxhash64("tk", "no")).alias("deal")
+    found = found.select("*", dealt)
+    again = found.withColumn("first", F.min(place).over(Window.partitionBy("digest", "deal"))).filter((F.col("kind") != _LEAST) | (place != F.col("first")))
+    again = again.select("doc_id", "tk", "digest", "no", "start", "end", "kind", (F.col("words") < 0).alias("line"), (F.col("no") - F.abs("words")).alias("begin"))  # begin: the number of the word before
+    again = again.repartition("doc_id", "tk")
+    # one that reaches into its text's first of that digest goes only if that one goes
+    goes = (F.col("kind") < _OVERLAPPING) | (F.min("kind").over(Window.partitionBy("doc_id", "tk", "digest")) <= _FIRST)
+    again = again.withColumn("goes", goes).filter("goes")
+    again = again.groupBy("doc_id", "tk", "no", "line").agg(*[F.first(c).alias(c) for c in ("start", "end", "begin")])
+    runs = _joined(again, "line")
+    if least_run is not None:
+        runs = runs.filter(F.col("line") | (F.col("no") - F.col("begin") >= least_run))
+    return _joined(runs).select("doc_id", "tk", "start", "end", (F.col("no") - F.col("begin")).alias("words"))
 
 
 def _joined(parts: DataFrame, *by: str) -> DataFrame:
@@ -172,66 +182,36 @@ def _joined(parts: DataFrame, *by: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("begin", "no")
     apart = F.coalesce(F.col("begin") > F.max("no").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
     runs = parts.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("begin").alias("begin"), F.max("no").alias("no"), F.array_distinct(F.flatten(F.collect_set("kept"))).alias("kept")).drop("run")
-
-
-def _scan(least_unit: int, cut: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            sizes = []
-            for t in batch.column(1).to_pylist():
-                n = len(rows)
-                rows += units(t or "", least_unit, cut)
-                sizes.append(len(rows) - n)
-            made = np.array(rows, np.int64).reshape(-1, 4)
-            number = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.zeros(0, int)
-            keep = made[:, 3] > 0
-            parent = np.repeat(np.arange(len(sizes)), sizes)[keep]
-            ids, keys = batch.column(0).take(pa.array(parent)), batch.column(2).take(pa.array(parent))
-            made, number = made[keep], number[keep].astype(np.int32)
-            for at in range(0, len(made), 1 << 16):
-                s = slice(at, at + (1 << 16))
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": ids[at : at + (1 << 16)], "tk": keys[at : at + (1 << 16)], "digest": made[s, 0], "no": number[s], "start": made[s, 1].astype(np.int32), "end": made[s, 2].astype(np.int32), "words": made[s, 3].astype(np.int32)}
-                )
-
-    return run
-
-
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, least_run: int = 20, cut: int = 3) -> DataFrame:
-    """One row per removed run: doc_id, tk (text key), start, end, words, kept_in (doc_ids that keep its units, sorted).
-
-    Ranks go by doc_id, nulls last, then text hash; rows of the same doc_id and text
-    are one document. Short, empty and null texts have no units; an empty table gives
-    an empty one.
-    """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = stored(spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan(least_unit, cut), f"doc_id {kind}, tk long, digest long, no int, start int, end int, words int"), "dedup-units")
-    again = _again(found)
-    order = Window.partitionBy("doc_id", "tk").orderBy("no")
-    runs = again.withColumn("run", F.col("no") - F.row_number().over(order))
-    out = runs.groupBy("doc_id", "tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("kept")).alias("kept_in"))
-    return out.filter(F.col("words") >= least_run).drop("run")
+    return runs.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("begin").alias("begin"), F.max("no").alias("no")).drop("run")
 
 
 def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """docs with repeated runs cut out of text, and removed: array of (start, end) in the original text.
+    """docs with repeated parts cut out of text, and removed: array of (start, end) in the original text.
 
-    removed gets underscores before it if docs has it. Null texts stay null.
+    removed gets underscores before it if docs has it, and extra columns stay whatever
+    their names. Null texts stay null, empty ones empty; a text that repeats as a whole
+    becomes empty, but its row stays. Rows of the same doc_id and text lose the same. An
+    empty table gives an empty one.
     """
-    out, key = free_name(docs, "removed"), free_name(docs, "tk")
-    spans = passages(docs, doc_id, text, **kw).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    spans = spans.withColumnsRenamed({"doc_id": "_sid", "tk": "_stk"})
+    out, key, sid, stk, spans = (free_name(docs, n) for n in ("removed", "tk", "span_id", "span_tk", "spans"))
+    found = passages(docs, doc_id, text, **kw).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
+    found = found.select(F.col("doc_id").alias(sid), F.col("tk").alias(stk), spans)
     t = F.col(f"`{text}`")
     df = docs.withColumn(key, F.xxhash64(t))
-    df = df.join(spans, F.col(f"`{doc_id}`").eqNullSafe(F.col("_sid")) & (F.col(key) == F.col("_stk")), "left")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(t, acc["at"] + 1, s["start"] - acc["at"]))).alias("out"))
-    cutout = F.aggregate("_spans", begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    others = [c for c in docs.columns if c != text]
-    kept = {c: F.col(f"`{c}`") for c in others} | {text: F.coalesce(cutout, t).alias(text)}
+    df = df.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(sid)) & (F.col(key) == F.col(stk)), "left")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, ends: pd.Series) -> pd.Series:
+        made = []
+        for t, e in zip(texts, ends):
+            if t is None or e is None:
+                made.append(t)
+                continue
+            at = [0, *(int(x) for x in e), len(t)]
+            made.append("".join(t[a:b] for a, b in zip(at[::2], at[1::2])))
+        return pd.Series(made, dtype=object)
+
+    ends = F.flatten(F.transform(spans, lambda s: F.array(s["start"], s["end"])))
+    others = {c: F.col(f"`{c}`") for c in docs.columns} | {text: cut(t, ends).alias(text)}
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return df.select(*[kept[c] for c in docs.columns], F.coalesce("_spans", none).alias(out))
+    return df.select(*[others[c] for c in docs.columns], F.coalesce(spans, none).alias(out))

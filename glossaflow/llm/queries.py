@@ -35,17 +35,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that lose a passage: what is cut, by original offsets, and which documents keep it."""
-    runs = linededup.passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    span = F.struct("start", "end", "words", "kept_in")
-    per = runs.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    return per.select(
-        "doc_id",
-        F.size("s").cast("long").alias("n_spans"),
-        F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("n_words"),
-        F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda x: x["kept_in"])))).alias("kept_in"),
-    )
+    """The documents that lose a passage: what is cut, by original offsets."""
+    parts = linededup.passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    per = parts.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"), F.sum("words").alias("n_words"))
+    spans = F.transform("s", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return per.select("doc_id", F.size("s").cast("long").alias("n_spans"), "n_words", F.array_join(spans, ",").alias("spans"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,45 +1,54 @@
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from glossaflow.llm import linededup
 
 
-def brute(docs):
-    """docs: (doc_id, text). Removed runs, unit by unit."""
-    seen = {}
-    rank = lambda d, t: (d is None, d or 0, t)
-    keys = {}
-    for d, t in docs:
-        keys[d, t] = [u for u in enumerate(linededup.units(t or ""))]
-    order = sorted(keys, key=lambda k: rank(k[0], hash_of[k[1]]))
-    for d, t in order:
-        for no, (h, *_r) in keys[d, t]:
-            seen.setdefault(h, (d, t, no))
+def brute(docs, keys, least_run=20):
+    """docs: (doc_id, text); keys: text to hash. Removed parts of all digests at once, without tasks or batches."""
+    texts = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0, keys[d[1]]))
+    first, rows = {}, []
+    for rank, (d, t) in enumerate(texts):
+        for h, start, end, words, no in sorted(linededup.spans(t or ""), key=lambda x: x[4]):
+            first.setdefault(h, (rank, no))
+            rows.append((h, rank, no, start, end, words))
+    own = {}
+    for h, rank, no, *_ in rows:
+        own.setdefault((h, rank), no)
     out = set()
-    for d, t in keys:
-        run = []
-        for no, (h, a, b, n) in [*keys[d, t], (10**9, (0, 0, 0, 0))]:
-            dup = n > 0 and seen[h] != (d, t, no)
-            if dup:
-                run.append((a, b, n))
-            else:
-                if sum(r[2] for r in run) >= 20:
-                    out.add((d, t, run[0][0], run[-1][1]))
-                run = []
+    for rank, (d, t) in enumerate(texts):
+        gone = {True: [], False: []}
+        for h, r, no, start, end, words in rows:
+            # one that reaches into its text's first of that digest goes only if that one goes
+            if r == rank and first[h] != (r, no) and not (first[h][0] == r and no - abs(words) < first[h][1]):
+                gone[words < 0].append((no - abs(words), no, start, end))
+        for x in joined(joined(gone[True]) + [x for x in joined(gone[False]) if x[1] - x[0] >= least_run]):
+            out.add((d, t, x[2], x[3], x[1] - x[0]))
     return out
 
 
-hash_of = {}
+def joined(parts):
+    out = []
+    for begin, no, start, end in sorted(parts):
+        if out and begin <= out[-1][1]:
+            b, n, s, e = out[-1]
+            out[-1] = (b, max(n, no), min(s, start), max(e, end))
+        else:
+            out.append((begin, no, start, end))
+    return out
 
 
-def test_units():
+def test_spans():
     text = "a b c d e f. g h\n\n" + "x " * 30 + "end"
-    found = list(linededup.units(text))
-    assert found[0][1:] == (0, 12, 6) and found[1][3] == 0
-    assert all(len(text[a:b].split()) == n for _, a, b, n in found if n)
-    assert list(linededup.units("")) == []
-    assert found[0][0] == next(linededup.units("A  B c D e\tf."))[0]
+    found = list(linededup.spans(text))
+    assert all(len(text[a:b].split()) == abs(n) for _, a, b, n, _ in found)
+    lines = [x for x in found if x[3] < 0]
+    assert [(a, b, n) for _, a, b, n, _ in lines] == [(0, 16, -8), (18, 81, -31)]
+    assert list(linededup.spans("")) == [] == list(linededup.spans(" \n\t"))
+    assert lines[0][0] == next(x[0] for x in linededup.spans("A  B c D e\tf. G H") if x[3] < 0)
 
 
 def corpus():
@@ -58,39 +67,54 @@ def corpus():
         if i in (5, 7, 9):
             lines.append(say(50))
         docs.append((i, "\n".join(lines)))
-    docs += [(70, docs[5][1]), (5, docs[5][1]), (None, docs[7][1]), (71, None), (72, ""), (73, docs[9][1].upper()), (74, "é " * 50_000)]
+    docs += [(70, docs[5][1]), (5, docs[5][1]), (None, docs[7][1]), (71, None), (72, ""), (73, docs[9][1].upper()), (74, "é " * 5_000), (75, "é " * 700), (76, "é è ê " * 50), (77, "é è ê " * 50)]
     return docs, [i for i in range(16, 60) if i % 4 == 0]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("parts, batch", [(1, 512), (5, 512), (3, 2)])
+def test_against_brute_force(spark, parts, batch):
+    """Whatever the tasks and batches: periodic texts, repeated rows, a line in every text, copies in one task and in several."""
     docs, planted = corpus()
-    df = spark.createDataFrame([(d, t, "r") for d, t in docs], "doc_id long, text string, removed string").repartition(4)
-    for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect():
-        hash_of[r["text"]] = r["h"]
-    by = {h: t for t, h in hash_of.items()}
-    got = {(r["doc_id"], by[r["tk"]], r["start"], r["end"]) for r in linededup.repeated(df).collect()}
-    assert got == brute(docs)
-    hit = {d for d, *_ in got}
-    assert set(planted) <= hit and {70, 73, None} <= hit
-    assert not hit & ({i for i in range(16) if i != 5} | {i for i in range(60) if i % 4 and i != 5} | {71, 72})
-    out = linededup.remove(df)
-    assert out.columns == [*df.columns, "_removed"]
-    rows = out.collect()
-    assert len(rows) == len(docs)
-    texts = dict(docs)
-    for r in rows:
-        if r["doc_id"] in (71, 72, 1):
-            assert r["text"] == texts[r["doc_id"]]
-        if r["doc_id"] in planted:
-            t, at, want = texts[r["doc_id"]], 0, ""
-            for a, b in r["_removed"]:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    df = spark.createDataFrame([(d, t, "r", 1, 2, 3, 4, 5) for d, t in docs], "doc_id long, text string, removed string, tk int, spans int, span_id int, span_tk int, kind int").repartition(parts)
+    keys = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    by = {h: t for t, h in keys.items()}
+    rows = [(r["doc_id"], by[r["tk"]], r["start"], r["end"], r["words"]) for r in linededup.passages(df).collect()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(rows) == len(set(rows)) and set(rows) == brute(docs, keys)
+    hit = {d for d, *_ in rows}
+    assert set(planted) <= hit and {70, 73, None} <= hit and not hit & {71, 72}
+    if parts == 5:
+        out = linededup.remove(df)
+        assert out.columns == [*df.columns, "_removed"]
+        cut = {}
+        for d, t, a, b, _ in rows:
+            cut.setdefault((d, t), []).append((a, b))
+        left = []
+        for d, t in docs:
+            at, want = 0, ""
+            for a, b in sorted(cut.get((d, t), [])):
                 want, at = want + t[at:a], b
-            assert r["text"] == want + t[at:] and r["_removed"]
+            left.append((d, want + t[at:] if t is not None else None))
+        assert sorted(left, key=repr) == sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr)
 
 
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert linededup.repeated(none).count() == 0 and linededup.remove(none).count() == 0
+    assert linededup.passages(none).count() == 0 and linededup.remove(none).count() == 0
+
+
+def test_a_common_line_gives_few_rows_a_task():
+    """Of what stands in every text, a task sends few rows to the digest's group."""
+    docs = [(False, i, i * 7) for i in range(100)]
+    row = [5, 0, 9, -2, 1]
+    made = np.array([row] * 100, np.int64)
+    task = linededup._Task()
+    kinds = task.kinds(np.arange(100), made, docs)
+    assert (kinds == linededup._LEAST).sum() == 1 and kinds[0] == linededup._LEAST
+    assert (task.kinds(np.arange(100), made, [(False, i + 100, 1) for i in range(100)]) == linededup._FIRST).all()
+    assert (task.kinds(np.arange(100), made, [(False, i - 100, 1) for i in range(100)]) == linededup._LEAST).sum() == 1
+    assert (task.kinds(np.arange(100), made, [(False, -100, 1)] * 100) == -1).all()
 
 
 def windows_seen_before(docs, size=6):
@@ -167,5 +191,5 @@ def test_whole_lines_of_any_length(spark):
     # lines 2 and 3 of doc 3 touch: they go as one part, with the line end between them
     assert [x for x in left[3] if x] == ["x", "Short one more"]
     assert left[None] == "" and left[4] is None and left[5] == ""
-    rows = {(r["doc_id"], r["words"]): r["kept_in"] for r in linededup.passages(df).collect()}
-    assert rows == {(2, 8): [1], (2, 2): [1], (3, 11): [1, 3], (None, 1): [3]}
+    rows = {(r["doc_id"], r["words"]) for r in linededup.passages(df, least_run=None).collect()}
+    assert rows == {(2, 8), (2, 2), (3, 11), (None, 1)}
