@@ -15,13 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions.arrays import blocks, cut, let, running
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a small input out to all cores; a large one is already split by the scan."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * (8 << 20) else df
+from ..session import spread
 
 
 def sentences(df: DataFrame, keys: Sequence[str], text: str = "text", clean: bool = True) -> DataFrame:

@@ -30,6 +30,13 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small input, such as a lone file, out to all cores; a larger one is already split by the scan and stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores << 20 else df
+
+
 _local: dict[str, str] = {}
 
 
