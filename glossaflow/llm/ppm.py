@@ -7,15 +7,16 @@ keys are summed by Spark. Keys of texts outside the training set count 0.
 
 Probabilities: method C escapes with symbol exclusion. A symbol's probability is fixed
 by its key once counting is done, and the symbols of a context are among those of
-each of its suffixes, so the keys that share the last two bytes of the context are
-worked out together, a group a time, with the counts of the contexts of one byte
-(65,536 at most) at hand. The (key, log10 probability) table stays distributed;
+each of its suffixes, so the keys that share the last three bytes of the context are
+worked out together, with the counts of all contexts of two bytes (2**24 symbols at
+most, in text some hundred thousand) at hand. The (key, log10 probability) table stays distributed;
 scoring is a lookup and a sum. The table goes out in blocks of about
 ``block_cells`` / 10 keys, a pass over the texts each, so no block grows with the corpus.
 
-Beside the trie, the base model: add-half unigram probabilities of words. Its counts
-grow with the corpus and are never collected: (word, text) pairs are shuffled once
-by word, counted, weighted and summed by text.
+Beside the trie, the base model: add-half unigram probabilities of words. Words are
+counted with map-side combine. Those above ``rate`` of all words, at most 1 / rate of
+them, are scored in the scan; only the pairs of a rarer word and a text are shuffled by
+word, so no word brings its texts together in one task.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, small_batches, spread, stored
+from .common import LOWER_ASCII, free_name, small_batches, spread, stored
 
 #: Bytes that UTF-8 never has: what precedes a text, and what ends it.
 _PAD, _END = 0xFE, 0xFF
@@ -154,39 +155,38 @@ class Block:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def probabilities(keys: np.ndarray, n: np.ndarray, ones: np.ndarray, least: float = 0) -> np.ndarray:
+def short_levels(twos: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, counts) of the contexts of no, one and two bytes; twos: sorted keys of two bytes of context and a symbol, n: their counts."""
+    out = []
+    for k in range(3):
+        node, where = np.unique(twos[n > 0] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        out.append((node, np.bincount(where, n[n > 0], len(node))))
+    return out
+
+
+def probabilities(keys: np.ndarray, n: np.ndarray, short: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """log10 of each key's probability.
 
-    keys: distinct, all of the corpus that share the last two bytes of the context; n:
-    their counts; ones: counts of (context of one byte, symbol), 256 x 256. Contexts
-    of three bytes or more count from least symbols on.
+    keys: distinct; with a key come all of the corpus that share the last three bytes of
+    its context. n: their counts; short: short_levels() of the corpus.
     """
     levels = []  # by length of context: nodes, their counts, contexts, and of each its nodes' range, total and symbols
     for k in range(ORDER + 1):
-        if k > 1:
+        if k > 2:
             node, where = np.unique(keys[n > 0] & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
             count = np.bincount(where, n[n > 0], len(node))
-        elif k:
-            one = int(keys[0]) >> 8 & 255
-            count = ones[one].astype(float)
-            node = np.flatnonzero(count) + (one << 8)
-            count = count[count > 0]
         else:
-            count = ones.sum(0).astype(float)
-            node = np.flatnonzero(count)
-            count = count[count > 0]
+            node, count = short[k]
+            if k == 2:
+                here = np.isin(node >> 8, np.unique(keys >> 8 & 0xFFFF))
+                node, count = node[here], count[here]
         ctx, where, d = np.unique(node >> 8, return_inverse=True, return_counts=True)
         total = np.bincount(where, count, len(ctx))
-        if k > 2 and least:
-            keep = total >= least
-            node, count = node[keep[where]], count[keep[where]]
-            ctx, where, d = np.unique(node >> 8, return_inverse=True, return_counts=True)
-            total = np.bincount(where, count, len(ctx))
         # what the symbols of each context make up in the context a byte shorter
         known = np.zeros(len(ctx))
         if k and len(node):
-            short, short_count = levels[-1][0], levels[-1][1]
-            known = np.bincount(where, short_count[np.searchsorted(short, node & ((1 << 8 * k) - 1))], len(ctx))
+            shorter, its_count = levels[-1][0], levels[-1][1]
+            known = np.bincount(where, its_count[np.searchsorted(shorter, node & ((1 << 8 * k) - 1))], len(ctx))
         levels.append((node, count, ctx, total, d, known))
 
     out = np.zeros(len(keys))
@@ -215,23 +215,36 @@ def probabilities(keys: np.ndarray, n: np.ndarray, ones: np.ndarray, least: floa
     return out
 
 
-def fit(docs: DataFrame, text: str = "text", rate: float = 0.0, block_cells: int = 40_000_000, *, train: Column | None = None) -> Iterator[Block]:
-    """Blocks of the table of all keys of docs, learned from the rows that train tells (all, without it).
+def _worked_out(shared, rows: int = 1 << 18):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            p = probabilities(keys, n, shared.value).astype(np.float32)
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_pydict({"k": keys[at : at + (1 << 16)], "p": p[at : at + (1 << 16)]})
 
-    With a rate, contexts of three bytes or more are left out below that share of all symbols.
-    """
-    counts = count_contexts(docs, text, train)
-    ones = np.zeros((256, 256), np.int64)
-    for r in counts.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():
-        ones[r["key"] >> 8, r["key"] & 255] = r["n"]
-    least = rate * int(ones.sum())
+        held = np.zeros((0, 2), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(2)], 1)])
+            if len(held) >= rows:  # all but the last, perhaps unfinished, group
+                last = held[:, 0] >> 8 & 0xFFFFFF
+                end = int(np.searchsorted(last, last[-1]))
+                if end:
+                    yield from work(held[:end, 0].copy(), held[:end, 1])
+                    held = held[end:]
+        if len(held):
+            yield from work(held[:, 0].copy(), held[:, 1])
+
+    return run
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["k"].to_numpy(np.int64)
-        return pd.DataFrame({"k": keys, "p": probabilities(keys, group["n"].to_numpy(np.int64), ones, least).astype(np.float32)})
 
-    last = F.shiftright("k", 8).bitwiseAND(F.lit(0xFFFF))
-    table = stored(counts.groupBy(last.alias("last")).applyInPandas(work, "k long, p float"), "ppm-table")
+def fit(docs: DataFrame, text: str = "text", block_cells: int = 40_000_000, *, train: Column | None = None) -> Iterator[Block]:
+    """Blocks of the table of all keys of docs, learned from the rows that train tells (all, without it)."""
+    counts = count_contexts(docs, text, train)
+    twos = counts.groupBy(F.col("k").bitwiseAND(F.lit(0xFFFFFF)).alias("k")).agg(F.sum("n").alias("n")).sort("k").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(short_levels(twos["k"].to_numpy(), twos["n"].to_numpy()))
+    last = F.shiftright("k", 8).bitwiseAND(F.lit(0xFFFFFF))
+    dealt = counts.select("k", "n", last.alias("last")).repartition("last").sortWithinPartitions("last")
+    table = stored(dealt.mapInArrow(_worked_out(shared), "k long, p float"), "ppm-table")
     blocks = max(1, -(-table.count() // max(1, block_cells // 10)))
     for b in range(blocks):
         found = table.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).toArrow()  # as rows, a block would take the driver a GB
@@ -239,14 +252,32 @@ def fit(docs: DataFrame, text: str = "text", rate: float = 0.0, block_cells: int
 
 
 def with_score(docs: DataFrame, tries: Iterator[Block], text: str = "text", out: str = "ppm_log10") -> DataFrame:
-    """docs and the log10 probability of each whole text, its end included; null counts as empty."""
-    small_batches(docs.sparkSession)
-    df = spread(docs)
-    for k, trie in enumerate(tries):
-        shared = df.sparkSession.sparkContext.broadcast(trie)
-        score = _scorer(shared)(F.col(f"`{text}`"))
-        df = df.withColumn(out, score if k == 0 else F.col(out) + score)
-    return df
+    """docs and the log10 probability of each whole text, its end included; null counts as empty.
+
+    out gets underscores before it if docs has it. Equal texts get equal scores, an
+    empty table gives an empty one, no text is too long. Each block is a pass over the
+    texts, whose sums are stored, so a worker holds one block at a time.
+    """
+    key, name = free_name(docs, "tk"), free_name(docs, out)
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    sums = text_scores(docs, tries, text).select(F.col("tk").alias(f"{key}_"), F.col("score").alias(name))
+    return marked.join(sums, F.col(key) == F.col(f"{key}_")).select(*[F.col(f"`{c}`") for c in docs.columns], name)
+
+
+def text_scores(docs: DataFrame, tries: Iterator[Block], text: str = "text") -> DataFrame:
+    """(tk, score) for each distinct text; tk is its 64-bit key."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    t = F.col(f"`{text}`")
+    slim = spread(docs.select(t.alias("text"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("tk")))
+    parts: DataFrame | None = None
+    for trie in tries:
+        shared = spark.sparkContext.broadcast(trie)
+        part = stored(slim.select("tk", _scorer(shared)(F.col("text")).alias("score")), "ppm-scores")
+        shared.destroy()
+        part = part.groupBy("tk").agg(F.max("score").alias("score"))  # copies score alike
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("tk").agg(F.sum("score").alias("score"))
 
 
 def _scorer(shared):
@@ -257,61 +288,122 @@ def _scorer(shared):
     return F.pandas_udf(score, "double")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, text key, times) of each text's distinct words; times is negative outside the training texts."""
-    digest = xxhash.xxh3_64_intdigest
-    for batch in batches:
-        words: list[int] = []
-        times: list[int] = []
-        sizes: list[int] = []
-        for t in batch.column(0).to_pylist():
-            found = Counter(_bytes(t).translate(LOWER_ASCII).split())
-            words += [digest(w) for w in found]
-            times += found.values()
-            sizes.append(len(found))
-        keys = np.repeat(batch.column(1).to_numpy(), sizes)
-        sign = np.repeat(np.where(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), 1, -1), sizes)
-        w, n = np.array(words, np.uint64).view(np.int64), (np.array(times, np.int64) * sign).astype(np.int32)
+_digest = xxhash.xxh3_64_intdigest
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w, c, n): how often a task's training texts, and all its texts, have a word, by the word's hash."""
+    for batch in _whole(batches):
+        found = [Counter(), Counter()]
+        for t, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found[bool(train)].update(_bytes(t).translate(LOWER_ASCII).split())
+        rest, learned = found
+        words = list(rest.keys() | learned.keys())
+        c = np.fromiter((learned[w] for w in words), np.int64, len(words))
+        n = c + np.fromiter((rest[w] for w in words), np.int64, len(words))
+        w = np.fromiter(map(_digest, words), np.uint64, len(words)).view(np.int64)
         for at in range(0, len(w), 1 << 16):
             cut = slice(at, at + (1 << 16))
-            yield pa.RecordBatch.from_pydict({"w": w[cut], "tk": keys[cut], "tf": n[cut]})
+            yield pa.RecordBatch.from_pydict({"w": w[cut], "c": c[cut], "n": n[cut]})
+
+
+def _whole(batches: Iterator[pa.RecordBatch], size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Batches put together to tables of about size bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
 
+def _pairs(shared):
+    """Rows (tk, w, tf, s, known, words) of a stage over (text, tk).
 
-def word_scores(docs: DataFrame, train: Column, text: str = "text") -> tuple[DataFrame, dict]:
-    """(tk, s, known) for each distinct text, and the corpus's figures.
+    One row a text has the frequent words' part of the sum, with tf 0, and a w that
+    brings nothing together; one for each of its other words has the rest to be found.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, value, seen = shared.value
+        row = 0
+        codes: dict[bytes, int] = {}
+        for batch in batches:
+            words: list[bytes] = []
+            times: list[int] = []
+            sizes: list[int] = []
+            for t in batch.column(0).to_pylist():
+                found = Counter(_bytes(t).translate(LOWER_ASCII).split())
+                words += found
+                times += found.values()
+                sizes.append(len(found))
+            if len(codes) > 1 << 19:
+                codes.clear()
+            for x in {x for x in words if x not in codes}:
+                codes[x] = _digest(x)
+            w, n = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)), np.array(times, np.int64)
+            owner, texts = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+            at = np.minimum(np.searchsorted(frequent, w), len(frequent) - 1)
+            hit = frequent[at] == w
+            tk = batch.column(1).to_numpy()
+            lone = (tk.view(np.uint64) + (np.arange(row, row + texts, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            row += texts
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "tk": tk,
+                    "w": lone,
+                    "tf": np.zeros(texts, np.int64),
+                    "s": np.bincount(owner[hit], n[hit] * value[at[hit]], texts).astype(float),  # of nothing, it would count in integers
+                    "known": np.bincount(owner[hit], n[hit] * seen[at[hit]], texts).astype(np.int64),
+                    "words": np.bincount(owner, n, texts).astype(np.int64),
+                }
+            )
+            rare = np.flatnonzero(~hit)
+            for first in range(0, len(rare), 1 << 16):
+                r = rare[first : first + (1 << 16)]
+                none = np.zeros(len(r), np.int64)
+                yield pa.RecordBatch.from_pydict({"tk": tk[owner[r]], "w": w[r].view(np.int64), "tf": n[r], "s": np.zeros(len(r)), "known": none, "words": none})
+
+    return run
+
+
+def word_scores(docs: DataFrame, train: Column, text: str = "text", rate: float = 1e-6) -> tuple[DataFrame, dict]:
+    """(tk, s, known, n_words) for each distinct text, and the corpus's figures.
 
     tk is the text's 64-bit key, s the sum of log10(c + 0.5) over its words, known
-    how many of them have c > 0. A text's copies each add the same, so sums over the
-    copies are divided by their number. Figures: n_train (texts), tokens (with one
-    end each) and distinct (with the end).
+    how many of them have c > 0. Sums over a text's copies are divided by their number.
+    Figures: n_train (texts), tokens (with one end each) and distinct (with the end).
     """
-    small_batches(docs.sparkSession)
-    text = F.col(f"`{text}`")
-    slim = spread(docs.select(text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tk"), train.alias("train")))
-    pairs = slim.mapInArrow(_pairs, "w long, tk long, tf int").repartition("w")
-    # windows over the one exchange: a join would run the Python stage and shuffle the pairs twice
-    word = Window.partitionBy("w")
-    joined = pairs.withColumns({"c": F.sum(F.greatest("tf", F.lit(0))).over(word), "first_tk": F.min(F.when(F.col("tf") > 0, F.col("tk"))).over(word)})
-    per = joined.groupBy("tk").agg(
-        F.sum(F.abs("tf") * F.log10(F.col("c") + 0.5)).alias("s"),
-        F.sum(F.when(F.col("c") > 0, F.abs("tf")).otherwise(0)).alias("known"),
-        F.sum((F.col("tk") == F.col("first_tk")).cast("long")).alias("new"),
-    )
-    sizes = slim.groupBy("tk").agg(F.count("*").alias("copies"), F.sum(F.col("train").cast("long")).alias("in_train"), F.first(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n_words"))
-    per = stored(
-        sizes.join(per, "tk", "left").select(
-            "tk",
-            (F.coalesce("s", F.lit(0.0)) / F.col("copies")).alias("s"),
-            (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"),
-            (F.coalesce("new", F.lit(0)) / F.col("copies")).cast("long").alias("new"),
-            "in_train",
-            F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
-        ),
-        "ppm-words",
+    spark = docs.sparkSession
+    small_batches(spark)
+    t = F.col(f"`{text}`")
+    slim = spread(docs.select(t.alias("text"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("tk"), F.coalesce(train, F.lit(False)).alias("train")))
+    counts = stored(slim.select("text", "train").mapInArrow(_tally, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "ppm-words")
+    figures = counts.agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    n_train = slim.filter("train").count()
+    least = F.lit(rate * (figures["n"] or 0))
+    found = counts.filter(F.col("n") >= least).select("w", "c").toArrow()  # at most 1 / rate rows
+    w, c = found["w"].to_numpy().view(np.uint64), found["c"].to_numpy()
+    order = np.argsort(w)
+    w, c = (w[order], c[order]) if len(w) else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+    shared = spark.sparkContext.broadcast((w, np.log10(c + 0.5), (c > 0).astype(np.int64)))
+    pairs = slim.select("text", "tk").mapInArrow(_pairs(shared), "tk long, w long, tf long, s double, known long, words long")
+    rare = counts.filter(F.col("n") < least).select("w", "c")
+    c = F.coalesce("c", F.lit(0))
+    copies = F.count_if(F.col("tf") == 0)
+    per = (
+        pairs.join(rare, "w", "left")
+        .groupBy("tk")
+        .agg(
+            (F.sum(F.col("s") + F.col("tf") * F.log10(c + 0.5)) / copies).alias("s"),
+            (F.sum(F.col("known") + F.when(c > 0, F.col("tf")).otherwise(0)) / copies).cast("long").alias("known"),
+            (F.sum("words") / copies).cast("long").alias("n_words"),
+        )
     )
-    row = per.agg(F.sum("in_train").alias("n"), F.sum(F.col("in_train") * (F.col("n_words") + 1)).alias("t"), F.sum("new").alias("v")).first()
-    n = int(row["n"] or 0)
-    return per.select("tk", "s", "known", "n_words"), {"n_train": n, "tokens": int(row["t"] or 0), "distinct": int(row["v"] or 0) + (n > 0)}
+    return stored(per, "ppm-bases"), {"n_train": n_train, "tokens": int(figures["c"] or 0) + n_train, "distinct": int(figures["v"] or 0) + (n_train > 0)}
 
 
 def score_corpus(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -322,14 +414,14 @@ def score_corpus(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
     thousand million differ with near certainty). An empty table gives an empty one;
     without training rows all words are unknown and all bytes equally likely.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), train.alias("train"))
-    per, figures = word_scores(rows, F.col("train"))
-    tries = fit(rows, train=F.col("train"))
-    scored = with_score(rows, tries, out="score").withColumn("tk", F.xxhash64(F.coalesce("text", F.lit("")))).drop("text")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    base, figures = word_scores(rows, F.col("train"))
+    per = base.join(text_scores(rows, fit(rows, train=F.col("train"))), "tk")
+    scored = rows.select("doc_id", "train", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"))
     n = figures["n_train"]
     total = F.lit(figures["tokens"] + 0.5 * (figures["distinct"] + 1))
     size = F.col("n_words") + 1
-    return scored.join(per, "tk").select(
+    return scored.join(stored(per, "ppm-texts"), "tk").select(
         "doc_id",
         "train",
         size.alias("n_tokens"),
@@ -338,5 +430,3 @@ def score_corpus(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: s
         (F.col("s") + F.log10(F.lit(n + 0.5)) - size * F.log10(total)).alias("base_score"),
         "score",
     )
-
-

@@ -15,8 +15,7 @@ def contexts(train):
         for i in range(5, len(s)):
             for k in range(6):
                 counts.setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
-    rate = 1e-5 * sum(counts.get((), {}).values())
-    return {c: n for c, n in counts.items() if len(c) < 3 or sum(n.values()) >= rate}
+    return counts
 
 
 def brute_ppm(counts, text):
@@ -58,22 +57,44 @@ def rows():
 @pytest.mark.parametrize("cells", [40_000_000, 60_000])
 def test_matches_brute_force(spark, cells, monkeypatch):
     docs = rows()
-    monkeypatch.setattr(ppm.fit, "__defaults__", ("text", 1e-5, cells))
+    monkeypatch.setattr(ppm.fit, "__defaults__", ("text", cells))
     df = spark.createDataFrame(docs, "doc_id long, text string, score boolean")
     got = ppm.score_corpus(df, F.col("score")).collect()
     train = [t for _, t, y in docs if y]
     want, counts = {}, contexts(train)
     for d, t, y in docs:
-        if len(t or "") < 10_000:
-            n, known, total, base = brute_base(train, t)
-            want.setdefault((d, y), []).append((n, known, total, base, brute_ppm(counts, t)))
+        n, known, total, base = brute_base(train, t)
+        want.setdefault((d, y), []).append((n, known, total, base, brute_ppm(counts, t)))
     assert len(got) == len(docs)
     for r in got:
-        if r["doc_id"] != 75:
-            n, known, total, base, score = want[r["doc_id"], r["train"]][0]
-            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
-            assert math.isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9)
-            assert math.isclose(r["score"], score, rel_tol=1e-5, abs_tol=1e-4)
+        n, known, total, base, score = want[r["doc_id"], r["train"]][0]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r["score"], score, rel_tol=1e-5, abs_tol=1e-4)
+
+
+@pytest.mark.parametrize("rate", [1e-6, 0.05, 2.0])
+def test_rare_and_frequent_words_score_alike(spark, rate):
+    """Whichever words the scan scores and whichever the shuffle, the sums are those of the brute force."""
+    docs = rows()
+    df = spark.createDataFrame(docs, "doc_id long, text string, train boolean").repartition(3).withColumn("tk", F.xxhash64(F.coalesce("text", F.lit(""))))
+    per, figures = ppm.word_scores(df, F.col("train"), rate=rate)
+    got = {r["tk"]: r for r in per.collect()}
+    train = [t for _, t, y in docs if y]
+    assert figures["n_train"] == len(train)
+    for r in df.collect():
+        n, known, total, base = brute_base(train, r["text"])
+        one = got[r["tk"]]
+        assert (one["n_words"] + 1, one["known"] + 1, figures["tokens"]) == (n, known, total)
+        mine = one["s"] + math.log10(len(train) + 0.5) - n * math.log10(total + 0.5 * (figures["distinct"] + 1))
+        assert math.isclose(mine, base, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_score_column_beside_others(spark):
+    df = spark.createDataFrame([(1, "ab", 5.0, 7), (2, None, 6.0, 7), (1, "ab", 5.0, 7)], "doc_id long, text string, ppm_log10 double, tk int")
+    out = ppm.with_score(df, ppm.fit(df))
+    assert out.columns == [*df.columns, "_ppm_log10"] and out.count() == 3
+    assert {r["ppm_log10"] for r in out.collect()} == {5.0, 6.0} and {r["tk"] for r in out.collect()} == {7}
 
 
 def test_empty_and_untrained(spark):
