@@ -20,7 +20,6 @@ no group meets in one task as a whole.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,45 +34,67 @@ from .common import free_name, small_batches, spread
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _digest(words: list[str]) -> int:
-    h = xxhash.xxh3_64_intdigest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+#: An odd factor and its inverse modulo 2**64.
+_B = 0xC2B2AE3D27D4EB4F
+_B_INVERSE = pow(_B, -1, 1 << 64)
 
 
-def spans(text: str, least_unit: int = 6, window: int = 12, codes: dict[str, int] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
-    """(digest, start, end, words, number of the last word) at each cut of the text, and of each line that has a letter or digit, with words below 0."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def spans(text: str, least_unit: int = 6, window: int = 12, codes: dict[str, int] | None = None) -> np.ndarray:
+    """Rows (digest, start, end, words, number of the last word) for each cut of the text, and for each line that has a letter or digit, with words below 0.
+
+    A span's digest is a polynomial of its words' hashes, from prefix sums over the text.
+    """
     codes = {} if codes is None else codes
-    at = [m.span() for m in _WORD.finditer(text)]
-    words = [text[a:b].lower() for a, b in at]
+    words = _WORD.findall(text.lower())
     n = len(words)
-    cuts = [0]
+    if not n:
+        return np.zeros((0, 5), np.int64)
+    for w in {w for w in words if w not in codes}:
+        codes[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    h = np.fromiter(map(codes.__getitem__, words), np.uint64, n)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = (points != 32) & ((points < 9) | (points > 13))
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+    starts, stops = edges[::2], edges[1::2]
+
+    cuts = np.zeros(1, np.int64)
     if n > window:
-        for w in words:
-            if w not in codes:
-                codes[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(codes.__getitem__, words), np.uint64, n)
         pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
         pair ^= pair >> np.uint64(29)
         least = np.lib.stride_tricks.sliding_window_view(pair, window).argmin(1)
-        cuts += (np.unique(least + np.arange(len(least))) + 2).tolist()
+        cuts = np.r_[cuts, np.unique(least + np.arange(len(least))) + 2]
     if cuts[-1] < n:
-        cuts.append(n)
-    first, made = 0, False
-    for end in cuts[1:]:
-        while cuts[first + 1] <= end - least_unit:
-            first += 1
-        begin = cuts[first] if made else 0
-        if end - begin >= least_unit:
-            made = True
-            yield _digest(words[begin:end]), at[begin][0], at[end - 1][1], end - begin, end - 1
-    # whole lines, with the number of words below 0
-    begin, stop = 0, 0
-    while begin < n:
-        stop = text.find("\n", at[begin][0])
-        end = n if stop < 0 else bisect_left(at, (stop,), begin)
-        if any(map(str.isalnum, text[at[begin][0] : at[end - 1][1]])):
-            yield _digest(["\n", *words[begin:end]]), at[begin][0], at[end - 1][1], begin - end, end - 1
-        begin = end
+        cuts = np.r_[cuts, n]
+    ends = cuts[1:][cuts[1:] >= least_unit]
+    begins = cuts[np.searchsorted(cuts, ends - least_unit, "right") - 1]
+    begins[:1] = 0  # what comes before the first cut is judged with it
+
+    total = np.cumsum(np.r_[np.uint64(0), h * _powers(_B_INVERSE, n - 1)])
+    up = _powers(_B, n)
+    made = [_rows(_mixed((total[ends] - total[begins]) * up[begins]), starts, stops, begins, ends, ends - begins)]
+
+    # whole lines; their digests differ from those of spans
+    line = np.searchsorted(np.flatnonzero(points == 10), starts)
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    last = np.r_[first[1:], n]
+    keep = np.fromiter((any(map(str.isalnum, text[a:b])) for a, b in zip(starts[first].tolist(), stops[last - 1].tolist())), bool, len(first))
+    first, last = first[keep], last[keep]
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(("\n" + " ".join(words[a:b])).encode("utf-8", "surrogatepass")) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first))
+    made.append(_rows(digests, starts, stops, first, last, first - last))
+    return np.concatenate(made)
+
+
+def _rows(digests: np.ndarray, starts: np.ndarray, stops: np.ndarray, begins: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.stack([digests.view(np.int64), starts[begins], stops[ends - 1], words, ends - 1], 1)
 
 
 #: What a row of a digest is: the least of its task so far; its text's first, but not the task's; a later one of its text; one that overlaps its text's first.
@@ -118,17 +139,12 @@ def _scan(least_unit: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = _Task()
         for batch in batches:
-            rows: list[tuple[int, ...]] = []
-            sizes = []
-            codes: dict[str, int] = {}
-            for t in batch.column(1).to_pylist():
-                n = len(rows)
-                rows += spans(t or "", least_unit, window, codes)
-                sizes.append(len(rows) - n)
-            if not rows:
+            if not len(batch):
                 continue
-            made = np.array(rows, np.int64).reshape(-1, 5)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
+            codes: dict[str, int] = {}
+            rows = [spans(t or "", least_unit, window, codes) for t in batch.column(1).to_pylist()]
+            made = np.concatenate(rows)
+            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
             docs = [(i is None, "" if i is None else i, k) for i, k in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             kind = task.kinds(owner, made, docs)
             keep = np.flatnonzero(kind >= 0)
