@@ -22,6 +22,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import blocks, cut, let, running
 from .common import free_name, spread
 
 #: Kinds in their order of listing.
@@ -88,30 +89,30 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _kept(kind: str, spans: str) -> Column:
+def _kept(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda x: _valid(kind, x["hit"]))
 
 
-def _spans(df: DataFrame, text: str, out: str, kind: str, pattern: str, gate, tmp: str) -> DataFrame:
-    """df with the array out of all leftmost non-overlapping matches, in code points.
+def _spans(text: Column, kind: str, pattern: str, gate) -> Column:
+    """All leftmost non-overlapping matches in a text, in code points.
 
     The text is split at the matches; gaps and matches in turn add up to positions.
     """
-    p, t = F.lit(pattern), F.col(text)
-    df = df.withColumn(tmp, F.when(gate(t), F.struct(F.regexp_extract_all(t, p, F.lit(0)).alias("h"), F.split(t, pattern, -1).alias("g"))))
-    h, g = F.col(tmp)["h"], F.col(tmp)["g"]
-    zipped = F.arrays_zip(h.alias("h"), F.slice(g, 1, F.size(h)).alias("g"), F.slice(g, 2, F.size(h)).alias("n"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
     code = F.lit(KINDS.index(kind))
 
-    def step(acc: Column, z: Column) -> Column:
-        begin = acc["at"] + F.length(z["g"])
-        end = begin + F.length(z["h"])
-        found = F.struct(code.alias("kind"), begin.alias("start"), end.alias("end"), z["h"].alias("hit"), F.right(z["g"], F.lit(40)).alias("pre"), F.left(z["n"], F.lit(12)).alias("post"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def placed(x: Column) -> Column:
+        h, g = x["h"], x["g"]
+        sizes = F.zip_with(h, F.slice(g, 1, F.size(h)), lambda a, b: (F.length(a) + F.length(b)).cast("long"))
+        zipped = F.arrays_zip(h.alias("h"), F.slice(g, 1, F.size(h)).alias("g"), F.slice(g, 2, F.size(h)).alias("n"), running(sizes).alias("at"))
+        return F.transform(zipped, span)
 
-    made = F.when(F.size(h) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"]))
-    return df.withColumn(out, F.coalesce(made, F.array().cast(f"array<{_SPAN}>"))).drop(tmp)
+    def span(z: Column) -> Column:
+        begin = z["at"] + F.length(z["g"])
+        return F.struct(code.alias("kind"), begin.alias("start"), (begin + F.length(z["h"])).alias("end"), z["h"].alias("hit"), F.right(z["g"], F.lit(40)).alias("pre"), F.left(z["n"], F.lit(12)).alias("post"))
+
+    p = F.lit(pattern)
+    found = let(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("g")), lambda x: F.when(F.size(x["h"]) > 0, placed(x)))
+    return F.coalesce(F.when(gate(text), found).cast(f"array<{_SPAN}>"), F.array().cast(f"array<{_SPAN}>"))
 
 
 def _features(c: Column) -> dict[str, Column]:
@@ -158,40 +159,51 @@ NAMES = (
 
 def candidates(docs: DataFrame, text: str, base: str, wide: str) -> DataFrame:
     """docs with the arrays base (valid exact spans) and wide (candidates with features f)."""
-    src, tmp = free_name(docs, "pii_text"), free_name(docs, "pii_tmp")
+    src = free_name(docs, "pii_text")
     df = docs.withColumn(src, F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    parts: dict[str, list[str]] = {"base": [], "wide": []}
-    for name, patterns, gates in (("base", BASE, _GATE), ("wide", WIDE, _WIDE_GATE)):
-        for kind in KINDS:
-            col = free_name(docs, f"pii_{name}_{kind}")
-            df = _spans(df, src, col, kind, patterns[kind], gates[kind], tmp)
-            parts[name].append(col)
-    exact = F.concat(*[_kept(kind, col) for kind, col in zip(KINDS, parts["base"])])
-    plain = F.concat(*[F.col(c) for c in parts["wide"]])
-    df = df.withColumn(base, exact).withColumn(wide, plain).drop(src, *parts["base"], *parts["wide"])
-    return df.withColumn(wide, F.transform(wide, lambda c: F.struct(c.alias("c"), F.struct(*[v.alias(k) for k, v in _features(c).items()]).alias("f"))))
+    t = F.col(src)
+    exact = F.concat(*[_kept(kind, _spans(t, kind, BASE[kind], _GATE[kind])) for kind in KINDS])
+    plain = F.concat(*[_spans(t, kind, WIDE[kind], _WIDE_GATE[kind]) for kind in KINDS])
+    with_features = F.transform(plain, lambda c: F.struct(c.alias("c"), F.struct(*[v.alias(k) for k, v in _features(c).items()]).alias("f")))
+    return df.withColumns({base: exact, wide: with_features}).drop(src)
+
+
+_PLACE = "array<struct<start:bigint,kind:int,end:bigint,base:boolean>>"
+
+
+def _free(spans: Column) -> Column:
+    """Of sorted spans, those of base and the others that overlap none of base."""
+    far = 1 << 60
+    until = running(F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(-1)), lambda a, b: F.greatest(a, b), -1)
+    after = F.reverse(running(F.reverse(F.transform(spans, lambda s: F.when(s["base"], s["start"]).otherwise(far))), lambda a, b: F.least(a, b), far))
+    marked = F.arrays_zip(spans.alias("s"), until.alias("until"), after.alias("after"))
+    kept = F.filter(marked, lambda z: z["s"]["base"] | ((z["until"] <= z["s"]["start"]) & (z["after"] >= z["s"]["end"])))
+    return F.transform(kept, lambda z: z["s"])
 
 
 def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """docs with out: array of (kind, start, end, base), by start, then kind as listed, then end.
 
-    Offsets are code points, end exclusive; base tells exact spans from those that
-    the trees selected. Null and empty texts have no spans. Repeated rows get equal
-    results, an empty table an empty one; extra columns stay.
+    out gets underscores before it if docs has it. Offsets are code points, end
+    exclusive; base tells exact spans from those that the trees selected, which stay
+    only where no base span overlaps them. Null and empty texts have no spans, and the
+    work grows little faster than a text's length. Repeated rows get equal results, an
+    empty table an empty one; extra columns stay.
     """
     trees = model(docs.sparkSession)
+    out = free_name(docs, out)
     base, wide = free_name(docs, "pii_base"), free_name(docs, "pii_wide")
     df = candidates(spread(docs), text, base, wide)
     chosen = F.expr(f"filter(`{wide}`, x -> {trees.sql('x.f')})")
-    # a chosen span that a base span overlaps adds nothing
-    free = F.filter(chosen, lambda x: ~F.exists(F.col(base), lambda b: (b["start"] < x["c"]["end"]) & (x["c"]["start"] < b["end"])))
 
     def slim(c: Column, exact: bool) -> Column:
         return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), F.lit(exact).alias("base"))
 
-    spans = F.array_sort(F.concat(F.transform(base, lambda c: slim(c, True)), F.transform(free, lambda x: slim(x["c"], False))))
-    named = F.transform(spans, lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return df.withColumn(out, named).drop(base, wide) if out not in (base, wide) else df.withColumn(out, named)
+    exact = F.array_sort(F.transform(base, lambda c: slim(c, True))).cast(_PLACE)
+    both = let(F.transform(chosen, lambda x: slim(x["c"], False)).cast(_PLACE), lambda w: F.when(F.size(w) > 0, let(F.array_sort(F.concat(exact, w)), _free)).otherwise(exact))
+    named = F.transform(both, lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    made = df.withColumn(out, named)
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"`{out}`"))
 
 
 def listed(spans: Column) -> Column:
@@ -202,21 +214,26 @@ def listed(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of text replaced by its kind in capitals and brackets; overlapping spans become one, named after the first.
 
-    Null texts stay null. All columns are kept.
+    Null texts stay null, empty ones empty. All columns are kept, whatever their names;
+    repeated rows get equal texts, an empty table gives an empty one.
     """
     col = free_name(docs, "pii")
     df = find(docs, text, col)
     t = F.col(f"`{text}`")
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        gap = F.substring(t, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        tag = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(gap, tag))).alias("out"))
+    def piece(pieces: Column, z: Column) -> Column:
+        tag = F.concat(cut(pieces, z["until"], z["s"]["start"]), F.lit("["), F.upper(z["s"]["kind"]), F.lit("]"))
+        return F.when(z["s"]["start"] >= z["until"], tag).otherwise("")
+
+    def whole(pieces: Column) -> Column:
+        until = running(F.transform(col, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        marked = F.arrays_zip(F.col(f"`{col}`").alias("s"), until.alias("until"))
+        rest = cut(pieces, F.array_max(F.transform(col, lambda s: s["end"])), F.length(t).cast("long"))
+        return F.concat(F.array_join(F.transform(marked, lambda z: piece(pieces, z)), ""), rest)
 
-    made = F.aggregate(col, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, (acc["at"] + 1).cast("int"), F.length(t))))
-    return df.withColumn(text, F.when(F.size(col) > 0, made).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    made = F.when(F.size(col) > 0, let(blocks(t), whole)).otherwise(t)
+    kept = {c: F.col(f"`{c}`") for c in docs.columns} | {text: made.alias(text)}
+    return df.select(*[kept[c] for c in docs.columns])
 
 
 class Trees:
