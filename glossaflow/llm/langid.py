@@ -1,11 +1,10 @@
 """Language identification with language-bitmask n-gram filters.
 
-Training: character 3- and 4-grams of a bounded sample of labelled texts are
-counted per language; a language's set has every gram that makes up at least
-``rate`` of its grams, hence at most 1 / rate of them. The sets go into Bloom
-filters that are stored bit-sliced: one table of slots, whose words have a bit for
-each language, so a lookup gives all languages that (seem to) contain a gram as
-the AND of a few words.
+Training: the character 3- and 4-grams of a bounded sample of labelled texts make up a
+set for each language. The sets go into Bloom filters that are stored bit-sliced: one
+table of slots, whose words have a bit for each language, so a lookup gives all
+languages that (seem to) contain a gram as the AND of a few words. The table's size
+follows from the largest set.
 
 Prediction: the masks of a text's grams are summed per language, each sum is
 corrected for that language's false-positive rate, and the language with the
@@ -20,11 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, spread, stored
+from .common import free_name, small_batches, spread
 
 ORDERS = (3, 4)
 UNKNOWN = "und"
@@ -100,8 +100,10 @@ class Filters:
     usual: str = UNKNOWN  # the most frequent language of the training texts
 
     @classmethod
-    def build(cls, grams: dict[str, np.ndarray], bits: int, hashes: int = 3) -> Filters:
+    def build(cls, grams: dict[str, np.ndarray], bits: int | None = None, hashes: int = 3) -> Filters:
+        """Filters of 2**bits slots, or of at least 8 for each gram of the largest language: a wrong hit in 30 at most."""
         langs = sorted(grams)
+        bits = bits or max(10, int(8 * max(map(len, grams.values()), default=0)).bit_length())
         words = max(1, -(-len(langs) // 64))
         kind = np.uint8 if len(langs) <= 8 else np.uint64
         slots = np.zeros((1 << bits, words), kind)
@@ -143,38 +145,32 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 4000, rate: float = 2e-5, bits: int = 20) -> Filters:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = 4000) -> Filters:
     """Filters from labelled docs (rows with null text or lang are left out).
 
-    About docs_per_lang whole texts of each language are used, chosen by text hash:
-    the bound on the labelled sample. What reaches the driver are at most 1 / rate
-    grams of each language.
+    About docs_per_lang whole texts of each language at most are used, chosen by text
+    hash, copies once: the bound on the labelled sample, and so on what reaches the
+    driver, which is each language's set of grams. Texts and grams are never cut.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Filters.build({}, bits)
+        return Filters.build({})
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, docs_per_lang / n))])
     unit = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = spread(rows.filter(unit < share[F.col("lang")]))
+    sample = rows.filter(unit < share[F.col("lang")]).groupBy("lang", F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             df = batch.to_pandas()
             for name, part in df.groupby("lang"):
-                h, _, _ = gram_hashes(part["text"].tolist())
-                grams, n = np.unique(h, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(grams), pa.string()), "gram": grams.view(np.int64), "n": n.astype(np.int64)})
-
-    grams = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    kept = stored(grams, "langid-grams")
-    totals = {r["lang"]: r["t"] for r in kept.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
-    least = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, rate * totals.get(k, 1))])
-    found = kept.filter(F.col("n") >= least[F.col("lang")]).select("lang", "gram").toPandas()
-    grams = {k: v["gram"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")}
-    filters = Filters.build({k: grams.get(k, np.zeros(0, np.uint64)) for k in sizes}, bits)
+                grams = np.unique(gram_hashes(part["text"].tolist())[0])
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(grams), pa.string()), "gram": grams.view(np.int64)})
+
+    found = sample.select("lang", "text").mapInArrow(listed, "lang string, gram long").distinct().toArrow()
+    hashes = found["gram"].to_numpy().view(np.uint64)
+    filters = Filters.build({k: hashes[pc.equal(found["lang"], k).to_numpy()] for k in sizes})
     filters.usual = max(sorted(sizes), key=sizes.get)
     return filters
 
@@ -222,12 +218,16 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text") -> DataFrame
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], s["lang"].alias(names["lang_pred"]), s["score"].alias(names["lang_score"]), s["share"].alias(names["lang_share"]), s["grams"].alias(names["lang_grams"]))
 
 
-def keep_known(docs: DataFrame, filters: Filters, least_share: float = 0.2, least_grams: int = 20, **kw) -> DataFrame:
-    """docs in a language of the filters; all columns are kept.
+def keep_known(docs: DataFrame, filters: Filters, least_share: float = 0.2, z: float = 2.0, **kw) -> DataFrame:
+    """docs in a language of the filters; all columns are kept, whatever their names.
 
-    Rejected: und, and texts of least_grams grams or more of which the predicted
-    language contains less than least_share.
+    Rejected: und (null, empty and letterless texts), and texts whose predicted language
+    seems to contain less than least_share of their grams: the upper end of the share's
+    confidence interval (Wilson's, z deviations) lies below it. The fewer the grams, the
+    wider the interval. Repeated rows fare alike, an empty table gives an empty one.
     """
     pred, share, grams = (free_name(docs, n) for n in ("lang_pred", "lang_share", "lang_grams"))
     found = identify(docs, filters, **kw)
-    return found.filter((F.col(pred) != UNKNOWN) & ((F.col(share) >= least_share) | (F.col(grams) < least_grams))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    p, n, zz = F.col(share), F.col(grams), z * z
+    upper = F.when(n == 0, 1.0).otherwise((p + zz / (2 * n) + z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n))
+    return found.filter((F.col(pred) != UNKNOWN) & (upper >= least_share)).select(*[F.col(f"`{c}`") for c in docs.columns])
