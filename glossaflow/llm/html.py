@@ -4,10 +4,13 @@ A page is cut into leaf blocks (runs of text between block-level tags, inline ta
 inside) by a forgiving tokenizer. Each block becomes a vector: the tags on its path,
 hashed words of their class, id and role, hashed words of its text, and a few
 measures. A bidirectional LSTM in numpy reads the blocks of a page in order and
-labels each as article or not, with the whole document as context. It is trained
-here, on generated pages, once a process. After it, blocks inside nav, footer,
-aside and form elements are left out whatever the label, unless such an element holds
-most of the page's text: then it is taken as not there, and the label decides.
+labels each as article or not, with the whole document as context; the label alone
+decides. It is trained here, on generated pages, once a process. An element of a kind
+that articles don't stand in, such as a form, that yet holds most of the page's text says
+nothing about its blocks, and is left out of their vectors.
+
+What is on a path is kept once an element, as bits, and vectors are made in bounded
+pieces, so deep and long pages take memory in proportion to their size.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -54,19 +58,36 @@ _AT_WORDS = _AT_NAMES + 2 * _HASH_NAMES
 WIDTH = _AT_WORDS + _HASH_WORDS + _MEASURES
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
-    names: tuple[str, ...]  # words of class, id and role, nearest element last
-    near: tuple[str, ...]  # those of the nearest element that has any
+    marks: int  # bits of the vector's first places: path, last tag, words of class, id and role, those of the nearest element with any
     text: str
     linked: int  # characters inside links
 
 
+class _Element:
+    """An open element, with the marks of a block right inside."""
+
+    __slots__ = ("tag", "path", "near", "marks")
+
+    def __init__(self, tag: str, words: set[str], parent: _Element | None):
+        self.tag = tag
+        own = 1 << _TAG_NO[tag]
+        near = 0
+        for w in words:
+            bit = 1 << _AT_NAMES + _slot(w, _HASH_NAMES)
+            own |= bit
+            near |= bit << _HASH_NAMES
+        self.path = own | (parent.path if parent else 0)
+        self.near = near or (parent.near if parent else 0)
+        self.marks = self.path | 1 << len(_TAGS) + _TAG_NO[tag] | self.near
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with references decoded and white space collapsed."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Element] = []
+    open_: Counter = Counter()
     held: list[str] = []
     state = {"link": 0, "linked": 0}
 
@@ -74,9 +95,7 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            names = tuple(w for _, ws in stack for w in ws)
-            near = next((ws for _, ws in reversed(stack) if ws), ())
-            out.append(Block(tuple(t for t, _ in stack), names, near, text, min(state["linked"], len(text))))
+            out.append(Block(stack[-1].marks if stack else 0, text, min(state["linked"], len(text))))
         state["linked"] = 0
 
     def add(text: str) -> None:
@@ -85,11 +104,15 @@ def blocks(page: str | None) -> list[Block]:
             state["linked"] += len(text)
 
     def close(tag: str, stop: tuple[str, ...] = ()) -> None:
+        if not open_[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
+            if stack[i].tag == tag:
+                for e in stack[i:]:
+                    open_[e.tag] -= 1
                 del stack[i:]
                 return
-            if stack[i][0] in stop:
+            if stack[i].tag in stop:
                 return
 
     source = page or ""
@@ -116,7 +139,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         attr = m["attr"] or m["attr2"] or ""
         if tag in _RAW and not attr.rstrip().endswith("/"):
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
+            end = _raw_end(tag).search(source, at)
             if end or tag in _TO_END:
                 at = end.end() if end else len(source)
             continue
@@ -132,30 +155,33 @@ def blocks(page: str | None) -> list[Block]:
                 close("p", _SCOPE["p"])
             if tag in _SCOPE and tag != "p":
                 close(tag, _SCOPE[tag])
-            words = tuple(w.lower() for v in _ATTR.findall(attr) for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(v)).replace("_", " ")))
-            stack.append((tag, words))
+            words = {w.lower() for v in _ATTR.findall(attr) for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(v)).replace("_", " "))}
+            stack.append(_Element(tag, words, stack[-1] if stack else None))
+            open_[tag] += 1
             state["link"] = 0
     flush()
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I)
+
+
 def _slot(word: str, size: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % size
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    out = np.zeros((len(page), WIDTH), np.float32)
-    longest = max((len(b.text) for b in page), default=1)
-    for i, b in enumerate(page):
-        row = out[i]
-        for t in b.path:
-            row[_TAG_NO[t]] = 1
-        if b.path:
-            row[len(_TAGS) + _TAG_NO[b.path[-1]]] = 1
-        for w in b.names:
-            row[_AT_NAMES + _slot(w, _HASH_NAMES)] = 1
-        for w in b.near:
-            row[_AT_NAMES + _HASH_NAMES + _slot(w, _HASH_NAMES)] = 1
+def vectors(page: list[Block], begin: int = 0, end: int | None = None, longest: int | None = None) -> np.ndarray:
+    """Of the page's blocks from begin to end; longest: characters of the page's longest block."""
+    part = page[begin:end]
+    out = np.zeros((len(part), WIDTH), np.float32)
+    size = -(-_AT_WORDS // 8)
+    marks = np.frombuffer(b"".join(b.marks.to_bytes(size, "little") for b in part), np.uint8).reshape(len(part), size)
+    out[:, :_AT_WORDS] = np.unpackbits(marks, axis=1, bitorder="little")[:, :_AT_WORDS]
+    longest = longest or max((len(b.text) for b in page), default=1)
+    for i, b in enumerate(part, begin):
+        row = out[i - begin]
         words = [w.lower() for w in _WORD.findall(b.text)]
         n = len(words) or 1
         for w in words:
@@ -197,9 +223,11 @@ class Labeller:
 
     def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
         """x: (T, B, W). Hidden states in page order, and what the backward pass needs."""
-        T, B, _ = x.shape
+        return self._steps(x @ self.p["x" + d] + self.p["c" + d], mask, d, keep)
+
+    def _steps(self, z: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+        T, B, _ = z.shape
         H = self.hidden
-        z = x @ self.p["x" + d] + self.p["c" + d]
         h, c = np.zeros((B, H), np.float32), np.zeros((B, H), np.float32)
         out, trace = np.zeros((T, B, H), np.float32), []
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
@@ -262,7 +290,7 @@ class Labeller:
                     self.p[k] = (self.p[k] - pace * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
         return self
 
-    def label(self, pages: list[np.ndarray], cells: int = 1 << 14) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]], cells: int = 1 << 14) -> list[np.ndarray]:
         """Probability of each block; pages of like length share a batch of at most cells blocks (a longer page is its own)."""
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
         order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
@@ -272,13 +300,30 @@ class Labeller:
             while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= cells:
                 end += 1
             ids = order[at:end]
-            x, mask, _ = padded([(pages[i], np.zeros(len(pages[i]))) for i in ids])
-            p = self._sigmoid(self._scores(self._run(x, mask, "f", False)[0], self._run(x, mask, "b", False)[0]))
+            mask = np.zeros((len(pages[ids[-1]]), len(ids)), np.float32)
+            for j, i in enumerate(ids):
+                mask[: len(pages[i]), j] = 1
+            hidden = []
+            for some in ("fb",) if len(mask) <= cells else ("f", "b"):  # a long page is read twice, to hold less at a time
+                z = self._inputs(pages, ids, mask.shape, some, cells)
+                hidden += [self._steps(z.pop(d), mask, d, False)[0] for d in some]
+            p = self._sigmoid(self._scores(*hidden))
             for j, i in enumerate(ids):
                 out[i] = p[: len(pages[i]), j]
             at = end
         return out
 
+    def _inputs(self, pages: list[list[Block]], ids: list[int], shape: tuple[int, int], directions: str, cells: int) -> dict[str, np.ndarray]:
+        """What the cells of each direction get from a batch's blocks; vectors are made for at most cells blocks at a time."""
+        z = {d: np.zeros((*shape, 4 * self.hidden), np.float32) for d in directions}
+        for j, i in enumerate(ids):
+            longest = max(len(b.text) for b in pages[i])
+            for begin in range(0, len(pages[i]), cells):
+                part = vectors(pages[i], begin, begin + cells, longest)
+                for d in directions:
+                    z[d][begin : begin + len(part), j] = part @ self.p["x" + d] + self.p["c" + d]
+        return z
+
 
 def padded(pages: list[tuple[np.ndarray, np.ndarray]]):
     T = max(len(x) for x, _ in pages)
@@ -386,6 +431,11 @@ def generated(r: random.Random) -> tuple[str, list[str]]:
         if r.random() < chance:
             parts.append(f())
     page = "".join(parts)
+    wrap = r.random()
+    if wrap < 0.06:
+        page = f"<form method=post action='/'{attr('', 'aspnetForm', 'form1')}><div>{page}</div></form>"
+    elif wrap < 0.09:
+        page = f"<{r.choice(['form', 'aside', 'nav'])}>{page}"
     if r.random() < 0.9:
         page = f"<!DOCTYPE html><html><head><title>{prose(2, 9)}</title><style>p{{}}</style></head><body>{page}" + ("</body></html>" if r.random() < 0.8 else "")
     return page, gold
@@ -406,29 +456,33 @@ def model(pages: int = 500, seed: int = 5) -> Labeller:
                 left.remove(b.text)
                 y[i] = 1
         if found:
-            made.append((vectors(found), y))
+            made.append((vectors(opened(found)), y))
     return Labeller(seed=seed).train(made)
 
 
 def opened(page: list[Block]) -> list[Block]:
-    """The blocks, with those _NEVER elements off their paths that hold most of the page: one around the article, or one that isn't closed."""
+    """The blocks, without the marks of _NEVER elements that hold most of the page: one around the article, or one that isn't closed."""
     whole = sum(len(b.text) for b in page)
-    held = {t for t in _NEVER if 2 * sum(len(b.text) for b in page if t in b.path) > whole}
-    return [replace(b, path=tuple(t for t in b.path if t not in held)) for b in page] if held else page
+    gone = 0
+    for t in _NEVER:
+        bit = 1 << _TAG_NO[t]
+        if 2 * sum(len(b.text) for b in page if b.marks & bit) > whole:
+            gone |= bit | bit << len(_TAGS)
+    return [replace(b, marks=b.marks & ~gone) for b in page] if gone else page
 
 
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[list[str]]:
     """The article blocks of each page."""
     found = [opened(blocks(p)) for p in pages]
-    labels = labeller.label([vectors(b) for b in found])
-    return [[b.text for b, p in zip(bs, ps) if p > 0.5 and _NEVER.isdisjoint(b.path)] for bs, ps in zip(found, labels)]
+    return [[b.text for b, p in zip(bs, ps) if p > 0.5] for bs, ps in zip(found, labeller.label(found))]
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """pages with out: the article's blocks, joined by blank lines ('' if there are none, or html is null or empty).
 
     out gets underscores before it if pages has it. Repeated rows get equal texts, an
-    empty table gives an empty one, and no page or block is too long.
+    empty table gives an empty one. A page of any length and depth is read whole, in
+    memory in proportion to its size.
     """
     small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model())
@@ -438,8 +492,15 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
         labeller = shared.value
         for batch in batches:
             made: list[str] = []
-            for at in range(0, len(batch), 128):
-                made += ["\n\n".join(t) for t in main_texts(batch.iloc[at : at + 128].tolist(), labeller)]
+            rows = batch.tolist()
+            at = 0
+            while at < len(rows):  # about four million characters at a time
+                end, size = at, 0
+                while end < len(rows) and (end == at or size + len(rows[end] or "") <= 1 << 22):
+                    size += len(rows[end] or "")
+                    end += 1
+                made += ["\n\n".join(t) for t in main_texts(rows[at:end], labeller)]
+                at = end
             yield pd.Series(made, dtype=object)
 
     return spread(pages).withColumn(free_name(pages, out), text(F.col(f"`{html}`")))

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
+from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 
 from glossaflow.llm import html
 
@@ -26,6 +29,91 @@ def test_blocks():
     assert html.blocks(long + "x") == html.blocks(long + "x")
 
 
+class Plain(HTMLParser):
+    """A plain reading of well-formed pages: text between block-level tags, nothing from raw elements."""
+
+    INLINE = {"b", "i", "a", "em", "span", "br", "img", "input", "wbr", "meta"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.held, self.raw = [], [], 0
+
+    def flush(self):
+        if text := " ".join("".join(self.held).split()):
+            self.out.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title", "textarea"):
+            self.raw += 1
+        elif tag in ("br", "img", "input"):
+            self.held.append(" ")
+        elif tag not in self.INLINE:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title", "textarea"):
+            self.raw -= 1
+        elif tag not in self.INLINE:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.held.append(data)
+
+
+def plain(page):
+    p = Plain()
+    p.feed(page or "")
+    p.close()
+    p.flush()
+    return p.out
+
+
+def test_blocks_match_a_plain_parser():
+    import pyarrow.parquet as pq
+
+    r = random.Random(31)
+    pages = [html.generated(r)[0] for _ in range(150)] + pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    for page in pages:
+        assert [b.text for b in html.blocks(page)] == plain(page)
+
+
+def test_paths():
+    """The marks of a block are those of the elements around it."""
+    page = '<div class="One two"><p id=three>a<p>b</div><ul><li>c<li><div>d</div></ul><form>e'
+    bit = lambda t, last=False: 1 << html._TAG_NO[t] + last * len(html._TAGS)
+    word = lambda w, near=False: 1 << html._AT_NAMES + html._HASH_NAMES * near + html._slot(w, html._HASH_NAMES)
+    around = word("one") | word("two")
+    near = word("one", True) | word("two", True)
+    assert [(b.text, b.marks) for b in html.blocks(page)] == [
+        ("a", bit("div") | bit("p") | bit("p", True) | around | word("three") | word("three", True)),
+        ("b", bit("div") | bit("p") | bit("p", True) | around | near),
+        ("c", bit("ul") | bit("li") | bit("li", True)),
+        ("d", bit("ul") | bit("li") | bit("div") | bit("div", True)),
+        ("e", bit("form") | bit("form", True)),
+    ]
+
+
+@pytest.mark.parametrize("page", ["<div class='c%d'>" * 1, "</div>x", "<li>x", "<p>x"])
+def test_deep_and_long_pages(page):
+    """A hundred thousand nested or lone elements: time and memory stay in proportion."""
+    n = 100_000
+    source = "".join(page.replace("%d", str(i)) for i in range(n)) + "end" if "%d" in page else "<div>" * n + page * n
+    tracemalloc.start()
+    found = html.blocks(source)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) in (1, n) and peak < 400e6
+    if len(found) > 1:
+        some = found[:20_000]
+        tracemalloc.start()
+        whole = html.model().label([some], cells=1 << 12)[0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6 and np.allclose(whole, html.model().label([some])[0], atol=1e-4)
+
+
 def test_main_text():
     (got,) = html.main_texts([PAGE], html.model())
     assert got == [
@@ -91,6 +179,8 @@ def test_broken_pages_keep_their_article():
         assert got == want, tag
     (want,) = html.main_texts([page], html.model())
     assert len(want) == 4
+    formula = PAGE.replace("<i>text</i>", "<math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <svg><text>y</text></svg>")
+    assert "this is x=2 and y of the article" in html.main_texts([formula], html.model())[0][1]
     for tag in ("form", "aside", "nav"):
         (got,) = html.main_texts([page.replace("<article>", f"<{tag}><article>")], html.model())
         assert set(want) <= set(got), tag
