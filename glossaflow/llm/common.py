@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import discard, fresh_path, shared_dir, ship, stored  # noqa: F401
+from ..session import discard, fresh_path, shared_dir, ship, spread, stored  # noqa: F401
 
 #: bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -16,13 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals a small input out to all cores; a large one is already split by the scan."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(cores) if int(str(stats)) < cores * (8 << 20) else df
-
-
 def small_batches(spark: SparkSession) -> None:
     """Readies a session for Python stages over texts: workers get the package, and a batch few rows, as it holds whole texts."""
     ship(spark)

@@ -115,25 +115,36 @@ def mix(
         cut = stored(_at_cut(ranges, "prefix", "s").select("sk", "prefix", "rest"), "mix-cut")
     rows = _inside(slim, cut).groupBy("sk", "key").agg(F.sum("size").alias("s"), F.first("rest").alias("rest"))
     edge = _at_cut(rows, "key", "s").select("sk", F.col("key").alias("cut_key"), F.col("rest").alias("cut_rest"), F.col("s").alias("cut_size"))
-    table = stored(plan.join(edge, "sk", "left").select(F.col("sk").alias("_sk"), "source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size"), "mix-table")
-    size, key = F.col(names["size"]), F.col(names["key"])
-    extra = (
-        F.when(F.col("_p.cut_key").isNull(), F.lit(0))
-        .when(key < F.col("_p.cut_key"), size)
-        .when(key == F.col("_p.cut_key"), F.expr(f"`{names['size']}` * _p.cut_rest div _p.cut_size"))
-        .otherwise(F.lit(0))
-        .cast("long")
-    )
-    out = with_key.join(table.select("_sk", F.struct("source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size").alias("_p")), F.col(names["sk"]) == F.col("_sk"))
-    return out.select(
+    table = stored(plan.join(edge, "sk", "left").select("sk", "source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size"), "mix-table")
+    side, at = free_name(docs, "mix_sk"), free_name(docs, "mix_plan")
+    size, key, plan_of = F.col(names["size"]), F.col(names["key"]), F.col(at)
+    part = F.expr(f"`{names['size']}` * `{at}`.cut_rest div `{at}`.cut_size")  # the row at the cut
+    extra = F.when(plan_of["cut_key"].isNull() | (key > plan_of["cut_key"]), 0).when(key < plan_of["cut_key"], size).otherwise(part).cast("long")
+    plans = table.select(F.col("sk").alias(side), F.struct("source_size", "target", "epochs", "cut_key", "cut_rest", "cut_size").alias(at))
+    return with_key.join(plans, F.col(names["sk"]) == F.col(side)).select(
         *[F.col(f"`{c}`") for c in docs.columns],
         size.alias(names["size"]),
-        F.col("_p.source_size").alias(names["source_size"]),
-        F.col("_p.target").alias(names["target"]),
-        (F.col("_p.epochs") * size + extra).alias(names["taken"]),
+        plan_of["source_size"].alias(names["source_size"]),
+        plan_of["target"].alias(names["target"]),
+        (plan_of["epochs"] * size + extra).alias(names["taken"]),
     )
 
 
+def apply(docs: DataFrame, **kw) -> DataFrame:
+    """The mix itself: docs without the rows that it leaves out, and each other row once an epoch that takes it.
+
+    Adds the columns of mix(), where taken is what this copy gives, and epoch from 0
+    (names get underscores before them if docs has them). A copy gives its whole text;
+    only the row at a source's cut gives less, the first taken words of it. Rows without
+    words are left out, an empty table gives an empty one.
+    """
+    size, taken, epoch = free_name(docs, "size"), free_name(docs, "taken"), free_name(docs, "epoch")
+    mixed = mix(docs, **kw).filter(F.col(taken) > 0)
+    last = F.ceil(F.col(taken) / F.col(size)) - 1
+    each = mixed.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return each.withColumn(taken, F.least(size, F.col(taken) - F.col(epoch) * F.col(size)))
+
+
 def _inside(slim: DataFrame, cut: DataFrame) -> DataFrame:
     """The rows whose key lies in the range that holds their source's cut."""
     c = cut.select(F.col("sk").alias("_csk"), F.col("prefix").alias("_cp"), "rest")

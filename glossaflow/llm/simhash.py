@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_ASCII, free_name, small_batches, spread, stored
+from .common import LOWER_ASCII, discard, free_name, small_batches, spread, stored
 
 _CHUNK = 1 << 15  # shingles whose bits are counted at once
 
@@ -59,14 +59,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 4) -> DataFrame:
-    """docs and the fingerprint of each whole text as a signed long."""
+    """docs and the fingerprint of each whole text as a signed long; out gets underscores before it if docs has it."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf(T.LongType())
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return spread(docs).withColumn(out, fp(F.col(f"`{text}`")))
+    return spread(docs).withColumn(free_name(docs, out), fp(F.col(f"`{text}`")))
 
 
 def band_masks(bands: int, radius: int) -> list[int]:
@@ -255,12 +255,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     cur = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
     for _ in range(rounds):
+        before = cur
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         cur = star(both, m).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         m = cur.groupBy("u").agg(F.min("v").alias("m"))
         joined = star(cur, m)
         cur = stored(joined.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "cc")
+        discard(before)
         state = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == state:
             break
@@ -299,15 +301,21 @@ def hex16(fp: Column) -> Column:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one document of each near-duplicate group: the one of least doc_id (nulls last).
 
-    Rows that share that doc_id count as copies; the least row hash stays, and
-    wholly equal rows once. All columns are kept.
+    Rows that share that doc_id count as copies; the least row hash stays, and wholly
+    equal rows once. Null, empty and blank texts are one group. No text is too long. All
+    columns are kept, whatever their names; an empty table gives an empty one. Whole rows
+    are shuffled once, by their hash; those that repeat once more, combined beforehand.
     """
-    fp, row = free_name(docs, "fp"), free_name(docs, "row")
-    marked = with_fingerprint(docs, text, fp, shingle).withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    fp, row, n, win_row, win_id = (free_name(docs, x) for x in ("fp", "row", "row_count", "win_row", "win_id"))
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = with_fingerprint(docs, text, fp, shingle).withColumn(row, hashed)
     slim = stored(marked.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row")), "simhash-fp")
-    groups = grouped(slim.select("doc_id", "fp", "row").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), radius)
-    best = slim.join(groups.select("fp", "component_fp"), "fp").groupBy("component_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row", "fp")).alias("best"))
-    win = best.select(F.col("best.row").alias("_win_row"), F.col("best.doc_id").alias("_win_id")).distinct()
-    rowed = docs.withColumn(row, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    same = (rowed[row] == win["_win_row"]) & rowed[doc_id].eqNullSafe(win["_win_id"])
-    return rowed.join(win, same, "left_semi").dropDuplicates([row, doc_id]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = grouped(slim.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), radius)
+    rows = slim.groupBy("doc_id", "fp", "row").agg(F.count("*").alias("n")).join(groups.select("fp", "component_fp"), "fp")
+    best = rows.groupBy("component_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row", "n")).alias("best"))
+    win = stored(best.select(F.col("best.row").alias(win_row), F.col("best.doc_id").alias(win_id), F.col("best.n").alias(n)), "simhash-kept")
+    # the row hash alone is the key of the join: a group of copies is then split like any skewed key
+    same = F.coalesce(F.col(f"`{doc_id}`") == F.col(win_id), F.col(f"`{doc_id}`").isNull() & F.col(win_id).isNull())
+    kept = docs.withColumn(row, hashed).join(win, (F.col(row) == F.col(win_row)) & same)
+    once, more = kept.filter(F.col(n) == 1), kept.filter(F.col(n) > 1).dropDuplicates([row])
+    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])

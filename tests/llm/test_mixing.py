@@ -54,3 +54,29 @@ def test_targets_and_cuts(spark):
 def test_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     assert [r["taken"] for r in mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()] == [0]
+
+
+def test_apply_drops_and_repeats(spark):
+    rows = [(i, "w " * (i % 7), "abc"[i % 3] if i % 5 else None, 1, 2, 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch int, mix_sk int, mix_plan int")
+    want = {r["doc_id"]: r for r in mixing.mix(df).collect()}
+    assert all((r["mix_sk"], r["mix_plan"]) == (2, 3) for r in want.values())
+    out = mixing.apply(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken", "_epoch"]
+    copies = {}
+    for r in out.collect():
+        copies.setdefault(r["doc_id"], []).append(r)
+    assert set(copies) == {d for d, r in want.items() if r["taken"]}
+    for d, rs in copies.items():
+        rs.sort(key=lambda r: r["_epoch"])
+        assert [r["_epoch"] for r in rs] == list(range(len(rs))) and sum(r["taken"] for r in rs) == want[d]["taken"]
+        assert all(r["taken"] == r["size"] for r in rs[:-1]) and 0 < rs[-1]["taken"] <= rs[-1]["size"] and rs[0]["epoch"] == 1
+    assert mixing.apply(df.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns named like any helper stay as they are."""
+    names = ["sk", "key", "_sk", "_p", "mix_sk", "mix_plan", "prefix", "rest", "epochs", "cut_key", "s", "size", "source_size", "target", "taken"]
+    df = spark.createDataFrame([(1, "a b", "x", *names), (2, "c", None, *names)], ["doc_id", "text", "source", *names])
+    for r in mixing.mix(df, range_rows=1).collect():
+        assert [r[n] for n in names] == names and 0 <= r["_taken"] <= 2 * r["_size"]

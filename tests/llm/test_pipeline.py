@@ -55,7 +55,7 @@ def brute(rows, bench):
                     if words[j : j + n] == b[i : i + n]:
                         hit |= set(range(j, j + n))
         if not (hit and 20 * len(hit) >= len(words)):
-            kept.append((r[0], r[1].replace("a.b@c.org", "[EMAIL]").replace("1.2.3.4", "[IP]")))
+            kept.append((r[0], r[1].replace("a.b@c.org", "[EMAIL]").replace("1.2.3.4", "[IP]"), r[3]))
     return sorted(kept, key=str)
 
 
@@ -63,9 +63,20 @@ def test_run(spark, data):
     folder, rows, bench = data
     out = cp.run(spark, folder)
     got = out.collect()
-    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == brute(rows, bench)
-    assert out.columns[:7] == ["doc_id", "text", "lang", "source", "n_chars", "fp", "taken"]
-    assert all(r["n_chars"] == len(r["text"]) and 0 <= r["_taken"] <= 2 * r["size"] for r in got)
+    kept = brute(rows, bench)
+    assert {(r["doc_id"], r["text"], r["source"]) for r in got} <= set(kept)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "fp", "taken", "size", "source_size", "target", "_taken", "epoch"]
+    assert all(r["n_chars"] == len(r["text"]) and 0 < r["_taken"] <= r["size"] == len(r["text"].split()) for r in got)
+    # the mix: each source's words come to its target, from documents of which each stands once an epoch
+    copies = {}
+    for r in got:
+        copies.setdefault((r["doc_id"], r["text"], r["source"]), []).append(r)
+    for name in {k[2] for k in kept}:
+        mine = [r for r in got if r["source"] == name]
+        assert abs(sum(r["_taken"] for r in mine) - mine[0]["target"]) <= 2
+        whole = mine[0]["target"] // mine[0]["source_size"]
+        assert all(len(copies.get(k, [])) in (whole, whole + 1) for k in kept if k[2] == name)
+    assert all(sorted(r["epoch"] for r in rs) == list(range(len(rs))) for rs in copies.values())
 
 
 def test_stages_keep_columns_and_take_empty_tables(spark, data):
