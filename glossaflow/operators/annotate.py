@@ -27,7 +27,10 @@ def sentences(df: DataFrame, keys: Sequence[str], text: str = "text", clean: boo
 
 
 def units(df: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """df with a row for each unit: unit_no from 0, unit, is_mark and its place in code points and bytes, ends exclusive."""
+    """df with a row for each unit: unit_no from 0, unit, is_mark and its place in code points and bytes, ends exclusive.
+
+    Drop the sentence from the result where it isn't needed: else each unit carries it.
+    """
     s = F.col(sentence)
 
     def placed(x):
@@ -51,7 +54,8 @@ def entities(words: DataFrame, keys: Sequence[str], chars: bool = False) -> Data
 
     A word goes on with the phrase before it if its label is I- of the same base and
     the gap is at most 2: bytes, with phrases of O words as well, or (chars) code
-    points, without them. words has label, base, the places of units and sentence.
+    points, without them. words has label, base and the places of units; the phrases
+    have a sentence if words do, and with_sentences() adds it later otherwise.
     """
     by = [*keys, "sent_no"]
     order = Window.partitionBy(*by).orderBy("unit_no")
@@ -71,13 +75,19 @@ def entities(words: DataFrame, keys: Sequence[str], chars: bool = False) -> Data
         F.max("end_b").alias("end_b"),
         F.min("start_c").alias("start_c"),
         F.max("end_c").alias("end_c"),
-        F.first("sentence").alias("sentence"),
+        *([F.first("sentence").alias("sentence")] if "sentence" in words.columns else []),
     )
     if chars:
         out = out.withColumn("ent_no", F.row_number().over(Window.partitionBy(*by).orderBy("ent_no")).cast("long"))
     return out.withColumn("type_ru", T.type_name(F.col("type")))
 
 
+def with_sentences(rows: DataFrame, sents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows (keys, sent_no, …) with their sentence."""
+    by = [*keys, "sent_no"]
+    return rows.join(sents.select(*by, "sentence"), by)
+
+
 def structure(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Entities by category in a sentence's fixed order: (…, cat_no, pos, text, type_ru)."""
     rank = F.array_position(F.array(*[F.lit(b) for b in schema.STRUCTURE]), F.col("base"))
@@ -85,23 +95,25 @@ def structure(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ents.filter("base <> 'O'").withColumn("cat_no", rank).withColumn("pos", F.row_number().over(order))
 
 
-def markup(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
+def markup(ents: DataFrame, keys: Sequence[str], sents: DataFrame | None = None) -> DataFrame:
     """A sentence as a stream of pieces: single characters of the gaps (no white space) and entities with their roles.
 
     Entities that end at or before what is shown already, or past the sentence, are
-    skipped; all of this happens inside the sentence's row.
+    skipped; all of this happens inside the sentence's row. sents is needed where ents
+    don't carry their sentence.
     """
     by = [*keys, "sent_no"]
     item = F.struct("ent_no", "start_c", "end_c", "type_ru")
-    rows = ents.groupBy(*by).agg(F.first("sentence").alias("sentence"), F.array_sort(F.collect_list(item)).alias("e"))
-    size = F.length("sentence").cast("long")
+    listed = F.array_sort(F.collect_list(item)).alias("e")
+    rows = ents.groupBy(*by).agg(F.first("sentence").alias("sentence"), listed) if sents is None else with_sentences(ents.groupBy(*by).agg(listed), sents, keys)
     kind = "array<struct<piece:string,kind:string,type_ru:string>>"
 
     def gap(text, a, b):
         chars = F.filter(F.split(cut(text, a, b), ""), lambda x: (x != "") & ~x.rlike(f"^{T.ANY_SPACE}$"))
         return F.transform(chars, lambda x: F.struct(x.alias("piece"), F.lit("gap").alias("kind"), F.lit("").alias("type_ru"))).cast(kind)
 
-    def pieces(text):
+    def pieces(held):
+        text, size = held["text"], held["size"]
         ends = F.transform("e", lambda e: F.when(e["end_c"] <= size, e["end_c"]).otherwise(0))
         marked = F.arrays_zip(F.col("e").alias("e"), running(ends, lambda a, b: F.greatest(a, b)).alias("at"))
 
@@ -113,5 +125,5 @@ def markup(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         return F.concat(F.flatten(F.transform(marked, each)), gap(text, F.coalesce(F.array_max(ends), F.lit(0)), size))
 
-    out = rows.select(*by, F.posexplode(let(blocks(F.col("sentence")), pieces)).alias("piece_no", "p"))
+    out = rows.select(*by, F.posexplode(let(F.struct(blocks(F.col("sentence")).alias("text"), F.length("sentence").cast("long").alias("size")), pieces)).alias("piece_no", "p"))
     return out.select(*by, "piece_no", "p.*").withColumn("role", F.when(F.col("kind") == "entity", T.role(F.col("type_ru"))).otherwise(""))

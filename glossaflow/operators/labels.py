@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
+from .order import numbered
 
 #: Tokens that get no label.
 UNLABELLED = (",", ".", "!", "?", ";", ":", "-", "(", ")", "'", '"', "``", "''")
@@ -62,23 +63,35 @@ def class_counts(df: DataFrame) -> DataFrame:
 
 
 def unit_hash(key: Column, seed: int = 42) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def train_val_split(df: DataFrame, key: str, val: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with split: exactly int(n * (1 - val)) rows are train, in the order of a seeded hash.
+    """df with split: exactly int(n * (1 - val)) rows are train, in the order of a seeded hash; a null key counts as empty text.
 
     The cut is found by counting hash ranges, as a global order would put all rows in
-    one task: 4096 ranges first, then the rows of the one range that holds the cut.
+    one task: 4096 ranges first, then the hashes of the one range that holds the cut. Of
+    rows whose equal keys meet the cut, as many as are wanted are train.
     """
     h = df.withColumn("_h", unit_hash(F.col(key), seed))
     n = df.count()
     want = int(n * (1 - val))
     ranges = h.groupBy(F.substring("_h", 1, 3).alias("p")).agg(F.count("*").alias("c"))
-    run = F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0))
-    at = ranges.withColumn("run", run).filter(F.col("run") > want).orderBy("p").first()
+    at = _passing(ranges, "p", want)
     if at is None:
         return h.withColumn("split", F.lit("train")).drop("_h")
-    inside = h.filter(F.substring("_h", 1, 3) == at["p"]).select("_h").orderBy("_h")
-    cut = inside.offset(want - (at["run"] - at["c"])).first()["_h"]
-    return h.withColumn("split", F.when(F.col("_h") < cut, "train").otherwise("val")).drop("_h")
+    inside = h.filter(F.substring("_h", 1, 3) == at["p"]).groupBy("_h").agg(F.count("*").alias("c"))
+    edge = _passing(inside, "_h", want - (at["run"] - at["c"]))
+    cut, more = edge["_h"], want - (at["run"] - at["c"]) - (edge["run"] - edge["c"])
+    named = h.withColumn("split", F.when(F.col("_h") < cut, "train").otherwise("val"))
+    if more:
+        tied = numbered(h.filter(F.col("_h") == cut), name="_no")
+        tied = tied.withColumn("split", F.when(F.col("_no") <= more, "train").otherwise("val")).drop("_no")
+        named = named.filter(F.col("_h") != cut).unionByName(tied)
+    return named.drop("_h")
+
+
+def _passing(counts: DataFrame, by: str, want: int):
+    """The row of counts at which the running sum of c passes want, with the sum as run; few rows, so the window is small."""
+    run = F.sum("c").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("run", run).filter(F.col("run") > want).orderBy(by).first()

@@ -6,12 +6,14 @@ Everything after the confusion counts works on 36 rows at most.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
+from ..functions.arrays import let, running
 
 
 def base_class(label: Column) -> Column:
@@ -81,21 +83,69 @@ def spans_of_words(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
     return tokens.withColumn("end", end).withColumn("start", F.col("end") - F.length("word"))
 
 
-def align_gold(predicted: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
+def align_gold(predicted: DataFrame, gold: DataFrame, keys: Sequence[str], at: str = "start_c") -> DataFrame:
     """predicted (keys, start_c, …) with the label of the gold span [start, end) that holds start_c, O if there is none.
 
-    An interval join inside a text: the equi keys keep it a hash or sort-merge join.
+    Spans of a text don't overlap, so the last one that starts at or before a place is
+    the only one that can hold it: one window over both, however long the text.
     """
-    g = gold.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("label").alias("_gold"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    inside = same & (F.col("start_c") >= F.col("_start")) & (F.col("start_c") < F.col("_end"))
-    return predicted.join(g, inside, "left").withColumn("true_label", F.coalesce("_gold", F.lit("O"))).drop("_start", "_end", "_gold", *[f"_{k}" for k in keys])
+    spans = gold.select(*keys, F.col("start").cast("long").alias("_at"), F.lit(0).alias("_side"), F.struct(F.col("end").cast("long").alias("end"), "label").alias("_span"))
+    rows = predicted.select(*keys, F.col(at).cast("long").alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in predicted.columns]).alias("_row"))
+    order = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = spans.unionByName(rows, allowMissingColumns=True).withColumn("_last", F.last("_span", ignorenulls=True).over(order)).filter("_side = 1")
+    true = F.when(F.col("_at") < F.col("_last.end"), F.col("_last.label")).otherwise("O")
+    return both.select("_row.*", F.coalesce(true, F.lit("O")).alias("true_label"))
 
 
-def report(classes: DataFrame, n_tokens: int) -> str:
-    """Text table of the classes (six rows at most reach the driver)."""
+#: A word of a labelled text: a run of anything but white space of any kind.
+_WORD = T.ANY_SPACE.replace("[", "[^", 1) + "++"
+
+
+def _placed(x: Column) -> Column:
+    """Places of words w that follow gaps g."""
+    begin = running(F.zip_with(x["g"], x["w"], lambda g, w: (F.length(g) + F.length(w)).cast("long")))
+    zipped = F.arrays_zip(x["g"].alias("g"), x["w"].alias("w"), begin.alias("at"))
+    return F.transform(zipped, lambda z: F.struct((z["at"] + F.length(z["g"])).alias("start"), (z["at"] + F.length(z["g"]) + F.length(z["w"])).alias("end")))
+
+
+def gold_spans(texts: DataFrame, keys: Sequence[str], text: str = "text", tags: str = "tags") -> DataFrame:
+    """(keys, start, end, label) of each word of texts whose tags, an array, are as many as their words."""
+    gaps = F.regexp_extract_all(text, F.lit(f"({T.ANY_SPACE}*+){_WORD}"), F.lit(1))
+    words = let(F.struct(gaps.alias("g"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("w")), _placed)
+    rows = texts.select(*keys, F.col(tags).alias("_tags"), words.alias("_words")).filter(F.size("_words") == F.size("_tags"))
+    return rows.select(*keys, F.explode(F.arrays_zip("_words", "_tags")).alias("x")).select(*keys, "x._words.start", "x._words.end", F.col("x._tags").alias("label"))
+
+
+def collect_pairs(tokens: DataFrame, texts: DataFrame, keys: Sequence[str], text: str = "text", tags: str = "tags") -> DataFrame:
+    """Rows (keys, pos, pred_label, true_label): the predicted labels of tokens beside the gold ones.
+
+    tokens: (keys, pos from 0, start_c, pred_label); texts: (keys, text, tags). A token's
+    gold label is that of the word that its start lies in. In a text with more or fewer
+    tags than words, tags go by position instead. What has no tag is O, and so is a
+    label, gold or predicted, that isn't one of the eleven.
+    """
+    n_words = F.regexp_count(F.col(text), F.lit(_WORD))
+    odd = texts.select(*keys, F.when(n_words != F.size(tags), F.col(tags)).alias("_by_pos"))
+    placed = align_gold(tokens, gold_spans(texts, keys, text, tags), keys)
+    true = F.when(F.col("_by_pos").isNotNull(), F.coalesce(F.get("_by_pos", F.col("pos").cast("int")), F.lit("O"))).otherwise(F.col("true_label"))
+    known = [x[1] for x in schema.LABELS]
+    both = placed.join(odd, list(keys)).select(*keys, "pos", F.col("pred_label"), true.alias("true_label"))
+    return both.withColumns({c: F.when(F.col(c).isin(*known), F.col(c)).otherwise("O") for c in ("pred_label", "true_label")})
+
+
+def masked_pairs(encoded: DataFrame, keys: Sequence[str], predicted: str = "label_ids", true: str = "true_ids", mask: str = "attention_mask") -> DataFrame:
+    """Rows (keys, pos, pred_id, true_id) of arrays of a sequence's length, where its mask is 1."""
+    zipped = F.arrays_zip(F.col(predicted).alias("p"), F.col(true).alias("t"), F.col(mask).alias("m"))
+    rows = encoded.select(*keys, F.posexplode(zipped).alias("pos", "x")).filter("x.m = 1")
+    return rows.select(*keys, "pos", F.col("x.p").alias("pred_id"), F.col("x.t").alias("true_id"))
+
+
+def report(classes: DataFrame, n_tokens: int, path: str | None = None) -> str:
+    """Text table of the classes (six rows at most reach the driver), written to path if there is one."""
     rows = ranked(classes).orderBy("rank").collect()
     lines = [f"Tokens: {n_tokens}", f"{'class':<12}{'precision':>10}{'recall':>10}{'f1':>10}{'support':>10}"]
-    return "\n".join(lines + [f"{r['class']:<12}{r['precision']:>10.4f}{r['recall']:>10.4f}{r['f1']:>10.4f}{r['support']:>10}" for r in rows])
+    text = "\n".join(lines + [f"{r['class']:<12}{r['precision']:>10.4f}{r['recall']:>10.4f}{r['f1']:>10.4f}{r['support']:>10}" for r in rows])
+    if path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(text + "\n", encoding="utf-8")
+    return text

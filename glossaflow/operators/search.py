@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from .order import numbered
 
 ORDERS = ("alphabet_asc", "alphabet_desc", "frequency_desc", "frequency_asc")
 
@@ -35,7 +36,7 @@ def prefix_search(items: DataFrame, needle: str = "", members: Sequence[str] = s
         "frequency_asc": [F.asc("amount"), exact.desc(), low.asc()],
     }[order]
     found = items.filter(matches_text(needle) & matches_member(members))
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(*by, F.asc("type_ru"))))
+    return numbered(found, [*by, F.asc("type_ru")])
 
 
 def match_type(needle: str) -> Column:
@@ -45,12 +46,15 @@ def match_type(needle: str) -> Column:
     return F.lit("typeOnly") if not needle else F.when(low == needle, "exact").when(low.contains(needle), "partial").otherwise("none")
 
 
-def relevance(items: DataFrame, needle: str = "", type_ru: str = "") -> DataFrame:
-    """All items with match_type, visible and rank: visible ones by exact, partial, typeOnly, then original_order; hidden ones last."""
+def relevance(items: DataFrame, needle: str = "", type_ru: str = "", current: str = "original_order") -> DataFrame:
+    """All items with match_type, visible and rank: visible ones by exact, partial, typeOnly, then current; hidden ones last.
+
+    current is the order that the items stand in: the original one, or the rank that an earlier search left.
+    """
     kind = match_type(needle) if not type_ru else F.when(F.col("type_ru") == type_ru, match_type(needle)).otherwise("none")
     df = items.withColumn("match_type", kind).withColumn("visible", F.col("match_type") != "none")
     place = F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "partial", 1).when(F.col("match_type") == "typeOnly", 2).otherwise(3)
-    return df.withColumn("rank", F.row_number().over(Window.orderBy((~F.col("visible")).cast("int"), place, "original_order")))
+    return numbered(df, [(~F.col("visible")).cast("int"), place, F.col(current)])
 
 
 def hit_stats(found: DataFrame) -> DataFrame:
@@ -62,20 +66,20 @@ def hit_message(stats: DataFrame, needle: str = "", type_ru: str = "") -> DataFr
     """stats with the message of the saved page."""
     parts = F.concat_ws(
         ", ",
-        F.when(F.col("exact") > 0, F.concat(F.col("exact").cast("string"), F.lit(" точных совпадений"))),
-        F.when(F.col("partial") > 0, F.concat(F.col("partial").cast("string"), F.lit(" частичных совпадений"))),
-        F.when((F.col("type_only") > 0) & F.lit(not needle.strip()), F.concat(F.col("type_only").cast("string"), F.lit(" по типу"))),
+        F.when(F.col("exact") > 0, F.concat(F.col("exact").cast("string"), F.lit(schema.SAID["exact"]))),
+        F.when(F.col("partial") > 0, F.concat(F.col("partial").cast("string"), F.lit(schema.SAID["partial"]))),
+        F.when((F.col("type_only") > 0) & F.lit(not needle.strip()), F.concat(F.col("type_only").cast("string"), F.lit(schema.SAID["type_only"]))),
     )
     none = (F.col("exact") + F.col("partial") + F.col("type_only")) == 0
-    said = F.when(none, "❌ Ничего не найдено").otherwise(F.concat(F.lit("✅ Найдено: "), parts))
+    said = F.when(none, schema.SAID["none"]).otherwise(F.concat(F.lit(schema.SAID["found"]), parts))
     return stats.withColumn("message", said if needle.strip() or type_ru else F.lit(""))
 
 
 def reset(items: DataFrame) -> DataFrame:
     """All items, visible, in their original order."""
-    return items.withColumn("visible", F.lit(True)).withColumn("rank", F.row_number().over(Window.orderBy("original_order")))
+    return numbered(items.withColumn("visible", F.lit(True)), ["original_order"])
 
 
 def with_order(items: DataFrame) -> DataFrame:
     """items with original_order from 0: by type, then text."""
-    return items.withColumn("original_order", F.row_number().over(Window.orderBy("type_ru", "text")) - 1)
+    return numbered(items, ["type_ru", "text"], "original_order", 0)

@@ -64,8 +64,19 @@ def top_member(ents: DataFrame) -> DataFrame:
     )
 
 
+def item_contexts(ents: DataFrame, keys: Sequence[str], sents: DataFrame) -> DataFrame:
+    """(type_ru, text, keys, sent_no, sentence): the distinct sentences of each phrase, a row each, so a common phrase is many rows and no large one."""
+    by = [*keys, "sent_no"]
+    places = _named(ents).select("type_ru", F.lower("text").alias("text"), *by).distinct()
+    return places.join(sents.select(*by, "sentence"), by).select("type_ru", "text", *by, "sentence")
+
+
 def search_items(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(type_ru, text, amount, n_sentences, sentences): phrases by lower-cased text with their distinct contexts in order."""
+    """(type_ru, text, amount, n_sentences, sentences): phrases by lower-cased text with their distinct contexts in order.
+
+    For the items of a page: all contexts of a phrase stand in its row. Where phrases
+    may be common, item_counts() and item_contexts() have the same as rows.
+    """
     context = F.struct(*keys, "sent_no", "sentence")
     return (
         _named(ents)

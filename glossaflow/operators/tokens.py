@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
-from ..session import ship
+from ..functions.arrays import running
+from ..session import ship, stored
+from .order import numbered
 
 #: A vocabulary above this is not broadcast to every worker, but joined.
 MAX_VOCABULARY = 1_000_000
@@ -18,14 +20,14 @@ MAX_WORD_BYTES = 100
 
 
 def vocabulary(units: DataFrame, least: int = 3) -> DataFrame:
-    """(token, id): frequent units, all characters and their ## forms by code point, after the special tokens."""
+    """(token, id): frequent units, all characters and their ## forms by code point, after the special tokens; written once."""
     words = units.select(T.cyrillic_lower(F.col("unit")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     chars = words.select(F.explode(F.split("w", "")).alias("token")).filter("token <> ''").distinct()
     tokens = words.filter(F.col("n") >= least).select(F.col("w").alias("token")).unionByName(chars).unionByName(chars.select(F.concat(F.lit("##"), "token").alias("token"))).distinct()
     tokens = tokens.filter(~F.col("token").isin(*[t for _, t in schema.SPECIAL]))
-    ranked = tokens.withColumn("id", (F.row_number().over(Window.orderBy("token")) + schema.SEP).cast("long"))
+    ranked = numbered(tokens, ["token"], "id", schema.SEP + 1)
     special = units.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.lit(i).cast("long").alias("id")) for i, t in schema.SPECIAL])).alias("x")).select("x.*")
-    return special.unionByName(ranked)
+    return stored(special.unionByName(ranked), "vocabulary")
 
 
 def split_word(word: str, known: set[str]) -> list[str]:
@@ -45,76 +47,112 @@ def split_word(word: str, known: set[str]) -> list[str]:
     return out or ["[UNK]"]
 
 
+_SPLIT = "struct<pieces:array<string>,ids:array<bigint>>"
+
+
+def _split(words: pd.Series, ids_of) -> pd.DataFrame:
+    """Pieces and ids of each word; ids_of gives a word's known pieces with their ids."""
+    pieces = [split_word(w, known) for w, known in ((w, ids_of(i, w)) for i, w in enumerate(words))]
+    ids = [[ids_of(i, w).get(p, schema.UNK) for p in ps] for i, (w, ps) in enumerate(zip(words, pieces))]
+    return pd.DataFrame({"pieces": pieces, "ids": ids})
+
+
 def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
-    """words with pieces (array). Call it with distinct words: texts repeat them a lot."""
+    """words with pieces and ids (arrays). Call it with distinct words: texts repeat them a lot.
+
+    Of tokens that stand twice in vocab the last id counts. A vocabulary of more than
+    MAX_VOCABULARY tokens is joined with each word's candidate pieces.
+    """
     spark = words.sparkSession
     ship(spark)
+    ids = vocab.groupBy("token").agg(F.max("id").alias("id"))
     if vocab.count() > MAX_VOCABULARY:
-        return _joined_pieces(words, vocab, word)
-    shared = spark.sparkContext.broadcast({r["token"] for r in vocab.select("token").toLocalIterator()})
+        return _joined_pieces(words, ids, word)
+    shared = spark.sparkContext.broadcast({r["token"]: r["id"] for r in ids.toLocalIterator()})
 
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            yield batch.map(lambda w: split_word(w, known))
+            yield _split(batch, lambda i, w: known)
 
-    pieces.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return words.withColumn("pieces", F.pandas_udf(pieces, "array<string>")(F.col(word)))
+    split.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return words.withColumn("_split", F.pandas_udf(split, _SPLIT)(F.col(word))).select(*words.columns, "_split.*")
 
 
-def _joined_pieces(words: DataFrame, vocab: DataFrame, word: str) -> DataFrame:
+def _joined_pieces(words: DataFrame, ids: DataFrame, word: str) -> DataFrame:
     """As wordpiece(), by a join of each word's candidate pieces with the vocabulary: no task holds more than a word's own pieces."""
 
     def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield batch.map(lambda w: sorted({("##" if i else "") + w[i:j] for i in range(len(w)) for j in range(i + 1, len(w) + 1)}) if len(w.encode("utf-8", "surrogatepass")) <= MAX_WORD_BYTES else [])
 
-    def pieces(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def split(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for batch, known in batches:
-            yield pd.Series([split_word(w, set() if k is None else set(k)) for w, k in zip(batch, known)], dtype=object)
+            of = [{} if k is None else {x["token"]: x["id"] for x in k} for k in known]
+            yield _split(batch, lambda i, w: of[i])
 
     candidates.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    pieces.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    split.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     every = words.select(F.col(word).alias("_w")).distinct().withColumn("_piece", F.explode(F.pandas_udf(candidates, "array<string>")("_w")))
-    tokens = vocab.select(F.col("token").alias("_piece")).distinct()
-    known = every.join(tokens, "_piece").groupBy("_w").agg(F.collect_set("_piece").alias("_known"))
+    known = every.join(ids.withColumnRenamed("token", "_piece"), "_piece").groupBy("_w").agg(F.collect_set(F.struct(F.col("_piece").alias("token"), "id")).alias("_known"))
     both = words.join(known, F.col(word) == F.col("_w"), "left")
-    return both.select(*words.columns, F.pandas_udf(pieces, "array<string>")(F.col(word), F.col("_known")).alias("pieces"))
+    return both.withColumn("_split", F.pandas_udf(split, _SPLIT)(F.col(word), F.col("_known"))).select(*words.columns, "_split.*")
 
 
 def subtokens(units: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A row for each sub-token: (keys, sent_no, unit_no, piece_no, token, id, start_b, end_b, err).
+    """A row for each sub-token: (keys, sent_no, unit_no, piece_no, token, id, start_b, end_b, start_c, end_c, err).
 
-    Units are lower-cased (Cyrillic), split by distinct word and joined back. Places
-    in bytes follow from the unit's; an [UNK] has none and err 1.
+    Units are lower-cased (Cyrillic), split by distinct word and joined back. Places in
+    bytes and code points follow from the unit's, inside its row; an [UNK] has none and err 1.
     """
     df = units.withColumn("word", T.cyrillic_lower(F.col("unit")))
     split = wordpiece(df.select("word").distinct(), vocab)
-    width = F.octet_length(F.when(F.col("piece_no") > 0, F.substring("token", 3, 1 << 30)).otherwise(F.col("token")))
-    rows = df.join(split, "word").select(*keys, "sent_no", "unit_no", "start_b", F.posexplode("pieces").alias("piece_no", "token"))
-    before = Window.partitionBy(*keys, "sent_no", "unit_no").orderBy("piece_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("err", F.when(F.col("token") == "[UNK]", 1).otherwise(0)).withColumn("_w", width)
-    rows = rows.withColumn("end_b", F.when(F.col("err") == 0, F.col("start_b") + F.sum("_w").over(before))).withColumn("start_b", F.when(F.col("err") == 0, F.col("end_b") - F.col("_w")))
-    ids = vocab.select("token", "id").groupBy("token").agg(F.max("id").alias("id"))
-    return rows.join(F.broadcast(ids), "token", "left").select(*keys, "sent_no", "unit_no", "piece_no", "token", F.coalesce("id", F.lit(schema.UNK)).cast("long").alias("id"), "start_b", "end_b", "err")
 
+    def placed(pieces):
+        plain = F.transform(pieces, lambda t, i: F.when(i > 0, F.substring(t, 3, 1 << 30)).otherwise(t))
+
+        def starts(size):
+            return running(F.transform(plain, lambda t: size(t).cast("long")))
+
+        return F.transform(F.arrays_zip(pieces.alias("token"), plain.alias("plain"), F.col("ids").alias("id"), starts(F.octet_length).alias("b"), starts(F.length).alias("c")), one)
+
+    def one(z):
+        known = z["token"] != "[UNK]"
+        b, c = F.col("start_b") + z["b"], F.col("start_c") + z["c"]
+        places = {"start_b": b, "end_b": b + F.octet_length(z["plain"]), "start_c": c, "end_c": c + F.length(z["plain"])}
+        return F.struct(z["token"].alias("token"), z["id"].alias("id"), *[F.when(known, v).alias(k) for k, v in places.items()], F.when(known, 0).otherwise(1).alias("err"))
+
+    rows = df.join(split, "word").select(*keys, "sent_no", "unit_no", F.posexplode(placed(F.col("pieces"))).alias("piece_no", "p"))
+    return rows.select(*keys, "sent_no", "unit_no", "piece_no", "p.*")
+
+
+def encode(subs: DataFrame, keys: Sequence[str], max_len: int = 128, pad: bool = True) -> DataFrame:
+    """(keys, sent_no, tokens, input_ids, word_ids, and places of each token, err, attention_mask).
+
+    [CLS], at most max_len - 2 sub-tokens, [SEP], and padding unless pad is false; special
+    tokens have places (0, 0) and no word. Sentences are cut before they are collected.
+    """
+    by = [*keys, "sent_no"]
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("unit_no", "piece_no"))
+    df = subs.withColumn("_at", at).filter(F.col("_at") <= max_len - 2)
+    row = F.struct("_at", "token", "id", "err", "start_b", "end_b", "start_c", "end_c", F.when(F.col("token").startswith("##"), 0).otherwise(1).cast("long").alias("new"))
+    df = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("s"))
 
-def encode(subs: DataFrame, keys: Sequence[str], max_len: int = 128) -> DataFrame:
-    """(keys, sent_no, tokens, input_ids, attention_mask, word_ids, err): [CLS], at most max_len - 2 sub-tokens, [SEP], padding."""
-    row = F.struct("unit_no", "piece_no", "token", "id", "err")
-    df = subs.groupBy(*keys, "sent_no").agg(F.slice(F.array_sort(F.collect_list(row)), 1, max_len - 2).alias("s"))
-    pad = F.lit(max_len - 2) - F.size("s")
+    def framed(middle, first, last, fill):
+        whole = F.concat(F.array(first), middle, F.array(last))
+        return F.concat(whole, F.array_repeat(fill, F.lit(max_len - 2) - F.size("s"))) if pad else whole
 
-    def padded(first, middle, last, fill):
-        return F.concat(F.array(first), middle, F.array(last), F.array_repeat(fill, pad))
+    def ids(x: int):
+        return F.lit(x).cast("long")
 
-    numbered = F.transform("s", lambda x, i: F.size(F.filter(F.slice(F.col("s"), 1, i + 1), lambda y: ~y["token"].startswith("##"))) - 1)
+    words = F.zip_with("s", running(F.transform("s", lambda x: x["new"])), lambda x, n: (n + x["new"] - 1).cast("int"))
+    places = {c: framed(F.transform("s", lambda x: F.coalesce(x[c], F.lit(0)).cast("long")), ids(0), ids(0), ids(0)) for c in ("start_b", "end_b", "start_c", "end_c")}
     df = df.select(
-        *keys,
-        "sent_no",
-        padded(F.lit("[CLS]"), F.transform("s", lambda x: x["token"]), F.lit("[SEP]"), F.lit("[PAD]")).alias("tokens"),
-        padded(F.lit(schema.CLS).cast("long"), F.transform("s", lambda x: x["id"]), F.lit(schema.SEP).cast("long"), F.lit(schema.PAD).cast("long")).alias("input_ids"),
-        padded(F.lit(-1), numbered, F.lit(-1), F.lit(-1)).alias("word_ids"),
+        *by,
+        framed(F.transform("s", lambda x: x["token"]), F.lit("[CLS]"), F.lit("[SEP]"), F.lit("[PAD]")).alias("tokens"),
+        framed(F.transform("s", lambda x: x["id"]), ids(schema.CLS), ids(schema.SEP), ids(schema.PAD)).alias("input_ids"),
+        framed(words, F.lit(-1), F.lit(-1), F.lit(-1)).alias("word_ids"),
+        *[v.alias(k) for k, v in places.items()],
         F.when(F.size("s") == 0, 2).when(F.exists("s", lambda x: x["err"] == 1), 1).otherwise(0).alias("err"),
     )
     return df.withColumn("attention_mask", F.transform("input_ids", lambda x: F.when(x != schema.PAD, 1).otherwise(0)))

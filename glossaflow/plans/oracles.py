@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .. import schema
-from .queries import NEEDLE, SAMPLES
+#: The needle of the searches, and the literal rows of the rules on Cyrillic.
+NEEDLE = "re"
+SAMPLES = ("Привет МИР", "ЁЛКА Ї І Є ABC", "plain text", "смесь mixed ТЕКСТ", "", "Ӂ ӂ", "день—ночь")
 
 SP = r"[\x09-\x0D ]"
 ANY = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
@@ -12,10 +13,11 @@ LETTER = r"""[^\x09-\x0D ,.!?;:()*—–«»…“„"\-]"""
 UNIT = rf"({SP}*)({LETTER}+(?:[\-–—]{LETTER}+)*|\.\.\.|{MARKS})"
 MARK_LIST = "(',','.','!','?',';',':','(',')','-','*','—','–','«','»','…','...','“','„','\"')"
 BASES = "['O','ADVERBIAL','ADVERBIAL','SUBJECT','SUBJECT','PREDICATE','PREDICATE','DEFINITION','DEFINITION','ADDITION','ADDITION']"
-NAMES = "[" + ",".join(f"'{x[1]}'" for x in schema.LABELS) + "]"
-TYPES = "[" + ",".join(f"'{x[3]}'" for x in schema.LABELS) + "]"
-CATS = "[" + ",".join(f"'{c}'" for c in schema.CATEGORIES) + "]"
-CLASSES = "[" + ",".join(f"'{c}'" for c in schema.CLASSES) + "]"
+NAMES = "['O','B-ADVERBIAL','I-ADVERBIAL','B-SUBJECT','I-SUBJECT','B-PREDICATE','I-PREDICATE','B-DEFINITION','I-DEFINITION','B-ADDITION','I-ADDITION']"
+TYPES = "['другое','обстоятельство','обстоятельство','подлежащее','подлежащее','сказуемое','сказуемое','определение','определение','дополнение','дополнение']"
+CATEGORIES = ("подлежащее", "сказуемое", "дополнение", "определение", "обстоятельство", "другое")
+CATS = "['подлежащее','сказуемое','дополнение','определение','обстоятельство','другое']"
+CLASSES = "['O','ADVERBIAL','SUBJECT','PREDICATE','DEFINITION','ADDITION']"
 
 
 def san(c: str) -> str:
@@ -39,13 +41,18 @@ def low(c: str) -> str:
     return f"translate({c}, 'АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁІЄ', 'абвгдежзийклмнопрстуфхцчшщъыьэюяёіє')"
 
 
+def esc(c: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#39;")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
+
+
 def words(c: str) -> str:
     return f"len(regexp_extract_all({c}, '[^\\x09-\\x0D ]+'))"
 
 
 def role(c: str) -> str:
-    pairs = {t: r for *_, t, r in schema.LABELS}
-    return f"CASE {c} " + " ".join(f"WHEN '{t}' THEN '{r}'" for t, r in pairs.items()) + f" ELSE {c} END"
+    return f"CASE {c} WHEN 'другое' THEN 'др.' WHEN 'обстоятельство' THEN 'обст.' WHEN 'подлежащее' THEN 'подл.' WHEN 'сказуемое' THEN 'сказ.' WHEN 'определение' THEN 'опр.' WHEN 'дополнение' THEN 'доп.' ELSE {c} END"
 
 
 def sent(table: str, keys: str) -> str:
@@ -147,7 +154,17 @@ FROM (SELECT *, {kind} AS m FROM page)"""
 
 
 MATCH = f"CASE WHEN text = '{NEEDLE}' THEN 'exact' WHEN contains(text, '{NEEDLE}') THEN 'partial' ELSE 'none' END"
+PLACED = "CASE {m} WHEN 'exact' THEN 0 WHEN 'partial' THEN 1 WHEN 'typeOnly' THEN 2 ELSE 3 END"
 KEY = "conv_id, turn, sent_no"
+RULED = "(7 * length(token) + 3 * rn) % 11"
+RESULTS = f"""{ENC},
+good AS (SELECT {KEY} FROM enc WHERE err = 0),
+pick AS (SELECT kept.*, {NAMES}[1 + {RULED}] AS label, CAST(sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY {KEY} ORDER BY rn) AS BIGINT) AS word_no,
+         CASE WHEN starts_with({NAMES}[1 + {RULED}], 'B-') THEN 0 WHEN starts_with({NAMES}[1 + {RULED}], 'I-') THEN 1 ELSE 2 END AS r FROM kept SEMI JOIN good USING ({KEY})),
+main AS (SELECT {KEY}, word_no AS unit_no, string_agg(regexp_replace(token, '^##', ''), '' ORDER BY rn) AS w, min(start_b) AS start_b, max(end_b) AS end_b, arg_min(label, r * 1000000000 + rn) AS label FROM pick GROUP BY ALL),
+word AS (SELECT main.*, sentence, decode(encode(sentence)[start_b + 1 : end_b]) AS unit, regexp_replace(label, '^[BI]-', '') AS base, {TYPES}[list_position({NAMES}, label)] AS ru, 0 AS start_c, 0 AS end_c
+         FROM main JOIN sent USING ({KEY}) WHERE w NOT IN {MARK_LIST}),
+{ents('b', False)}"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -164,7 +181,7 @@ list_filter(list_transform(regexp_extract_all({pre('text')}, '[^.!?]*[.!?]|[^.!?
 list_filter(list_transform(string_split({pre('text')}, '.'), lambda x: regexp_replace(x, '^{ANY}+|{ANY}+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)""",
         "unit_tokens": f"""SELECT unit, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all({san('text')}, '{UNIT}', 2)) AS unit FROM documents) GROUP BY unit""",
         "char_class_profile": f"""SELECT doc_id, len(u) AS units, len(list_filter(u, lambda x: x IN {MARK_LIST})) AS marks, len(regexp_extract_all(text, '{SP}')) AS spaces,
-length(regexp_replace(text, '{MARKS}', '', 'g')) AS unmarked_chars FROM (SELECT doc_id, text, regexp_extract_all(text, '{UNIT}', 2) AS u FROM documents)""",
+length(regexp_replace(text, '{MARKS}', '', 'g')) AS unmarked_chars, text = '' OR regexp_matches(text, '^{SP}') AS blank_first FROM (SELECT doc_id, text, regexp_extract_all(text, '{UNIT}', 2) AS u FROM documents)""",
         "cyrillic_lower": f"WITH {SAMPLE_CTE} SELECT i, {low('s')} AS lowered, lower(s) AS folded FROM samples",
         "cyrillic_detect": f"""WITH {SAMPLE_CTE} SELECT 'sample' AS kind, i, regexp_matches(s, '[Ѐ-ӿ]') AS cyrillic FROM samples
 UNION ALL SELECT 'document', doc_id, regexp_matches(text, '[Ѐ-ӿ]') FROM documents""",
@@ -177,7 +194,7 @@ array_to_string(offs, ',') AS offsets, length(s) - len(list_filter(offs, lambda
         "highlight_mark": f"""SELECT conv_id, turn, md5(regexp_replace(text, '(?i)({NEEDLE})', '<mark>\\1</mark>', 'g')) AS marked_md5, len(regexp_extract_all(text, '(?i){NEEDLE}')) AS hits,
 '<mark>c++</mark> <mark>C++</mark> (c)' AS literal FROM conversations""",
         "html_escape": "SELECT page_id, md5(e) AS escaped_md5, length(e) AS n FROM (SELECT page_id, replace(html, '\"', '&quot;') AS e FROM pages)",
-        "file_sizes": "SELECT page_id, strlen(html) AS bytes, round(strlen(html) / 1048576, 4) AS mb, strlen(html) <= 307200 AS accepted FROM pages",
+        "file_sizes": "SELECT page_id, strlen(html) AS bytes, printf('%.2f', strlen(html) / 1048576) AS mb, strlen(html) <= 307200 AS accepted FROM pages",
         "label_decode": f"""WITH {UNITS},{label_cte('units', 'true')} SELECT lid AS label_id, label, base, base AS metric_class, ru AS type_ru, {role('ru')} AS role, count(*) AS n FROM word GROUP BY ALL""",
         "unit_offsets": f"WITH {UNITS} SELECT {KEY}, unit_no, unit, start_c, end_c, start_b, end_b, is_mark FROM units",
         "entities_bytes": f"{ENTS} SELECT {KEY}, ent_no, text, type, type_ru, start_b, end_b FROM ents",
@@ -192,15 +209,14 @@ bits AS (SELECT {KEY}, start_c + 1 AS pt, substring(sentence, start_c + 1, end_c
 SELECT {KEY}, row_number() OVER (PARTITION BY {KEY} ORDER BY pt) - 1 AS piece_no, piece, kind, role, role = 'подл.' AS lit FROM bits""",
         "console_by_type": f"{ENTS} SELECT {KEY}, type_ru, string_agg(text, ', ' ORDER BY ent_no) AS texts FROM ents GROUP BY {KEY}, type_ru",
         "global_stats": f"""{ENTS} SELECT (SELECT count(*) FROM sent) AS sentences_total, (SELECT CAST(coalesce(sum({words('sentence')}), 0) AS BIGINT) FROM sent) AS words_total, count(*) AS members_total,
-{', '.join(f"count(*) FILTER (type_ru = '{c}') AS total_{i}" for i, c in enumerate(schema.CATEGORIES))} FROM ents""",
+{', '.join(f"count(*) FILTER (type_ru = '{c}') AS total_{i}" for i, c in enumerate(CATEGORIES))} FROM ents""",
         "category_totals": f"{TOTALS} SELECT cat_no, type_ru, n FROM totals",
         "sentence_parts": f"""{ENTS}, {CATS_CTE}, kinds AS (SELECT CASE WHEN base = 'ADDITION' THEN 'другое' ELSE type_ru END AS k FROM ents) SELECT cat_no, type_ru, count(k) AS n FROM cats LEFT JOIN kinds ON k = type_ru GROUP BY ALL""",
         "category_share": f"{TOTALS} SELECT cat_no, type_ru, n, round(coalesce(n / nullif(sum(n) OVER (), 0), 0), 6) AS share, round(coalesce(n / nullif(sum(n) OVER (), 0), 0) * 100, 1) AS percent FROM totals",
         "top_member_per_category": f"""{ITEMS}, {CATS_CTE}, best AS (SELECT type_ru, text, amount, row_number() OVER (PARTITION BY type_ru ORDER BY amount DESC, text) AS r FROM items)
 SELECT cat_no, cats.type_ru, CASE WHEN amount > 1 THEN text ELSE '-' END AS top_word, CASE WHEN amount > 1 THEN amount ELSE 0 END AS top_count FROM cats LEFT JOIN best ON best.type_ru = cats.type_ru AND r = 1""",
-        "search_items": f"""{ENTS}, ctx AS (SELECT DISTINCT type_ru, lower(text) AS text, conv_id, turn, sent_no, sentence FROM ents)
-SELECT i.type_ru, i.text, i.amount, c.n_sentences, c.contexts_md5 FROM (SELECT type_ru, lower(text) AS text, count(*) AS amount FROM ents GROUP BY ALL) i
-JOIN (SELECT type_ru, text, count(*) AS n_sentences, md5(string_agg(concat_ws(':', conv_id, turn, sent_no, sentence), '|' ORDER BY conv_id, turn, sent_no)) AS contexts_md5 FROM ctx GROUP BY ALL) c USING (type_ru, text)""",
+        "search_items": f"{ITEMS} SELECT type_ru, text, amount, n_sentences FROM items",
+        "search_contexts": f"{ENTS} SELECT DISTINCT type_ru, lower(text) AS text, conv_id, turn, sent_no, sentence FROM ents",
         "file_totals": f"""{ENTS} SELECT s.conv_id, total_sentences, coalesce(total_entities, 0) AS total_entities FROM (SELECT conv_id, count(*) AS total_sentences FROM sent GROUP BY 1) s
 LEFT JOIN (SELECT conv_id, count(*) AS total_entities FROM ents GROUP BY 1) e ON e.conv_id = s.conv_id""",
         "search_prefix_alpha_asc": _prefix("aa"),
@@ -212,6 +228,9 @@ LEFT JOIN (SELECT conv_id, count(*) AS total_entities FROM ents GROUP BY 1) e ON
         "search_relevance_typed": _relevance("CASE WHEN type_ru = 'подлежащее' THEN 'typeOnly' ELSE 'none' END"),
         "search_hit_stats": f"""{ITEMS}, s AS (SELECT count(*) FILTER (m = 'exact') AS exact, count(*) FILTER (m = 'partial') AS partial, {none} AS type_only FROM (SELECT {MATCH} AS m FROM items))
 SELECT *, CASE WHEN exact + partial = 0 THEN '❌ Ничего не найдено' ELSE '✅ Найдено: ' || concat_ws(', ', CASE WHEN exact > 0 THEN exact || ' точных совпадений' END, CASE WHEN partial > 0 THEN partial || ' частичных совпадений' END) END AS message FROM s""",
+        "search_relevance_again": f"""{PAGE}, first AS (SELECT *, row_number() OVER (ORDER BY {PLACED.format(m=MATCH)}, original_order) AS current FROM page),
+second AS (SELECT *, CASE WHEN text = 'an' THEN 'exact' WHEN contains(text, 'an') THEN 'partial' ELSE 'none' END AS m FROM first)
+SELECT type_ru, text, original_order, m AS match_type, m <> 'none' AS visible, row_number() OVER (ORDER BY {PLACED.format(m='m')}, current) AS rank FROM second""",
         "search_reset": f"{PAGE} SELECT type_ru, text, true AS visible, original_order + 1 AS rank FROM page",
         "vocabulary": f"{VOCAB} SELECT token, CAST(id AS BIGINT) AS id FROM vocab",
         "wordpiece_tokens": f"{PIECES} SELECT w AS word, string_agg(token, ' ' ORDER BY piece_no) AS pieces FROM pieces GROUP BY w",
@@ -220,6 +239,18 @@ SELECT *, CASE WHEN exact + partial = 0 THEN '❌ Ничего не найден
 array_to_string(list_concat([-1], wids, [-1], list_transform(range(126 - len(ids)), lambda x: -1)), ' ') AS word_ids, CAST(err AS BIGINT) AS err FROM enc""",
         "attention_mask": f"{ENC} SELECT {KEY}, repeat('1', len(ids) + 2) || repeat('0', 126 - len(ids)) AS mask, len(ids) + 2 AS n FROM enc",
         "decode_roundtrip": f"{ENC} SELECT {KEY}, replace(array_to_string(tokens, ' '), ' ##', '') AS decoded FROM enc",
+        "encode_unpadded": f"{ENC} SELECT {KEY}, len(ids) + 2 AS n, array_to_string(list_concat([101], ids, [102]), ' ') AS ids FROM enc",
+        "encode_char_offsets": f"""{SUBS.replace("AS err", "AS err, CASE WHEN pieces.token = '[UNK]' THEN 0 ELSE start_c + p - 1 END AS from_c, CASE WHEN pieces.token = '[UNK]' THEN 0 ELSE start_c + p - 1 + n END AS to_c")},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY unit_no, piece_no) AS rn FROM subs),
+placed AS (SELECT {KEY}, list(from_c || '-' || to_c ORDER BY rn) AS x FROM ranked WHERE rn <= 126 GROUP BY ALL)
+SELECT {KEY}, array_to_string(list_concat(['0-0'], x, ['0-0'], list_transform(range(126 - len(x)), lambda i: '0-0')), ' ') AS places FROM placed""",
+        "sentence_results": f"""{RESULTS}, listing AS (SELECT {KEY}, count(*) AS n, md5(string_agg(concat_ws('|', text, type, type_ru, start_b, end_b), ';' ORDER BY ent_no)) AS x FROM ents GROUP BY {KEY}),
+labs AS (SELECT {KEY}, string_agg(CAST({RULED} AS VARCHAR), ' ' ORDER BY rn) AS l, count(*) AS k FROM kept SEMI JOIN good USING ({KEY}) GROUP BY {KEY})
+SELECT conv_id, turn, sent_no, sentence AS text, CAST(coalesce(err, 2) AS BIGINT) AS err, coalesce(n, 0) AS n, coalesce(x, md5('')) AS entities_md5,
+coalesce('2 ' || l || ' ' || CAST((35 + 3 * (k + 1)) % 11 AS VARCHAR), '') AS labels FROM sent LEFT JOIN enc USING ({KEY}) LEFT JOIN listing USING ({KEY}) LEFT JOIN labs USING ({KEY})""",
+        "analysis_totals": f"{RESULTS}, {CATS_CTE} SELECT cat_no, cats.type_ru, count(ents.type_ru) AS n FROM cats LEFT JOIN ents ON ents.type_ru = cats.type_ru GROUP BY ALL",
+        "special_tokens_dropped": f"{ENC} SELECT token, count(*) AS n FROM kept GROUP BY token",
+        "unknown_labels": f"WITH {UNITS} SELECT coalesce({NAMES}[1 + (7 * length(unit) + 3 * unit_no) % 13], 'O') AS label, count(*) AS n FROM units GROUP BY 1",
         "offset_repair": f"""WITH {UNITS}, hurt AS (SELECT {KEY}, unit_no, unit, CASE WHEN unit_no % 7 = 3 THEN 0 ELSE start_b END AS a, CASE WHEN unit_no % 7 = 3 THEN 0 ELSE end_b END AS b FROM units),
 prev AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY {KEY} ORDER BY unit_no), 0) AS was FROM hurt)
 SELECT {KEY}, unit_no, unit, a AS start_b, b AS end_b FROM prev WHERE NOT (a = 0 AND b = 0 AND was <> 0)""",
@@ -243,6 +274,37 @@ FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id)) AS r, cou
         "gold_span_align": f"""WITH {UNITS}, w0 AS (SELECT {KEY}, unnest(range(len(x))) AS pos, unnest(x) AS w FROM (SELECT *, string_split(sentence, ' ') AS x FROM sent)),
 gold AS (SELECT *, {NAMES}[1 + (7 * length(w) + 3 * pos) % 11] AS label, sum(length(w) + 1) OVER (PARTITION BY {KEY} ORDER BY pos) - 1 AS e FROM w0)
 SELECT u.conv_id, u.turn, u.sent_no, unit_no, unit, coalesce(label, 'O') AS true_label FROM units u LEFT JOIN gold g ON g.conv_id = u.conv_id AND g.turn = u.turn AND g.sent_no = u.sent_no AND u.start_c >= e - length(w) AND u.start_c < e""",
+        "gold_evaluation": f"""WITH {UNITS}, w0 AS (SELECT {KEY}, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END AS odd, string_split(sentence, ' ') AS x FROM sent),
+w1 AS (SELECT {KEY}, odd, unnest(range(len(x))) AS pos, unnest(x) AS w, len(x) AS k FROM w0),
+gold AS (SELECT *, {NAMES}[1 + (7 * length(w) + 3 * pos) % 11] AS label, sum(length(w) + 1) OVER (PARTITION BY {KEY} ORDER BY pos) - 1 AS e FROM w1)
+SELECT u.conv_id, u.turn, u.sent_no, unit_no AS pos, coalesce({NAMES}[1 + unit_no % 12], 'O') AS pred_label, coalesce(CASE WHEN u.conv_id % 3 = 0 THEN h.label ELSE g.label END, 'O') AS true_label
+FROM units u LEFT JOIN gold g ON g.odd = 0 AND g.conv_id = u.conv_id AND g.turn = u.turn AND g.sent_no = u.sent_no AND u.start_c >= g.e - length(g.w) AND u.start_c < g.e
+LEFT JOIN gold h ON h.odd = 1 AND h.conv_id = u.conv_id AND h.turn = u.turn AND h.sent_no = u.sent_no AND h.pos = u.unit_no AND h.pos < h.k - 1""",
+        "masked_evaluation": f"""{ENC}, every AS (SELECT token, rn FROM kept UNION ALL SELECT '[CLS]', 0 FROM enc UNION ALL SELECT '[SEP]', len(ids) + 1 FROM enc)
+SELECT {RULED} AS pred_id, (5 * length(token) + rn) % 11 AS true_id, count(*) AS n FROM every GROUP BY ALL""",
+        "source_text_files": """SELECT page_id, strlen(html) + 1 AS size, CASE WHEN strlen(html) + 1 > 307200 THEN 'size' WHEN contains(html, chr(65533)) THEN 'utf8' ELSE 'ok' END AS state,
+CASE WHEN strlen(html) + 1 <= 307200 AND NOT contains(html, chr(65533)) THEN md5(html || chr(10)) END AS text_md5 FROM pages""",
+        "source_accepted_files": "SELECT page_id, md5(html || chr(10)) AS text_md5 FROM pages WHERE strlen(html) + 1 <= 307200 AND NOT contains(html, chr(65533))",
+        "source_whole_texts": "SELECT md5(html || chr(10)) AS text_md5 FROM pages",
+        "source_lines": "SELECT text, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS text FROM conversations) WHERE text <> '' GROUP BY text",
+        "source_blank_labels": """SELECT replace(trim(l), ' ', '|') AS tokens, len(string_split(trim(l), ' ')) AS tags, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE l <> '' GROUP BY ALL""",
+        "source_typed": """SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'Привет [x] мир!', 'Привет мир!', 'ok'), (1, '+++ a', 'a', 'shrunk'), (3, 'ab+++++++', 'ab', 'shrunk'), (4, 'один', 'один', 'ok'), (5, 'два,три', 'два, три', 'ok')) t(doc_id, text, clean, state)""",
+        "source_labelled": f"""WITH {UNITS},{label_cte('units', 'true')}, s AS (SELECT turn, string_agg(unit, ' ' ORDER BY unit_no) AS text, string_agg(label, ' ' ORDER BY unit_no) AS tags, count(*) AS k FROM word GROUP BY conv_id, turn, sent_no)
+SELECT text, tags, count(*) AS n FROM s WHERE turn % 4 <> 0 GROUP BY text, tags""",
+        "source_vocabulary": f"{VOCAB} SELECT token, row_number() OVER (ORDER BY id) - 1 AS id FROM vocab",
+        "source_label_config": f"SELECT CAST(unnest(range(11)) AS BIGINT) AS label_id, unnest({NAMES}) AS label, unnest({TYPES}) AS type_ru",
+        "sink_results": f"""{ENTS}, e AS (SELECT {KEY}, count(*) AS n, string_agg(text || ':' || type_ru, '|' ORDER BY ent_no) AS x FROM ents GROUP BY {KEY})
+SELECT conv_id, turn, conv_id || '/' || turn AS input_file, count(*) OVER w AS total_sentences, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS total_entities, sent_no, sentence, coalesce(x, '') AS entities
+FROM sent LEFT JOIN e USING ({KEY}) WINDOW w AS (PARTITION BY conv_id, turn)""",
+        "sink_item_cards": f"""{PAGE}, ctx AS (SELECT DISTINCT type_ru, lower(text) AS text, conv_id, turn, sent_no, sentence FROM ents),
+c AS (SELECT type_ru, text, string_agg('<li>' || {esc('sentence')} || '</li>', '' ORDER BY conv_id, turn, sent_no) AS lis FROM ctx GROUP BY ALL)
+SELECT original_order, md5('<details class="item" data-original-order="' || original_order || '" data-type="' || type_ru || '" data-text="' || {esc('text')} || '"><summary>' || {esc('text')} || ' (' || type_ru || ') × ' || amount || '</summary><ol>' || lis || '</ol></details>') AS html_md5
+FROM page JOIN c USING (type_ru, text)""",
+        "sink_listing": f"""{ENTS}, k AS (SELECT {KEY}, type_ru, string_agg(text, ', ' ORDER BY ent_no) AS texts FROM ents WHERE sent_no % 2 = 0 GROUP BY {KEY}, type_ru),
+l AS (SELECT {KEY}, string_agg(type_ru || ': ' || texts, '; ' ORDER BY type_ru) AS line FROM k GROUP BY {KEY}) SELECT {KEY}, coalesce(line, 'No members found') AS line FROM sent LEFT JOIN l USING ({KEY})""",
+        "sink_evaluation": f"""{PRF} SELECT true AS dated, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS support, round(avg(f1), 6) AS macro_f1,
+(SELECT class FROM prf ORDER BY round(f1, 6) DESC, place LIMIT 1) AS best, (SELECT class FROM prf ORDER BY round(f1, 6), place LIMIT 1) AS worst, round(avg(f1) FILTER (class <> 'O'), 6) AS members_f1,
+(SELECT count(*) FROM pairs) AS cells_total, count(*) + 2 AS report_lines FROM prf""",
         "confusion_matrix": f"{PAIRS} SELECT * FROM cells",
         "confusion_normalized": f"{PAIRS} SELECT *, round(coalesce(n / nullif(sum(n) OVER (PARTITION BY true_class), 0), 0), 6) AS share FROM cells",
         "per_class_prf": f"{PRF} SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support, row_number() OVER (ORDER BY round(f1, 6) DESC, place) AS rank FROM prf",

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
-from ..operators import annotate, labels, metrics, search, stats, taggers, tokens
+from ..operators import analysis, annotate, labels, metrics, search, stats, taggers, tokens
+from ..session import fresh_path
+from ..sources import readers, writers
 
 TURN = ["conv_id", "turn"]
 BY = [*TURN, "sent_no"]
@@ -43,7 +45,7 @@ def _sents(spark, d):
 
 
 def _units(spark, d):
-    return annotate.units(_sents(spark, d))
+    return annotate.units(_sents(spark, d)).drop("sentence")
 
 
 def _words(spark, d, shift=0):
@@ -104,6 +106,7 @@ def char_class_profile(spark, d):
         long(marks).alias("marks"),
         long(F.regexp_count("text", F.lit(T.SPACE))).alias("spaces"),
         long(F.length(T.clean_word(F.col("text")))).alias("unmarked_chars"),
+        T.is_space(F.substring("text", 1, 1)).alias("blank_first"),
     )
 
 
@@ -150,7 +153,7 @@ def html_escape(spark, d):
 
 def file_sizes(spark, d):
     df = table(spark, d, "pages").select("page_id", long(F.octet_length("html")).alias("bytes"))
-    return df.select("page_id", "bytes", F.round(F.col("bytes") / 1048576.0, 4).alias("mb"), (F.col("bytes") <= 300 * 1024).alias("accepted"))
+    return df.select("page_id", "bytes", T.file_size(F.col("bytes")).alias("mb"), (F.col("bytes") <= 300 * 1024).alias("accepted"))
 
 
 # --- labels, words, phrases
@@ -185,7 +188,7 @@ def sentence_structure(spark, d):
 
 
 def markup_stream(spark, d):
-    df = annotate.markup(_ents(spark, d), TURN)
+    df = annotate.markup(_ents(spark, d), TURN, _sents(spark, d))
     return df.select(*TURN, long("sent_no").alias("sent_no"), long("piece_no").alias("piece_no"), "piece", "kind", "role", (F.col("role") == "подл.").alias("lit"))
 
 
@@ -218,9 +221,11 @@ def top_member_per_category(spark, d):
 
 
 def search_items(spark, d):
-    df = stats.search_items(_ents(spark, d), TURN)
-    lines = F.array_join(F.transform("sentences", lambda s: F.concat_ws(":", s["conv_id"], s["turn"], s["sent_no"], s["sentence"])), "|")
-    return df.select("type_ru", "text", long("amount").alias("amount"), "n_sentences", F.md5(lines).alias("contexts_md5"))
+    return _items(spark, d).select("type_ru", "text", long("amount").alias("amount"), "n_sentences")
+
+
+def search_contexts(spark, d):
+    return stats.item_contexts(_ents(spark, d), TURN, _sents(spark, d)).select("type_ru", "text", *TURN, long("sent_no").alias("sent_no"), "sentence")
 
 
 def file_totals(spark, d):
@@ -254,6 +259,12 @@ def search_relevance_typed(spark, d):
     return _shown(search.relevance(_page(spark, d), "", schema.CATEGORIES[0]))
 
 
+def search_relevance_again(spark, d):
+    """A search for another needle, in the order that the first one left."""
+    first = search.relevance(_page(spark, d), NEEDLE).withColumnRenamed("rank", "current").drop("match_type", "visible")
+    return _shown(search.relevance(first, "an", current="current"))
+
+
 def search_hit_stats(spark, d):
     # the counts need no order
     found = _items(spark, d).withColumn("match_type", search.match_type(NEEDLE))
@@ -308,6 +319,48 @@ def decode_roundtrip(spark, d):
     return _encoded(spark, d).select(*TURN, long("sent_no").alias("sent_no"), tokens.decode(F.col("tokens")).alias("decoded"))
 
 
+def encode_unpadded(spark, d):
+    df = tokens.encode(_subs(spark, d), TURN, pad=False)
+    return df.select(*TURN, long("sent_no").alias("sent_no"), long(F.size("input_ids")).alias("n"), F.array_join("input_ids", " ").alias("ids"))
+
+
+def encode_char_offsets(spark, d):
+    df = _encoded(spark, d)
+    pairs = F.zip_with("start_c", "end_c", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
+    return df.select(*TURN, long("sent_no").alias("sent_no"), F.array_join(pairs, " ").alias("places"))
+
+
+def sentence_results(spark, d):
+    """The composed analysis, with a stand-in for the model."""
+    df = _analysis(spark, d)
+    listed = F.transform("entities", lambda e: F.concat_ws("|", e["text"], e["type"], e["type_ru"], e["start"].cast("string"), e["end"].cast("string")))
+    labels_ = F.array_join(F.slice("token_labels", 1, F.size(F.filter("tokens", lambda t: t != "[PAD]"))), " ")
+    return df.select(*TURN, long("sent_no").alias("sent_no"), "text", long("err").alias("err"), long(F.size("entities")).alias("n"), F.md5(F.array_join(listed, ";")).alias("entities_md5"), labels_.alias("labels"))
+
+
+def _analysis(spark, d):
+    docs = table(spark, d, "conversations").select(*TURN, "text")
+    return analysis.analyze(docs, TURN, _vocab(spark, d), taggers.RuleTokenTagger())
+
+
+def analysis_totals(spark, d):
+    """Counts over the phrases of the composed analysis."""
+    return stats.category_totals(analysis.phrases(_analysis(spark, d), TURN)).select(long("cat_no").alias("cat_no"), "type_ru", long("n").alias("n"))
+
+
+def special_tokens_dropped(spark, d):
+    df = _encoded(spark, d).select(*BY, F.posexplode("tokens").alias("pos", "token"))
+    n = tokens.drop_special(df).groupBy("token").agg(F.count("*").alias("n"))
+    return n.select("token", "n")
+
+
+def unknown_labels(spark, d):
+    """Label ids beyond the eleven count as O."""
+    ids = ((F.length("unit") * 7 + F.col("unit_no") * 3) % (len(schema.LABELS) + 2)).cast("int")
+    df = taggers.named(_units(spark, d).withColumn("label_id", ids), unknown="O")
+    return df.groupBy("label").agg(F.count("*").alias("n"))
+
+
 def offset_repair(spark, d):
     """Units whose places were damaged on purpose: swapped, or set to zero."""
     swapped, zero = F.col("unit_no") % 5 == 0, F.col("unit_no") % 7 == 3
@@ -317,6 +370,7 @@ def offset_repair(spark, d):
 
 
 def argmax_labels(spark, d):
+    """The first values of each embedding stand in for a model's scores of the labels."""
     df = table(spark, d, "embeddings").select("vec_id", taggers.argmax(F.slice("embedding", 1, len(schema.LABELS))).alias("label_id"))
     return df.select("vec_id", long("label_id").alias("label_id"), schema.label_name(F.col("label_id")).alias("label"))
 
@@ -385,6 +439,28 @@ def gold_span_align(spark, d):
     return df.select(*TURN, long("sent_no").alias("sent_no"), long("unit_no").alias("unit_no"), "unit", "true_label")
 
 
+def _evaluated(spark, d):
+    """Gold tags of the words of each sentence; every third conversation lacks its last tag."""
+    sents = _sents(spark, d)
+    tag = lambda w, i: schema.label_name(((F.length(w) * 7 + i * 3) % len(schema.LABELS)).cast("int"))
+    tags = F.transform(F.split("sentence", " "), tag)
+    texts = sents.select(*BY, F.col("sentence").alias("text"), F.when(F.col("conv_id") % 3 == 0, F.slice(tags, 1, F.size(tags) - 1)).otherwise(tags).alias("tags"))
+    units = annotate.units(sents).select(*BY, F.col("unit_no").alias("pos"), "start_c", F.coalesce(schema.label_name(F.col("pos") % (len(schema.LABELS) + 1)), F.lit("?")).alias("pred_label"))
+    return metrics.collect_pairs(units, texts, BY)
+
+
+def gold_evaluation(spark, d):
+    df = _evaluated(spark, d)
+    return df.select(*TURN, long("sent_no").alias("sent_no"), long("pos").alias("pos"), "pred_label", "true_label")
+
+
+def masked_evaluation(spark, d):
+    df = taggers.RuleTokenTagger()(_encoded(spark, d))
+    df = df.withColumn("true_ids", F.transform("tokens", lambda t, i: ((F.length(t) * 5 + i) % len(schema.LABELS)).cast("int")))
+    n = metrics.masked_pairs(df, BY).groupBy("pred_id", "true_id").agg(F.count("*").alias("n"))
+    return n.select(long("pred_id").alias("pred_id"), long("true_id").alias("true_id"), "n")
+
+
 def confusion_matrix(spark, d):
     return metrics.confusion(_pairs(spark, d))
 
@@ -406,6 +482,116 @@ def macro_best_worst(spark, d):
     return metrics.rounded(metrics.macro(metrics.per_class(metrics.confusion(_pairs(spark, d)))), "precision", "recall", "f1", "gap")
 
 
+# --- sources and sinks: what is written to the shared folder, read back
+
+
+def _written(spark, df, label: str, by: str | None = None) -> str:
+    """Text files of df, a folder for each value of by."""
+    path = fresh_path(spark, label)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.text(path)
+    return path
+
+
+def _page_files(spark, d) -> str:
+    return _written(spark, table(spark, d, "pages").select("page_id", F.col("html").alias("value")).repartition("page_id"), "page-files", "page_id")
+
+
+def source_text_files(spark, d):
+    df = readers.text_files(spark, f"{_page_files(spark, d)}/*")
+    return df.select(long(F.regexp_extract("path", r"page_id=([0-9]+)", 1)).alias("page_id"), long("size").alias("size"), "state", F.md5("text").alias("text_md5"))
+
+
+def source_accepted_files(spark, d):
+    df = readers.accepted_files(spark, f"{_page_files(spark, d)}/*")
+    return df.select(long(F.regexp_extract("path", r"page_id=([0-9]+)", 1)).alias("page_id"), F.md5("text").alias("text_md5"))
+
+
+def source_whole_texts(spark, d):
+    return readers.whole_text(spark, f"{_page_files(spark, d)}/*").select(F.md5("text").alias("text_md5"))
+
+
+def source_lines(spark, d):
+    path = _written(spark, table(spark, d, "conversations").select("text"), "lines")
+    return readers.lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
+
+
+def source_blank_labels(spark, d):
+    path = _written(spark, table(spark, d, "conversations").select("text"), "unlabelled")
+    df = readers.blank_labels(spark, path)
+    return df.groupBy(F.array_join("tokens", "|").alias("tokens"), long(F.size("tags")).alias("tags")).agg(F.count("*").alias("n"))
+
+
+def source_typed(spark, d):
+    """Literal texts, as typed at the two consoles."""
+    first = readers.until_blank(["Привет [x] мир!", "+++ a", " ", "ab+++++++", "", "not read"])
+    second = readers.until_quit(["  один ", "", "два,три", "QUIT", "not read"])
+    return readers.typed(spark, [*first, *second]).select("doc_id", "text", "clean", "state")
+
+
+def source_labelled(spark, d):
+    by = [*TURN, "sent_no"]
+    one = F.transform(F.array_sort(F.collect_list(F.struct("unit_no", "unit", "label"))), lambda x: F.struct(x["unit"].alias("unit"), x["label"].alias("label")))
+    df = taggers.RuleTagger()(_units(spark, d)).groupBy(*by).agg(one.alias("x"))
+    tags = F.transform("x", lambda x: x["label"])
+    df = df.select(F.transform("x", lambda x: x["unit"]).alias("tokens"), F.when(F.col("turn") % 4 == 0, F.slice(tags, 1, F.size(tags) - 1)).otherwise(tags).alias("tags"))
+    path = fresh_path(spark, "labelled")
+    writers.dataset_json(df, path)
+    return readers.labelled(spark, path).groupBy("text", F.array_join("tags", " ").alias("tags")).agg(F.count("*").alias("n"))
+
+
+def source_vocabulary(spark, d):
+    path = fresh_path(spark, "vocabulary-file")
+    writers.vocabulary_text(_vocab(spark, d), path)
+    return readers.vocabulary(spark, path)
+
+
+def source_label_config(spark, d):
+    path = fresh_path(spark, "metadata")
+    writers.metadata(spark, path, "stand-in")
+    return readers.label_config(spark, path).select(long("label_id").alias("label_id"), "label", "type_ru")
+
+
+def sink_results(spark, d):
+    path = fresh_path(spark, "results")
+    writers.results_json(_sents(spark, d), _ents(spark, d), TURN, path)
+    kind = "conv_id long, turn long, input_file string, total_sentences long, total_entities long, results array<struct<sent_no:long,sentence:string,entities:array<struct<text:string,type:string>>>>"
+    df = spark.read.schema(kind).json(path).select("*", F.explode("results").alias("r"))
+    listed = F.array_join(F.transform("r.entities", lambda e: F.concat_ws(":", e["text"], e["type"])), "|")
+    return df.select(*TURN, "input_file", "total_sentences", "total_entities", "r.sent_no", "r.sentence", listed.alias("entities"))
+
+
+def sink_item_cards(spark, d):
+    ents = annotate.with_sentences(_ents(spark, d), _sents(spark, d), TURN)
+    items = search.with_order(stats.search_items(ents, TURN))
+    return writers.item_rows(items).select(long("original_order").alias("original_order"), F.md5("html").alias("html_md5"))
+
+
+def sink_listing(spark, d):
+    """Sentences of which odd ones' entities are left out, so that many have none."""
+    ents = _ents(spark, d).filter("sent_no % 2 = 0")
+    return writers.listing(_sents(spark, d), ents, TURN, "No members found").select(*TURN, long("sent_no").alias("sent_no"), "line")
+
+
+def sink_evaluation(spark, d):
+    path = fresh_path(spark, "evaluation")
+    cells = metrics.confusion(_pairs(spark, d))
+    writers.evaluation(metrics.per_class(cells), cells, path)
+    kind = "evaluation_info struct<timestamp:string,date:string>, weighted struct<f1:double,support:long>, macro struct<f1:double,best:string,worst:string>, members_f1 double, confusion array<struct<n:long>>, report string"
+    df = spark.read.schema(kind).option("multiLine", True).json(path)
+    return df.select(
+        F.startswith("evaluation_info.timestamp", F.col("evaluation_info.date")).alias("dated"),
+        F.round("weighted.f1", 6).alias("weighted_f1"),
+        "weighted.support",
+        F.round("macro.f1", 6).alias("macro_f1"),
+        "macro.best",
+        "macro.worst",
+        F.round("members_f1", 6).alias("members_f1"),
+        long(F.aggregate("confusion", F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("cells_total"),
+        long(F.size(F.split("report", "\n"))).alias("report_lines"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         sentence_word_stats, sanitize_text, preprocess_text, sentences_regex, sentences_scan, sentences_dot_fallback, unit_tokens, char_class_profile, cyrillic_lower,
@@ -413,7 +599,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sentence_structure, markup_stream, console_by_type, global_stats, category_totals, sentence_parts, category_share, top_member_per_category, search_items,
         file_totals, search_relevance, search_relevance_typed, search_hit_stats, search_reset, vocabulary, wordpiece_tokens, subtoken_offsets, encode_padded, attention_mask,
         decode_roundtrip, offset_repair, argmax_labels, subword_merge, bio_encode, bio_violations, invalid_labels, align_subtoken_labels, label_counts, base_class_counts, train_val_split,
-        gold_span_align, confusion_matrix, confusion_normalized, per_class_prf, weighted_prf, macro_best_worst,
+        search_contexts, search_relevance_again, encode_unpadded, encode_char_offsets, sentence_results, analysis_totals, special_tokens_dropped, unknown_labels, gold_evaluation, masked_evaluation,
+        source_text_files, source_accepted_files, source_whole_texts, source_lines, source_blank_labels, source_typed, source_labelled, source_vocabulary, source_label_config,
+        sink_results, sink_item_cards, sink_listing, sink_evaluation, gold_span_align, confusion_matrix, confusion_normalized, per_class_prf, weighted_prf, macro_best_worst,
     )
     found = {f.__name__: f for f in named}
     found["search_prefix_alpha_asc"] = _prefix("alphabet_asc", NEEDLE)

@@ -24,6 +24,8 @@ CATEGORIES = ("подлежащее", "сказуемое", "дополнени
 CLASSES = ("O", "ADVERBIAL", "SUBJECT", "PREDICATE", "DEFINITION", "ADDITION")
 #: Order of the categories in a sentence's structure.
 STRUCTURE = ("SUBJECT", "PREDICATE", "ADVERBIAL", "ADDITION", "DEFINITION")
+#: Messages of the saved page's search.
+SAID = {"exact": " точных совпадений", "partial": " частичных совпадений", "type_only": " по типу", "none": "❌ Ничего не найдено", "found": "✅ Найдено: "}
 CLS, SEP, PAD, UNK = 101, 102, 0, 100
 SPECIAL = ((PAD, "[PAD]"), (UNK, "[UNK]"), (CLS, "[CLS]"), (SEP, "[SEP]"))
 

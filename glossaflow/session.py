@@ -99,3 +99,26 @@ def discard(df: DataFrame) -> None:
     path = df._glossaflow_path
     _delete(df.sparkSession, path)
     _made.remove((df.sparkSession, path))
+
+
+def put_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """Writes a bounded text to one file of any store that Spark reaches; a path without a scheme is local."""
+    p = _path(spark, path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(p) and not overwrite:
+        raise FileExistsError(path)
+    out = store.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    p = _path(spark, path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _path(spark: SparkSession, path: str):
+    full = path if re.match(r"[A-Za-z][\w+.-]+:", path) else Path(path).resolve().as_uri()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(full)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import takewhile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +20,17 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, state, text): whole files; the first failing check names the state.
 
     'suffix', 'size', 'utf8' (not valid, or with a replacement character) or 'ok';
-    text is null unless it is ok. Wrong names and sizes are judged by the listing.
+    text is null unless it is ok. Wrong names and sizes are judged by the listing, and
+    their content is never read.
     """
     files = spark.read.format("binaryFile").load(path)
-    bad = ~F.is_valid_utf8(F.col("content").cast("string")) | F.col("content").cast("string").contains("�")
-    state = F.when(~F.lower("path").endswith(".txt"), "suffix").when(F.col("length") > MAX_BYTES, "size").when(bad, "utf8").otherwise("ok")
-    df = files.select("path", F.col("length").alias("size"), state.alias("state"), F.col("content").cast("string").alias("text"))
-    return df.withColumn("text", F.when(F.col("state") == "ok", F.col("text")))
+    named = F.lower("path").endswith(".txt")
+    small = F.col("length") <= MAX_BYTES
+    listed = files.filter(~(named & small)).select("path", F.col("length").alias("size"), F.when(~named, "suffix").otherwise("size").alias("state"), F.lit(None).cast("string").alias("text"))
+    s = F.col("content").cast("string")
+    ok = F.is_valid_utf8(s) & ~s.contains("\ufffd")
+    read = files.filter(named & small).select("path", F.col("length").alias("size"), F.when(ok, "ok").otherwise("utf8").alias("state"), F.when(ok, s).alias("text"))
+    return read.unionByName(listed)
 
 
 def accepted_files(spark: SparkSession, path: str) -> DataFrame:
@@ -39,6 +47,17 @@ def typed(spark: SparkSession, texts: list[str]) -> DataFrame:
     return df.withColumn("state", T.validity(F.col("clean"), F.col("text")))
 
 
+def until_blank(texts: Iterable[str]) -> Iterator[str]:
+    """Texts of a console, up to the first empty line."""
+    return takewhile(lambda t: t != "", texts)
+
+
+def until_quit(texts: Iterable[str]) -> Iterator[str]:
+    """Stripped texts of a console, up to exit, quit or q in any case; blank ones are left out."""
+    stripped = (t.strip() for t in texts)
+    return (t for t in takewhile(lambda t: t.lower() not in ("exit", "quit", "q"), stripped) if t)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(text): the stripped, non-blank lines of a text file."""
     return spark.read.text(path).select(F.trim("value").alias("text")).filter("text <> ''")
@@ -50,7 +69,7 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, path: str) -> DataFrame:
-    """(tokens, tags, text) of JSON arrays of samples; unequal lengths go, and nothing left is an error."""
+    """(tokens, tags, text) of JSON arrays of samples, a file each; unequal lengths go, and nothing left is an error."""
     df = spark.read.schema(schema.LABELED).option("multiLine", True).json(path)
     df = df.filter(F.size("tokens") == F.size("tags")).withColumn("text", F.array_join("tokens", " "))
     if df.isEmpty():
@@ -82,3 +101,11 @@ def blank_labels(spark: SparkSession, path: str) -> DataFrame:
     """(tokens, tags): a sample with empty tags for each line of more than one character."""
     words = F.split(F.trim("value"), " ")
     return spark.read.text(path).filter(F.length("value") > 0).select(words.alias("tokens"), F.transform(words, lambda _: F.lit("")).alias("tags"))
+
+
+def asset(path: str | None) -> str:
+    """A template, style or script of a page; empty if the file is missing or not readable."""
+    try:
+        return Path(path).read_text(encoding="utf-8") if path else ""
+    except (OSError, UnicodeDecodeError):
+        return ""

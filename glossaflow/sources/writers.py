@@ -4,35 +4,53 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Sequence
-from pathlib import Path
+from collections.abc import Iterator, Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..operators import stats as S
+from ..session import file_exists, put_text
+from .readers import asset
 
-#: Items that a page can hold; a larger index has to be filtered first.
+#: Items that one self-contained page can hold.
 MAX_ITEMS = 50_000
 
 
-def results_json(sents: DataFrame, ents: DataFrame, keys: Sequence[str], path: str, mode: str = "errorifexists") -> None:
-    """A JSON object for each text: total_sentences, total_entities and the sentences with their entities."""
+def results_json(sents: DataFrame, ents: DataFrame, keys: Sequence[str], path: str, mode: str = "errorifexists", input_file: str | None = None) -> None:
+    """A JSON object for each text: input_file (a column of sents, or the keys), total_sentences, total_entities and the sentences with their entities."""
     by = [*keys, "sent_no"]
     e = ents.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ent_no", "text", F.col("type_ru").alias("type")))).alias("e"))
     rows = sents.join(e, by, "left").withColumn("e", F.coalesce(F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["type"].alias("type"))), F.array().cast("array<struct<text:string,type:string>>")))
     one = F.struct("sent_no", "sentence", F.col("e").alias("entities"))
-    out = rows.groupBy(*keys).agg(F.count("*").alias("total_sentences"), F.sum(F.size("e")).alias("total_entities"), F.array_sort(F.collect_list(one)).alias("results"))
+    named = F.first(input_file) if input_file else F.concat_ws("/", *[F.first(F.col(k).cast("string")) for k in keys])
+    out = rows.groupBy(*keys).agg(named.alias("input_file"), F.count("*").alias("total_sentences"), F.sum(F.size("e")).alias("total_entities"), F.array_sort(F.collect_list(one)).alias("results"))
     out.write.mode(mode).json(path)
 
 
 def dataset_json(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    samples.select("tokens", "tags").write.mode(mode).json(path)
+    """Samples (tokens, tags) as JSON arrays, one in each file: what readers.labelled() reads."""
+
+    def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = "["
+        for batch in batches:
+            lines = []
+            for x in batch["j"]:
+                lines.append(before)
+                before = f"{x},"
+            yield pd.DataFrame({"value": lines})
+        yield pd.DataFrame({"value": ["[]"] if before == "[" else [before[:-1], "]"]})
+
+    rows = samples.select(F.to_json(F.struct("tokens", "tags")).alias("j"))
+    rows.mapInPandas(arrays, "value string").write.mode(mode).text(path)
 
 
 def vocabulary_text(vocab: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tokens by id, one a line: ranges of ids in ordered files."""
-    vocab.orderBy("id").select("token").write.mode(mode).text(path)
+    """Tokens by id, one a line, in one file, as readers number its lines: a task holds the vocabulary, which is bounded by its model."""
+    vocab.repartition(1).sortWithinPartitions("id").select("token").write.mode(mode).text(path)
 
 
 def item_rows(items: DataFrame) -> DataFrame:
@@ -43,11 +61,11 @@ def item_rows(items: DataFrame) -> DataFrame:
             c = F.replace(c, F.lit(a), F.lit(b))
         return c
 
-    said = F.transform("sentences", lambda s: F.concat(F.lit('<div class="sentence" data-original="'), esc(s["sentence"]), F.lit('">'), esc(s["sentence"]), F.lit("</div>\n")))
     text, kind = esc(F.col("text")), esc(F.col("type_ru"))
+    where = F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<li>"), esc(s["sentence"]), F.lit("</li>"))), "")
     row = F.concat(
-        F.lit('<div class="item" data-text="'), text, F.lit('" data-type="'), kind, F.lit('" data-original-order="'), F.col("original_order").cast("string"), F.lit('">\n<span class="text">'),
-        text, F.lit('</span>\n<span class="type">'), kind, F.lit("</span>\n<div>Появлений: "), F.col("amount").cast("string"), F.lit("</div>\n"), F.array_join(said, ""), F.lit("</div>\n"),
+        F.lit('<details class="item" data-original-order="'), F.col("original_order").cast("string"), F.lit('" data-type="'), kind, F.lit('" data-text="'), text, F.lit('"><summary>'),
+        text, F.lit(" ("), kind, F.lit(") × "), F.col("amount").cast("string"), F.lit("</summary><ol>"), where, F.lit("</ol></details>"),
     )
     return items.select("original_order", row.alias("html"))
 
@@ -68,29 +86,40 @@ box.oninput=kind.onchange=show;
 """
 
 
-def _guard(target: Path, overwrite: bool) -> None:
-    if target.exists() and not overwrite:
+def _guard(spark: SparkSession, target: str, overwrite: bool) -> str:
+    if not overwrite and file_exists(spark, target):
         raise FileExistsError(target)
+    return target
 
 
-def search_page(items: DataFrame, folder: str, overwrite: bool = False) -> Path:
-    """list.html: a self-contained page that searches the items."""
-    target = Path(folder, "list.html")
-    _guard(target, overwrite)
+def search_page(items: DataFrame, folder: str, overwrite: bool = False, style: str | None = None, script: str | None = None) -> str:
+    """list.html: a self-contained page that searches up to MAX_ITEMS items; item_pages() takes any number.
+
+    style and script name files that go into the page beside its own; missing ones count as empty.
+    """
+    spark = items.sparkSession
+    target = _guard(spark, f"{folder}/list.html", overwrite)
     if items.count() > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items; filter them first")
+        raise ValueError(f"more than {MAX_ITEMS} items; filter them first, or write item_pages()")
     rows = "".join(r["html"] for r in item_rows(items).orderBy("original_order").toLocalIterator())
     kinds = "".join(f"<option>{html.escape(r['type_ru'])}</option>" for r in items.select("type_ru").distinct().orderBy("type_ru").collect())
-    body = f'<input id="needle"><select id="kind"><option value=""></option>{kinds}</select><div id="results">{rows}</div>'
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(_PAGE.format(title="Члены предложений", body=body, script=_SEARCH), encoding="utf-8")
+    body = f'<style>{asset(style)}</style><input id="needle"><select id="kind"><option value=""></option>{kinds}</select><div id="results">{rows}</div>'
+    put_text(spark, target, _PAGE.format(title="Члены предложений", body=body, script=_SEARCH + asset(script)), overwrite)
     return target
 
 
-def statistics_page(sents: DataFrame, ents: DataFrame, folder: str, overwrite: bool = False) -> Path:
+def item_pages(items: DataFrame, path: str, per_page: int = 1000, mode: str = "errorifexists") -> None:
+    """The same items as pages of per_page each, in folders page=0, page=1, …; a task holds one page at a time."""
+    head, tail = _PAGE.format(title="Члены предложений", body="\0", script="").split("\0")
+    paged = item_rows(items).withColumn("page", F.floor(F.col("original_order") / per_page))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("original_order", "html"))), lambda x: x["html"]), "")
+    whole = paged.groupBy("page").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("value"))
+    whole.write.mode(mode).partitionBy("page").text(path)
+
+
+def statistics_page(sents: DataFrame, ents: DataFrame, folder: str, overwrite: bool = False) -> str:
     """statistics.html: totals, the top member and the share of each category, as cards and bars."""
-    target = Path(folder, "statistics.html")
-    _guard(target, overwrite)
+    target = _guard(sents.sparkSession, f"{folder}/statistics.html", overwrite)
     total = S.global_stats(sents, ents).first()
     tops = {r["type_ru"]: r for r in S.top_member(ents).collect()}
     parts = S.shares(S.category_totals(ents)).orderBy("cat_no").collect()
@@ -99,33 +128,57 @@ def statistics_page(sents: DataFrame, ents: DataFrame, folder: str, overwrite: b
     for r in parts:
         top = tops[r["type_ru"]]
         body += f'<div class="card">{html.escape(r["type_ru"])}: {r["n"]} ({r["percent"]} %), {html.escape(top["top_word"])} ({top["top_count"]})<div style="background:#69c;height:.5rem;width:{r["percent"]}%"></div></div>'
-    target.parent.mkdir(parents=True, exist_ok=True)
-    target.write_text(_PAGE.format(title="Статистика", body=body, script=""), encoding="utf-8")
+    put_text(sents.sparkSession, target, _PAGE.format(title="Статистика", body=body, script=""), overwrite)
     return target
 
 
-def analysis(items: DataFrame, sents: DataFrame, ents: DataFrame, folder: str, overwrite: bool = False) -> list[Path]:
+def analysis(items: DataFrame, sents: DataFrame, ents: DataFrame, folder: str, overwrite: bool = False) -> list[str]:
     """Both pages; neither is written if one is there already and must stay."""
     for name in ("list.html", "statistics.html"):
-        _guard(Path(folder, name), overwrite)
+        _guard(items.sparkSession, f"{folder}/{name}", overwrite)
     return [search_page(items, folder, overwrite), statistics_page(sents, ents, folder, overwrite)]
 
 
-def evaluation(classes: DataFrame, cells: DataFrame, path: str) -> None:
-    """evaluation_results.json: classes, macro means, weighted means and the confusion matrix; a few rows each."""
+def evaluation(classes: DataFrame, cells: DataFrame, path: str, model_name: str = "", overwrite: bool = True) -> None:
+    """evaluation_results.json: when, classes, macro means, weighted means, the mean f1 of the sentence's members and the confusion matrix; a few rows each."""
     from ..operators import metrics as M
 
+    now = datetime.now()
+    kept = ("precision", "recall", "f1", "support")
+    rows = classes.collect()
+    members = [r["f1"] for r in rows if r["class"] != "O"]
     found = {
-        "per_class": {r["class"]: {k: r[k] for k in ("precision", "recall", "f1", "support")} for r in classes.collect()},
+        "evaluation_info": {"timestamp": now.isoformat(), "date": f"{now:%Y-%m-%d}", "time": f"{now:%H:%M:%S}", "model_name": model_name},
+        "per_class": {r["class"]: {k: r[k] for k in kept} for r in rows},
         "weighted": M.weighted(classes).first().asDict(),
         "macro": M.macro(classes).first().asDict(),
+        "members_f1": sum(members) / len(members) if members else None,
         "confusion": [r.asDict() for r in cells.collect()],
+        "report": M.report(classes, sum(r["support"] for r in rows)),
     }
-    Path(path).write_text(json.dumps(found, ensure_ascii=False, indent=2, default=float), encoding="utf-8")
+    put_text(classes.sparkSession, path, json.dumps(found, ensure_ascii=False, indent=2, default=float), overwrite)
 
 
-def listing(ents: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, sent_no, line): the entities of each sentence by type, as the console shows them."""
-    kinds = S.by_type(ents, keys)
+def metadata(spark: SparkSession, path: str, model_name: str, max_len: int = 128, overwrite: bool = False) -> None:
+    """metadata.json of a model: its labels, ids, special tokens and the names of the sentence's members."""
+    found = {
+        "model_type": "bert_ner",
+        "model_name": model_name,
+        "num_labels": len(schema.LABELS),
+        "max_len": max_len,
+        "labels": [x[1] for x in schema.LABELS],
+        "id2label": {str(x[0]): x[1] for x in schema.LABELS},
+        "label2id": {x[1]: x[0] for x in schema.LABELS},
+        "pad_token_id": schema.PAD,
+        "special_tokens": {"pad": "[PAD]", "unk": "[UNK]", "cls": "[CLS]", "sep": "[SEP]", "mask": "[MASK]"},
+        "sentence_parts": {x[2]: x[3] for x in schema.LABELS if x[2] != "O"},
+    }
+    put_text(spark, path, json.dumps(found, ensure_ascii=False, indent=2), overwrite)
+
+
+def listing(sents: DataFrame, ents: DataFrame, keys: Sequence[str], none: str = "-") -> DataFrame:
+    """(keys, sent_no, line): the entities of each sentence by type, as the console shows them; none for a sentence without any."""
+    by = [*keys, "sent_no"]
     pair = F.struct("type_ru", "texts")
-    return kinds.groupBy(*keys, "sent_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(x["type_ru"], F.lit(": "), x["texts"])), "; ").alias("line"))
+    said = S.by_type(ents, keys).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: F.concat(x["type_ru"], F.lit(": "), x["texts"])), "; ").alias("line"))
+    return sents.select(*by).join(said, by, "left").withColumn("line", F.coalesce("line", F.lit(none)))

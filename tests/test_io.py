@@ -1,5 +1,6 @@
 import datetime
 import json
+from pathlib import Path
 
 import pytest
 
@@ -35,6 +36,18 @@ def test_small_sources(spark, tmp_path):
     (tmp_path / "e.json").write_text("[]")
     with pytest.raises(ValueError):
         readers.labelled(spark, str(tmp_path / "e.json"))
+    assert list(readers.until_blank(["a", " ", "", "b"])) == ["a", " "]
+    assert list(readers.until_quit([" a ", "", "Quit", "b"])) == ["a"]
+    assert readers.asset(str(tmp_path / "none")) == readers.asset(None) == "" and readers.asset(str(tmp_path / "e.json")) == "[]"
+    samples = spark.createDataFrame([(["a", "б"], ["O", "O"]), (["c"], ["B-SUBJECT"])], "tokens array<string>, tags array<string>")
+    writers.dataset_json(samples.repartition(5), str(tmp_path / "set"))
+    assert sorted(r["text"] for r in readers.labelled(spark, str(tmp_path / "set")).collect()) == ["a б", "c"]
+    for f in (tmp_path / "set").glob("*.txt"):
+        json.loads(f.read_text())
+    writers.metadata(spark, str(tmp_path / "m" / "metadata.json"), "x")
+    assert json.loads((tmp_path / "m" / "metadata.json").read_text())["id2label"]["3"] == "B-SUBJECT"
+    with pytest.raises(FileExistsError):
+        writers.metadata(spark, str(tmp_path / "m" / "metadata.json"), "x")
 
 
 def test_reports(spark, tmp_path):
@@ -46,16 +59,19 @@ def test_reports(spark, tmp_path):
 
     found = search.with_order(stats.search_items(ents, ["doc"]))
     pages = writers.analysis(found, sents, ents, str(tmp_path / "out"))
-    text = pages[0].read_text(encoding="utf-8")
-    assert 'data-original-order="0"' in text and "<script>" in text and 'data-original="Кот &quot;спит&quot;' in text
-    assert "Предложений" in pages[1].read_text(encoding="utf-8")
+    text = Path(pages[0]).read_text(encoding="utf-8")
+    assert 'data-original-order="0"' in text and "<script>" in text and '<li>Кот &quot;спит&quot;' in text
+    assert "Предложений" in Path(pages[1]).read_text(encoding="utf-8")
     with pytest.raises(FileExistsError):
         writers.analysis(found, sents, ents, str(tmp_path / "out"))
     writers.analysis(found, sents, ents, str(tmp_path / "out"), overwrite=True)
     writers.results_json(sents, ents, ["doc"], str(tmp_path / "json"))
     row = spark.read.json(str(tmp_path / "json")).first()
     assert row["total_sentences"] == 2 and row["total_entities"] == ents.count()
-    assert writers.listing(ents, ["doc"]).count() == 2
+    assert writers.listing(sents, ents.filter("sent_no = 1"), ["doc"]).orderBy("sent_no").collect()[1]["line"] == "-"
+    writers.item_pages(found, str(tmp_path / "pages"), per_page=2)
+    pages = spark.read.text(str(tmp_path / "pages"), wholetext=True).collect()
+    assert sum(r["value"].count("data-original-order") for r in pages) == found.count() and len(pages) == -(-found.count() // 2)
     pairs = spark.createDataFrame([("O", "O")], "true_label string, pred_label string")
     writers.evaluation(metrics.per_class(metrics.confusion(pairs)), metrics.confusion(pairs), str(tmp_path / "e.json"))
     assert json.loads((tmp_path / "e.json").read_text())["macro"]["f1"] == 1.0

@@ -1,10 +1,11 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from glossaflow import schema
-from glossaflow.operators import annotate, labels, metrics, search, stats, taggers, tokens
+from glossaflow.operators import analysis, annotate, labels, metrics, search, stats, taggers, tokens
 
 ENT = "doc int, sent_no int, ent_no int, text string, type_ru string, base string, sentence string"
 S, P, A = "подлежащее", "сказуемое", "дополнение"
@@ -222,6 +223,72 @@ def test_wordpiece_of_a_vocabulary_too_large_to_broadcast(spark, monkeypatch):
     want = sorted((r["n"], r["word"], r["pieces"]) for r in tokens.wordpiece(words, vocab).collect())
     monkeypatch.setattr(tokens, "MAX_VOCABULARY", 3)
     out = tokens.wordpiece(words, vocab)
-    assert out.columns == ["word", "n", "pieces"]
+    assert out.columns == ["word", "n", "pieces", "ids"]
+    assert all(r["ids"] == [{"[UNK]": 100}.get(p, ["[UNK]", "сло", "##во", "##в", "##о", "а", "##б", "слово"].index(p)) for p in r["pieces"]] for r in out.filter("not array_contains(pieces, '[UNK]')").collect())
     assert sorted((r["n"], r["word"], r["pieces"]) for r in out.collect()) == want
     assert (0, "слово", ["слово"]) in want and (2, "аб", ["а", "##б"]) in want
+
+
+def test_split_is_exact_with_repeated_keys(spark):
+    for n, keys in ((42, 6), (50, 1), (40, 40), (0, 1), (1, 1)):
+        df = spark.createDataFrame([(i % keys if i % 7 else None, i) for i in range(n)], "k long, i long").repartition(3)
+        got = labels.train_val_split(df, "k").collect()
+        assert len(got) == n and sum(r["split"] == "train" for r in got) == int(n * 0.8)
+        assert {r["split"] for r in got} <= {"train", "val"}
+
+
+def test_numbers_run_through_all_ranges(spark):
+    from glossaflow.operators.order import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("t")).repartition(7)
+    got = numbered(df, [F.desc("k")], "no", 0).collect()
+    assert sorted((r["no"], r["k"]) for r in got) == [(i, 999 - i) for i in range(1000)]
+    assert sorted(r["rank"] for r in numbered(df).collect()) == list(range(1, 1001))
+    assert numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_a_long_sentence_takes_seconds(spark):
+    text = "слово, " * 20_000
+    sents = spark.createDataFrame([(1, 1, text)], "doc long, sent_no int, sentence string")
+    began = time.time()
+    units = annotate.units(sents).drop("sentence")
+    last = units.agg(F.count("*").alias("n"), F.max("end_c").alias("c"), F.max("end_b").alias("b")).first()
+    assert (last["n"], last["c"], last["b"]) == (40_000, 7 * 20_000 - 1, 12 * 20_000 - 1)
+    ents = annotate.entities(taggers.RuleTagger()(units.filter("not is_mark")), ["doc"])
+    assert annotate.markup(ents, ["doc"], sents).filter("kind = 'gap'").count() == 20_000
+    pred = units.select("doc", "start_c", "unit")
+    gold = spark.range(20_000).select(F.lit(1).cast("long").alias("doc"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 5).alias("end"), F.lit("B-SUBJECT").alias("label"))
+    aligned = metrics.align_gold(pred, gold, ["doc"])
+    assert aligned.groupBy("true_label").count().orderBy("true_label").collect() == [("B-SUBJECT", 20_000), ("O", 20_000)]
+    assert time.time() - began < 150
+
+
+def test_gold_tags_twice_for_a_unit(spark):
+    units = annotate.units(spark.createDataFrame([(1, 1, "Кот спит")], "doc long, sent_no int, sentence string"))
+    gold = spark.createDataFrame([(1, 1, 0, "B-SUBJECT"), (1, 1, 0, "B-ADDITION"), (1, 1, 0, "B-SUBJECT")], "doc long, sent_no int, unit_no int, label string")
+    got = taggers.GoldTagger(gold, ["doc", "sent_no"])(units).orderBy("unit_no").collect()
+    assert [r["label"] for r in got] == ["B-ADDITION", "O"]
+
+
+def test_analysis_from_texts_to_results(spark):
+    vocab = spark.createDataFrame([("при", 4), ("##вет", 5), (",", 6), ("мир", 7), ("как", 8), ("дела", 9), ("?", 10), ("!", 11)], "token string, id long")
+    docs = spark.createDataFrame([(1, "Привет, мир! Как дела? Неизвестно."), (2, None), (3, " ")], "doc_id long, text string")
+
+    def tagger(encoded):
+        # O for the mark, B-SUBJECT and I-SUBJECT, an unknown id for anything else
+        ids = F.create_map(*[F.lit(x) for pair in (("при", 3), ("##вет", 0), (",", 0), ("мир", 4), ("как", 5), ("дела", 6), ("?", 0)) for x in pair])
+        return encoded.withColumn("label_ids", F.transform("tokens", lambda t: F.coalesce(F.get(F.map_values(F.map_filter(ids, lambda k, v: k == t)), F.lit(0)), F.lit(99))))
+
+    out = analysis.analyze(docs, ["doc_id"], vocab, tagger)
+    assert out.drop("doc_id").schema.simpleString() == spark.createDataFrame([], schema.SENTENCE_RESULT).drop("doc_id").schema.simpleString()
+    rows = out.orderBy("sent_no").collect()
+    assert [(r["doc_id"], r["sent_no"], r["text"], r["err"]) for r in rows] == [(1, 1, "Привет, мир!", 0), (1, 2, "Как дела?", 0), (1, 3, "Неизвестно.", 1)]
+    assert [tuple(e) for e in rows[0]["entities"]] == [("Привет мир", "B-SUBJECT", "подлежащее", 0, 20)]
+    assert [tuple(e) for e in rows[1]["entities"]] == [("Как дела", "B-PREDICATE", "сказуемое", 0, 15)]
+    assert rows[0]["tokens"][:8] == ["[CLS]", "при", "##вет", ",", "мир", "!", "[SEP]", "[PAD]"] and len(rows[0]["token_labels"]) == 128
+    assert (rows[2]["entities"], rows[2]["tokens"]) == ([], [])
+    assert [r["text"] for r in analysis.phrases(out, ["doc_id"]).orderBy("sent_no").collect()] == ["Привет мир", "Как дела"]
+    with pytest.raises(Exception, match="not encoded"):
+        analysis.strict(out).collect()
+    assert analysis.strict(out.filter("sent_no < 3")).count() == 2
+    assert analysis.analyze(docs.limit(0), ["doc_id"], vocab, tagger).count() == 0
