@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All stages but the last return the
-columns of their docs.
+columns of their docs, extra ones with clashing names included. Every stage takes
+nulls in any column, empty and very long texts, repeated rows and empty tables; what
+becomes of them is said below.
 """
 
 from __future__ import annotations
@@ -15,30 +17,38 @@ from glossaflow.llm.common import read_table, stored
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that their predicted language's filter hardly contains."""
+    """Rejects null and empty texts, those without a letter, and texts that their predicted language's filter hardly contains.
+
+    Repeated rows fare alike.
+    """
     filters = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))).select("text", "lang"))
     return langid.keep_known(docs, filters)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each near-duplicate group."""
+    """Keeps the document of least doc_id (null last) of each near-duplicate group; wholly equal rows once. Texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which benchmark passages make up a twentieth or more."""
+    """Drops documents of which benchmark passages make up a twentieth or more. Texts without words stay; repeated rows fare alike."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts [EMAIL], [IP], [CARD] and [PHONE] in the place of personal data; n_chars follows the new text."""
+    """Puts [EMAIL], [IP], [CARD] and [PHONE] in the place of personal data; n_chars, if there, follows the new text. Null texts stay null."""
     done = pii.redact(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds how many words of each document the mix takes; documents that it doesn't take stay with taken 0."""
-    return mixing.mix(docs)
+    """The mix: rows that it leaves out go, the others stand once an epoch that takes them.
+
+    Adds size, source_size, target, taken (words that this copy gives) and epoch. Rows
+    without words go; a null source is a source of its own; rows with equal doc_id are
+    taken alike.
+    """
+    return mixing.apply(docs)
 
 
 STAGES = [
