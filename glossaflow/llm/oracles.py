@@ -66,5 +66,60 @@ FROM dw LEFT JOIN words ON words.doc_id = dw.doc_id LEFT JOIN items ON items.doc
 """
 
 
+
+
+def crc32(steps: str) -> str:
+    """CRC-32 of a list of byte values, bit by bit."""
+    each = f"flatten(list_transform({steps}, lambda b: [CAST(b + 1000 AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = f"list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {each}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x - 1000) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return f"xor({fold}, 4294967295)"
+
+
+_ID = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: ascii(substring(CAST(doc_id AS VARCHAR), i, 1)))"
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN CAST(substring({_DIGITS}, i, 1) AS INT) ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][1 + CAST(substring({_DIGITS}, i, 1) AS INT)] END)) % 10 = 0"
+
+PII = rf"""
+SELECT doc_id,
+  CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: TRY_CAST(p AS HUGEINT) <= 255)) = 4)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN})) AS BIGINT) AS n_card,
+  CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length({_DIGITS}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+LINES = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(x))) AS no, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT doc_id, no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM l WHERE regexp_matches(line, '[\p{L}\p{N}]')),
+r AS (SELECT doc_id, len(w) AS k, row_number() OVER (PARTITION BY lower(array_to_string(w, ' ')) ORDER BY doc_id, no) AS r FROM w)
+SELECT doc_id, CAST(sum(k) AS BIGINT) AS n_words FROM r WHERE r > 1 GROUP BY doc_id
+"""
+
+WORDS = rf"""
+WITH d AS (
+  SELECT doc_id, {crc32(_ID)} % 5 = 1 AS held_out,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), tok AS (
+  SELECT doc_id, held_out, unnest(list_append(w, NULL)) AS t FROM d
+), c AS (
+  SELECT t, count(*) AS c FROM tok WHERE NOT held_out GROUP BY t
+), f AS (
+  SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c
+), s AS (
+  SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.5) / (f.n + 0.5 * (f.v + 1)))) AS b
+  FROM tok LEFT JOIN c ON c.t IS NOT DISTINCT FROM tok.t, f GROUP BY doc_id, held_out
+)
+SELECT doc_id, held_out, n_tokens, n_known, n AS train_tokens, round(b, 4) AS base_score FROM s, f
+"""
+
+PAYLOADS = rf"""
+SELECT doc_id, n AS n_bytes, n + pad AS payload_bytes, sha256(t || repeat(' ', pad)) AS payload_sha256,
+       {crc32("list_transform(range(0, 16), lambda i: CAST('0x' || substring(tail, 2 * i + 1, 2) AS INT))")} AS tail_crc32
+FROM (SELECT *, right(right(hex(encode(t)), 32) || repeat('20', pad), 32) AS tail
+      FROM (SELECT *, CASE WHEN n = 0 THEN 192 ELSE CAST((192 - n % 192) % 192 AS BIGINT) END AS pad FROM (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents)))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op9_decontaminate": OP9}
+    return {"op2_mixing": OP2, "op9_decontaminate": OP9, "pii_counts": PII, "dedup_lines": LINES, "word_model": WORDS, "media_payloads": PAYLOADS}

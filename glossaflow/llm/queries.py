@@ -88,5 +88,27 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- parts of the results above that SQL can express, over the same whole tables
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in pii.KINDS])
+
+
+def dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that each document loses as whole lines that stand earlier."""
+    parts = linededup.passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"), least_run=None)
+    return parts.groupBy("doc_id").agg(F.sum("words").cast("long").alias("n_words"))
+
+
+def word_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_ppm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_langid, op2_mixing, op3_pii, op4_linededup, op5_html, op6_ppm, op7_quality, op8_simhash, op9_decontaminate, op10_media)}
+    contract = (op1_langid, op2_mixing, op3_pii, op4_linededup, op5_html, op6_ppm, op7_quality, op8_simhash, op9_decontaminate, op10_media)
+    return {f.__name__: f for f in (*contract, pii_counts, dedup_lines, word_model, media_payloads)}
