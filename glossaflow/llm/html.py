@@ -398,6 +398,8 @@ def generated(r: random.Random) -> tuple[str, list[str]]:
             if kind < 0.72:
                 short = r.random() < 0.25
                 text = prose(1, 4) if short else prose(8, 90)
+                if r.random() < 0.04:  # one word over and over
+                    text = word() + f" {word()[: r.randrange(1, 4)]}" * r.randrange(20, 400) + r.choice([".", ""])
                 bold = "<b>" if sloppy and r.random() < 0.3 else ""
                 made.append(f"<p>{bold}{good(text)}" + ("<br>" if sloppy and r.random() < 0.3 else "</p>"))
             elif kind < 0.80:
