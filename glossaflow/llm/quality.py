@@ -4,7 +4,8 @@ Overlapping heuristic labellers vote 0, 1 or not at all on each text. The counts
 vote patterns in the corpus (a few thousand at most, whatever its size) go to an
 expectation-maximisation that estimates every labeller's votes in either class; its
 posteriors label a bounded sample of texts, on which a linear scorer over hashed
-words and votes is trained. The scorer then judges every whole text.
+words and votes is trained, from the votes' log odds on. The scorer alone then judges
+every whole text.
 
 Words of abuse differ by language and corpus. Beside a short fixed list, labellers
 use lexicons that are learned from a bounded sample of labelled rows: words (two
@@ -137,6 +138,10 @@ class Votes:
         odds = np.log(self.prior / (1 - self.prior)) + (np.log(self.table[at, 1, v]) - np.log(self.table[at, 0, v])).sum(1)
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
+    def odds(self) -> tuple[np.ndarray, float]:
+        """Log odds of each labeller's votes (labeller by labeller, no vote first), and of the prior: the votes' part of a linear scorer."""
+        return (np.log(self.table[:, 1]) - np.log(self.table[:, 0])).ravel(), float(np.log(self.prior / (1 - self.prior)))
+
     def accuracies(self) -> np.ndarray:
         """Of each labeller, the probability that a vote it casts is right."""
         right = self.prior * self.table[:, 1, 2] + (1 - self.prior) * self.table[:, 0, 1]
@@ -144,10 +149,15 @@ class Votes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", rows: int = 20_000) -> DataFrame:
-    """docs with their labels, for about rows of the labels, chosen by id hash: the bound, so the labels may be broadcast."""
-    n = labels.count()
-    some = labels.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < min(1.0, rows / max(n, 1)) * (1 << 20))
-    return docs.join(F.broadcast(some), doc_id)
+    """docs with their labels, for about rows of the labelled ids, chosen by id hash: the bound on the sample.
+
+    Of an id that is labelled more than once the largest labels count, so a repeated id
+    stands once. The labels are broadcast only while they keep to twice the bound.
+    """
+    others = [c for c in labels.columns if c != doc_id]
+    one = labels.groupBy(doc_id).agg(*[F.max(F.col(f"`{c}`")).alias(c) for c in others])
+    some = one.filter(F.pmod(F.xxhash64(doc_id), F.lit(1 << 20)) < min(1.0, rows / max(one.count(), 1)) * (1 << 20))
+    return docs.join(F.broadcast(some) if some.count() <= 2 * rows else some, doc_id)
 
 
 def features(good: list[int], toxic: list[int], words: Counter) -> tuple[np.ndarray, np.ndarray]:
@@ -168,12 +178,14 @@ class Linear:
         self.weights, self.bias = weights, bias
 
     @classmethod
-    def fit(cls, places: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray, rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> Linear:
+    def fit(cls, places: list[np.ndarray], values: list[np.ndarray], targets: np.ndarray, start: tuple[np.ndarray, np.ndarray], rounds: int = 80, rate: float = 0.1, decay: float = 1e-4) -> Linear:
+        """start: weights of the first places, and bias, of each target to begin from."""
         n, k = targets.shape
         sizes = np.array([len(p) for p in places])
         flat, val = np.concatenate(places), np.concatenate(values).astype(float)
         begin, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(n), sizes)
-        w, b = np.zeros((k, HASHED)), np.zeros(k)
+        w, b = np.zeros((k, HASHED)), start[1].astype(float)
+        w[:, : start[0].shape[1]] = start[0]
         for j in range(k):
             m, s = np.zeros(HASHED), np.zeros(HASHED)
             for i in range(1, rounds + 1):
@@ -181,7 +193,7 @@ class Linear:
                 err = (p - targets[:, j]) / n
                 g = np.bincount(flat, val * err[owner], HASHED) + decay * w[j] / n
                 m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-                w[j] -= rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-9)
+                w[j] -= rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-5)
                 b[j] -= rate * 10 * err.sum()
         return cls(w.astype(np.float32), b)
 
@@ -189,7 +201,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.weights[:, places] @ values + self.bias, -30, 30)))
 
 
-def learn_lexicons(labelled: DataFrame, text: str = "text", toxic: str = "toxic", chance: float = 1e-5, purity: float = 0.9) -> Lexicons:
+def learn_lexicons(labelled: DataFrame, text: str = "text", toxic: str = "toxic", chance: float = 1e-3, purity: float = 0.9) -> Lexicons:
     """Words, and beginnings of words, of toxic texts. labelled is a bounded sample; equal texts count once.
 
     An entry's share of toxic texts is purity or more, and as many toxic texts among
@@ -266,7 +278,8 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text",
     split = 3**TOXIC_VOTES
     quality, toxic = Votes.fit(both // split, n, QUALITY_VOTES), Votes.fit(both % split, n, TOXIC_VOTES, any_positive=True)
     share = min(1.0, fit_docs / max(n.sum(), 1))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    # copies of a text count once, however many there are
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("text")
 
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
@@ -290,15 +303,16 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text",
         return Model(lexicons, quality, toxic, Linear(np.zeros((2, HASHED), np.float32), np.zeros(2)))
     v = v[order]
     targets = np.stack([quality.posterior(v // split), toxic.posterior(v % split)], 1)
-    return Model(lexicons, quality, toxic, Linear.fit([first[0][i] for i in order], [first[1][i] for i in order], targets))
+    (good, good_bias), (bad, bad_bias) = quality.odds(), toxic.odds()
+    start = np.stack([np.r_[good, np.zeros(len(bad))], np.r_[np.zeros(len(good)), bad]]), np.array([good_bias, bad_bias])
+    return Model(lexicons, quality, toxic, Linear.fit([first[0][i] for i in order], [first[1][i] for i in order], targets, start))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with quality, toxic (scores 0 to 1) and keep (quality of a half or more, toxic below).
 
-    toxic is the larger of the linear score and the posterior of the votes.
-
-    Null and blank texts have quality 0 and toxic 0. Names get underscores before them
+    Both scores come from the linear scorer. Null and blank texts have quality 0 and
+    toxic 0; no text is too long. Names get underscores before them
     if docs has them. Repeated rows get equal scores, an empty table gives an empty one.
     """
     small_batches(docs.sparkSession)
@@ -316,8 +330,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 made.append((0.0, 0.0))
             else:
                 q, x = model.linear.score(*features(good, bad, words))
-                # a few words of abuse in a long text move the linear score little
-                made.append((float(q), max(float(x), float(model.toxic.posterior(np.array([code(bad)]))[0]))))
+                made.append((float(q), float(x)))
         return pd.DataFrame(made, columns=["quality", "toxic"])
 
     df = spread(docs).withColumn(state, score(F.col(f"`{text}`")))
