@@ -139,7 +139,9 @@ def contamination(
     contaminated: n_hit > 0 and share * n_hit >= n_words. Null and empty texts have
     no words and are clean; items without words have no windows; repeated items are
     listed once for each row of the benchmark with another id. Names get
-    underscores before them if docs has them. An empty benchmark contaminates nothing.
+    underscores before them if docs has them. An empty benchmark contaminates nothing,
+    repeated rows fare alike, an empty table gives an empty one. Whole texts are read,
+    however long, in memory in proportion to a text's words.
     """
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -167,7 +169,10 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """docs without the contaminated ones; all columns are kept."""
+    """docs without the contaminated ones; all columns are kept, whatever their names.
+
+    Null and empty texts stay, repeated rows fare alike, an empty table gives an empty one.
+    """
     flag = free_name(docs, "contaminated")
     found = contamination(docs, benchmark, **kw)
     return found.filter(~F.col(flag)).select(*[F.col(f"`{c}`") for c in docs.columns])

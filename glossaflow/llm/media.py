@@ -236,7 +236,9 @@ def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     doc_id, n_bytes, payload, media, feature, error. Null texts count as empty and
     are padded to one line; ids may be null or repeated. An empty table gives an
-    empty one. Only doc_id and text are stored.
+    empty one. Only doc_id and text are stored, so extra columns can't clash. Equal texts
+    give equal media, whatever their length; a text of any length is one member, held
+    whole by the task that writes or reads it.
     """
     spark = docs.sparkSession
     path = path or fresh_path(spark, "media")
