@@ -121,5 +121,54 @@ FROM (SELECT *, right(right(hex(encode(t)), 32) || repeat('20', pad), 32) AS tai
 """
 
 
+KEEP = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3
+), m AS (
+  SELECT k.r, k.doc_id, k.line, k.i, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.keeper AS gone FROM k LEFT JOIN f ON f.key = k.key
+)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+def _clusters(k: int = 8, rounds: int = 10) -> str:
+    """Lloyd's rounds, one after another, over rows (vector, component); the nearest centroid is the least of distance * k + number."""
+    parts = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings WHERE len(embedding) = 64"
+        " AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT r, generate_subscripts(embedding, 1) AS i, CAST(floor(1024 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM kept)",
+        f"first AS MATERIALIZED (SELECT r, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept ORDER BY c LIMIT {k})",
+        "c0 AS MATERIALIZED (SELECT c, i, v FROM first JOIN x USING (r))",
+    ]
+    for n in range(rounds + 1):
+        near = f"SELECT r, min(d * {k} + c) AS m FROM (SELECT r, c, sum((x.v - c{n}.v) * (x.v - c{n}.v)) AS d FROM x JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r"
+        parts.append(f"n{n} AS MATERIALIZED (SELECT r, CAST(m % {k} AS BIGINT) AS c, CAST(m // {k} AS BIGINT) AS d FROM ({near}))")
+        if n < rounds:
+            moved = f"SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS v FROM (SELECT c, i, sum(v) AS s, count(*) AS n FROM n{n} JOIN x USING (r) GROUP BY c, i)"
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN ({moved}) m USING (c, i))")
+    parts.append(f"g AS (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, CAST(c AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM n{rounds} JOIN kept USING (r) JOIN g USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op9_decontaminate": OP9, "pii_counts": PII, "dedup_lines": LINES, "word_model": WORDS, "media_payloads": PAYLOADS}
+    return {
+        "op2_mixing": OP2,
+        "op9_decontaminate": OP9,
+        "op11_centroids": _clusters(),
+        "op12_linekeep": KEEP,
+        "pii_counts": PII,
+        "dedup_lines": LINES,
+        "word_model": WORDS,
+        "media_payloads": PAYLOADS,
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, linededup, media, mixing, pii, ppm, quality, simhash
+from . import centroids, decontaminate, html, langid, linededup, linekeep, media, mixing, pii, ppm, quality, simhash, tokenalign
 from .common import read_table
 
 
@@ -88,6 +88,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_linekeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linekeep.apply(docs, linekeep.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenalign.align(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- parts of the results above that SQL can express, over the same whole tables
 
 
@@ -110,5 +124,5 @@ def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    contract = (op1_langid, op2_mixing, op3_pii, op4_linededup, op5_html, op6_ppm, op7_quality, op8_simhash, op9_decontaminate, op10_media)
+    contract = (op1_langid, op2_mixing, op3_pii, op4_linededup, op5_html, op6_ppm, op7_quality, op8_simhash, op9_decontaminate, op10_media, op11_centroids, op12_linekeep, op13_tokenalign)
     return {f.__name__: f for f in (*contract, pii_counts, dedup_lines, word_model, media_payloads)}
