@@ -28,7 +28,8 @@ def _sub(c: Column, pattern: str, to: str) -> Column:
 
 def sanitize(c: Column) -> Column:
     """Drops bracketed passages, symbols, marks and invisible characters; evens out white space around punctuation."""
-    c = _sub(c, r"\[[^\]\n]*+\]", "")
+    # a bracket that nothing closes takes the rest of its line at once, and gives it back
+    c = _sub(c, r"\[[^\]\n]*+\]|(\[[^\]\n]*+)", "$1")
     c = F.translate(c, "\u00a0", " ")
     c = _sub(c, r"[^\p{L}\p{N}\x09-\x0D \p{P}]", "")
     c = _sub(c, SPACE + "+", " ")
@@ -48,14 +49,22 @@ def preprocess(c: Column) -> Column:
     return F.trim(_sub(c, r" +([.,!?;:])", "$1"))
 
 
+#: All up to the last terminator, with the quotes that belong to it: found from the end, in one pass.
+_TERMINATED = r'(?s)^.*(?:[.!?][»"]*|…)'
+
+
 def sentence_heads(c: Column) -> Column:
-    """Terminated sentences of a sanitized text."""
-    return F.regexp_extract_all(c, F.lit(rf'([^.!?…]*+(?:[.!?][.]*[»"]*|…)){SPACE}*'), F.lit(1))
+    """Terminated sentences of a sanitized text.
+
+    The text behind the last terminator is cut off first: there the pattern would be tried
+    in vain from each character to the end.
+    """
+    return F.regexp_extract_all(F.regexp_extract(c, _TERMINATED, 0), F.lit(rf'([^.!?…]*+(?:[.!?][.]*[»"]*|…)){SPACE}*'), F.lit(1))
 
 
 def sentence_tail(c: Column) -> Column:
     """What follows the last terminator."""
-    return _sub(c, rf'(?s)^.*(?:[.!?][»"]*|…){SPACE}*', "")
+    return _sub(c, rf"{_TERMINATED}{SPACE}*", "")
 
 
 def join_sentences(heads: Column, tail: Column) -> Column:
@@ -144,6 +153,12 @@ def symbol_bytes(c: Column) -> Column:
     return F.octet_length(c)
 
 
+def lead_bytes(c: Column, i: Column) -> Column:
+    """Bytes of the symbol that begins at byte i of a binary; 0 if none can begin there."""
+    b = F.conv(F.hex(F.substring(c, i + 1, F.lit(1))), 16, 10).cast("int")
+    return F.when(b < 0x80, 1).when(b.between(0xC0, 0xDF), 2).when(b.between(0xE0, 0xEF), 3).when(b.between(0xF0, 0xF7), 4).otherwise(0)
+
+
 def count_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"[^\x09-\x0D ]+")).cast("long")
 

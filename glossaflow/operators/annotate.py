@@ -1,15 +1,16 @@
 """From texts to entities: sentences, units, labels, phrases.
 
 All steps take and give DataFrames; ``keys`` names the columns that identify a text.
-Sentences and units are made inside the row, so the only shuffle up to the entities
-is one by (keys, sent_no), which the window and the aggregation share.
+Sentences and units are made inside the row, and so are phrases where the labels come
+from a Column (:func:`phrases`): then nothing is shuffled. Labels that come as rows, from
+a join or a model, need one shuffle by (keys, sent_no) (:func:`entities`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -18,20 +19,22 @@ from ..functions.arrays import blocks, cut, let, running
 from ..session import spread
 
 
-def sentences(df: DataFrame, keys: Sequence[str], text: str = "text", clean: bool = True) -> DataFrame:
-    """(keys, sent_no from 1, sentence)."""
+def sentence_lists(df: DataFrame, keys: Sequence[str], text: str = "text", clean: bool = True) -> DataFrame:
+    """(keys, sentences): a row for each text, its sentences in an array."""
     c = F.coalesce(F.col(text), F.lit(""))
     df = spread(df.select(*keys, text)).select(*keys, (T.sanitize(c) if clean else c).alias("_clean"))
     df = df.select(*keys, T.sentence_heads(F.col("_clean")).alias("_heads"), T.sentence_tail(F.col("_clean")).alias("_tail"))
-    return df.select(*keys, F.posexplode(T.join_sentences(F.col("_heads"), F.col("_tail"))).alias("_at", "sentence")).select(*keys, (F.col("_at") + 1).alias("sent_no"), "sentence")
+    return df.select(*keys, T.join_sentences(F.col("_heads"), F.col("_tail")).alias("sentences"))
 
 
-def units(df: DataFrame, sentence: str = "sentence") -> DataFrame:
-    """df with a row for each unit: unit_no from 0, unit, is_mark and its place in code points and bytes, ends exclusive.
+def sentences(df: DataFrame, keys: Sequence[str], text: str = "text", clean: bool = True) -> DataFrame:
+    """(keys, sent_no from 1, sentence)."""
+    listed = sentence_lists(df, keys, text, clean)
+    return listed.select(*keys, F.posexplode("sentences").alias("_at", "sentence")).select(*keys, (F.col("_at") + 1).alias("sent_no"), "sentence")
 
-    Drop the sentence from the result where it isn't needed: else each unit carries it.
-    """
-    s = F.col(sentence)
+
+def unit_list(s: Column) -> Column:
+    """The units of a sentence in order, as (unit, start_c, end_c, start_b, end_b): places in code points and bytes, ends exclusive."""
 
     def placed(x):
         def starts(size):
@@ -44,11 +47,58 @@ def units(df: DataFrame, sentence: str = "sentence") -> DataFrame:
         c, b = z["c"] + F.length(z["g"]), z["b"] + F.octet_length(z["g"])
         return F.struct(z["u"].alias("unit"), c.alias("start_c"), (c + F.length(z["u"])).alias("end_c"), b.alias("start_b"), (b + F.octet_length(z["u"])).alias("end_b"))
 
-    made = let(F.struct(T.unit_gaps(s).alias("g"), T.units(s).alias("u")), placed)
-    placed_units = df.select(*df.columns, F.posexplode(made).alias("unit_no", "_u"))
+    return let(F.struct(T.unit_gaps(s).alias("g"), T.units(s).alias("u")), placed)
+
+
+def units(df: DataFrame, sentence: str = "sentence") -> DataFrame:
+    """df with a row for each unit: unit_no from 0, unit, is_mark and its place in code points and bytes, ends exclusive.
+
+    Drop the sentence from the result where it isn't needed: else each unit carries it.
+    """
+    placed_units = df.select(*df.columns, F.posexplode(unit_list(F.col(sentence))).alias("unit_no", "_u"))
     return placed_units.select(*df.columns, "unit_no", "_u.*").withColumn("is_mark", T.is_mark(F.col("unit")))
 
 
+def phrase_list(words: Column, chars: bool = False) -> Column:
+    """The phrases of a sentence's labelled words, inside the row; words and result are arrays.
+
+    The rule is that of :func:`entities`. A word that doesn't go on with the one before it
+    begins a phrase; the places of those words cut the array, once each, into phrases.
+    """
+    unit = "c" if chars else "b"
+
+    def begins(w: Column) -> Column:
+        def first(x: Column, i: Column) -> Column:
+            before = F.get(w, i - 1)
+            goes_on = x["label"].startswith("I-") & (x["base"] == before["base"]) & (x[f"start_{unit}"] - before[f"end_{unit}"]).between(0, 2)
+            return F.when(~F.coalesce(goes_on, F.lit(False)), i)
+
+        return F.filter(F.transform(w, first), lambda i: i.isNotNull())
+
+    def phrase(w: Column) -> Column:
+        head, last = F.get(w, F.lit(0)), F.element_at(w, -1)
+        places = [v.alias(k) for k, v in (("start_b", head["start_b"]), ("end_b", last["end_b"]), ("start_c", head["start_c"]), ("end_c", last["end_c"]))]
+        return F.struct(F.array_join(F.transform(w, lambda x: x["unit"]), " ").alias("text"), head["label"].alias("type"), head["base"].alias("base"), *places)
+
+    def cut_up(w: Column, at: Column) -> Column:
+        return F.transform(at, lambda a, k: let(F.slice(w, a + 1, F.coalesce(F.get(at, k + 1), F.size(w)) - a), phrase))
+
+    made = let(words, lambda w: let(begins(w), lambda at: cut_up(w, at)))
+    return F.filter(made, lambda p: p["base"] != "O") if chars else made
+
+
+def phrases(sents: DataFrame, tagger: Callable[[Column], Column], keep: Callable[[Column], Column], chars: bool = False) -> DataFrame:
+    """The phrases of sentences without any shuffle: all but the sentence of sents, ent_no from 1 and the columns of :func:`entities`.
+
+    tagger makes an array of units with label and base of an array of units, and keep
+    tells of a unit whether it counts as a word; it is asked after the labelling.
+    """
+    rest = [c for c in sents.columns if c != "sentence"]
+    words = F.filter(tagger(unit_list(F.col("sentence"))), lambda x: keep(x["unit"]))
+    out = sents.select(*rest, F.posexplode(phrase_list(words, chars)).alias("_at", "_p"))
+    return out.select(*rest, (F.col("_at") + 1).cast("long").alias("ent_no"), "_p.*").withColumn("type_ru", T.type_name(F.col("type")))
+
+
 def entities(words: DataFrame, keys: Sequence[str], chars: bool = False) -> DataFrame:
     """Phrases of labelled words: (keys, sent_no, ent_no from 1, text, type, base, start_b, end_b, start_c, end_c, sentence).
 

@@ -66,23 +66,30 @@ def unit_hash(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
-def train_val_split(df: DataFrame, key: str, val: float = 0.2, seed: int = 42) -> DataFrame:
+def train_val_split(df: DataFrame, key: str, val: float = 0.2, seed: int = 42, few: int = 4096) -> DataFrame:
     """df with split: exactly int(n * (1 - val)) rows are train, in the order of a seeded hash; a null key counts as empty text.
 
     The cut is found by counting hash ranges, as a global order would put all rows in
-    one task: 4096 ranges first, then the hashes of the one range that holds the cut. Of
-    rows whose equal keys meet the cut, as many as are wanted are train.
+    one task: 4096 ranges, then 4096 parts of the one that holds the cut, until its
+    hashes are few. Of rows whose equal keys meet the cut, as many as are wanted are train.
     """
     h = df.withColumn("_h", unit_hash(F.col(key), seed))
     n = df.count()
     want = int(n * (1 - val))
-    ranges = h.groupBy(F.substring("_h", 1, 3).alias("p")).agg(F.count("*").alias("c"))
-    at = _passing(ranges, "p", want)
-    if at is None:
+    cut, more = "", want
+    if want >= n:
         return h.withColumn("split", F.lit("train")).drop("_h")
-    inside = h.filter(F.substring("_h", 1, 3) == at["p"]).groupBy("_h").agg(F.count("*").alias("c"))
-    edge = _passing(inside, "_h", want - (at["run"] - at["c"]))
-    cut, more = edge["_h"], want - (at["run"] - at["c"]) - (edge["run"] - edge["c"])
+    inside = h
+    for digits in (3, 6, 9, 12, 32):
+        at = _passing(inside.groupBy(F.substring("_h", 1, digits).alias("p")).agg(F.count("*").alias("c")), "p", more)
+        cut, more = at["p"], more - (at["run"] - at["c"])
+        if digits == 32:
+            break
+        inside = h.filter(F.col("_h").startswith(cut))
+        if at["c"] <= few:
+            at = _passing(inside.groupBy(F.col("_h").alias("p")).agg(F.count("*").alias("c")), "p", more)
+            cut, more = at["p"], more - (at["run"] - at["c"])
+            break
     named = h.withColumn("split", F.when(F.col("_h") < cut, "train").otherwise("val"))
     if more:
         tied = numbered(h.filter(F.col("_h") == cut), name="_no")

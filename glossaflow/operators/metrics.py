@@ -6,7 +6,6 @@ Everything after the confusion counts works on 36 rows at most.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import text as T
 from ..functions.arrays import let, running
+from ..session import put_text
 
 
 def base_class(label: Column) -> Column:
@@ -146,6 +146,5 @@ def report(classes: DataFrame, n_tokens: int, path: str | None = None) -> str:
     lines = [f"Tokens: {n_tokens}", f"{'class':<12}{'precision':>10}{'recall':>10}{'f1':>10}{'support':>10}"]
     text = "\n".join(lines + [f"{r['class']:<12}{r['precision']:>10.4f}{r['recall']:>10.4f}{r['f1']:>10.4f}{r['support']:>10}" for r in rows])
     if path:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(text + "\n", encoding="utf-8")
+        put_text(classes.sparkSession, path, text + "\n", overwrite=True)
     return text

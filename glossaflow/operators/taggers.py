@@ -36,6 +36,15 @@ class RuleTagger:
     def __call__(self, units: DataFrame) -> DataFrame:
         return named(units.withColumn("label_id", rule(self.shift)))
 
+    def in_row(self, units: Column) -> Column:
+        """The same over the array of a sentence's units: each with label and base."""
+
+        def one(x: Column, i: Column) -> Column:
+            at = ((F.length(x["unit"]) * 7 + i * 3 + self.shift) % len(schema.LABELS)).cast("int")
+            return x.withField("label", schema.label_name(at)).withField("base", schema.label_base(at))
+
+        return F.transform(units, one)
+
 
 class GoldTagger:
     """Labels from a table of (keys, unit_no, label); units without one are O, and of several the first by name counts."""
@@ -73,11 +82,16 @@ class OnnxTagger:
     def __init__(self, model: bytes, batch: int = 8):
         self.model, self.batch = model, batch
 
+    def source(self, spark):
+        """What a worker calls for the weights, as bytes or as a path."""
+        shared = spark.sparkContext.broadcast(self.model)
+        return lambda: shared.value
+
     def __call__(self, encoded: DataFrame) -> DataFrame:
         from ..session import ship
 
         ship(encoded.sparkSession)
-        shared, size = encoded.sparkSession.sparkContext.broadcast(self.model), self.batch
+        weights, size = self.source(encoded.sparkSession), self.batch
 
         def run(batches: Iterator) -> Iterator:
             import numpy as np
@@ -88,7 +102,7 @@ class OnnxTagger:
             options.intra_op_num_threads = 1
             error, session, names = None, None, []
             try:
-                session = onnxruntime.InferenceSession(shared.value, options)
+                session = onnxruntime.InferenceSession(weights(), options)
                 names = [i.name for i in session.get_inputs()]
                 if (len(names), len(session.get_outputs())) != (2, 1):
                     error = f"{len(names)} inputs and {len(session.get_outputs())} outputs"

@@ -12,6 +12,7 @@ from .. import schema
 from ..functions import text as T
 from ..functions.arrays import running
 from ..session import ship, stored
+from . import trie
 from .order import numbered
 
 #: A vocabulary above this is not broadcast to every worker, but joined.
@@ -60,20 +61,25 @@ def _split(words: pd.Series, ids_of) -> pd.DataFrame:
 def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFrame:
     """words with pieces and ids (arrays). Call it with distinct words: texts repeat them a lot.
 
-    Of tokens that stand twice in vocab the last id counts. A vocabulary of more than
-    MAX_VOCABULARY tokens is joined with each word's candidate pieces.
+    Of tokens that stand twice in vocab the last id counts. Up to MAX_VOCABULARY tokens
+    are a trie in a file that the executors map; more are joined with each word's
+    candidate pieces.
     """
     spark = words.sparkSession
     ship(spark)
     ids = vocab.groupBy("token").agg(F.max("id").alias("id"))
     if vocab.count() > MAX_VOCABULARY:
         return _joined_pieces(words, ids, word)
-    shared = spark.sparkContext.broadcast({r["token"]: r["id"] for r in ids.toLocalIterator()})
+    table = ids.toArrow()
+    known = dict(zip(table.column("token").to_pylist(), table.column("id").to_pylist()))
+    name = trie.publish(spark, known.items())
+    unknown = ["[UNK]"], [known.get("[UNK]", schema.UNK)]
 
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        shared = trie.opened(name)
         for batch in batches:
-            yield _split(batch, lambda i, w: known)
+            done = [(len(w.encode("utf-8", "surrogatepass")) <= MAX_WORD_BYTES and w and shared.split(w)) or unknown for w in batch]
+            yield pd.DataFrame({"pieces": [p for p, _ in done], "ids": [i for _, i in done]})
 
     split.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return words.withColumn("_split", F.pandas_udf(split, _SPLIT)(F.col(word))).select(*words.columns, "_split.*")

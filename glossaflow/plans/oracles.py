@@ -141,6 +141,80 @@ pr AS (SELECT class, coalesce(tp / nullif(predicted, 0), 0) AS precision, coales
 prf AS (SELECT class, precision, recall, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1, CAST(support AS BIGINT) AS support, list_position({CLASSES}, class) AS place FROM pr)"""
 
 
+CONSOLE = """lines0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
+lines AS (SELECT doc_id, line_no, CASE WHEN length(text) % 13 = 5 THEN ' Quit ' ELSE text END AS text FROM lines0)"""
+
+
+def _ratio(a: str, b: str, ab: str, n: str) -> str:
+    """Twice the log likelihood ratio of ab joint cases among n, a of the one and b of the other."""
+
+    def side(k: str, rest: str, p: str) -> str:
+        return f"CASE WHEN {p} > 0 AND {p} < 1 THEN {k} * ln({p}) + {rest} * ln(1 - {p}) ELSE 0 END"
+
+    p, p1, p2 = f"({b} / {n})", f"({ab} / {a})", f"(CASE WHEN {n} > {a} THEN ({b} - {ab}) / ({n} - {a}) ELSE 0 END)"
+    rest = f"({n} - {a} - {b} + {ab})"
+    null = f"({side(ab, f'({a} - {ab})', p)}) + ({side(f'({b} - {ab})', rest, p)})"
+    free = f"(CASE WHEN {a} = {ab} THEN 0 ELSE {side(ab, f'({a} - {ab})', p1)} END) + (CASE WHEN {b} = {ab} THEN 0 ELSE {side(f'({b} - {ab})', rest, p2)} END)"
+    return f"-2 * (({null}) - ({free}))"
+
+
+#: Words around each other, and what the counts say of them.
+AROUND = rf"""WITH pieces AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS i FROM (SELECT doc_id, list_filter(string_split({pre("coalesce(text, '')")}, ' '), lambda x: x <> '') AS l FROM documents)),
+cores AS (SELECT *, regexp_replace(regexp_replace(piece, '^[(\["''«“„]+', ''), '[)\]"''»”,;:]+$', '') AS core FROM pieces),
+stems AS (SELECT *, lower(regexp_replace(core, '[.!?…]+$', '')) AS stem FROM cores),
+words AS (SELECT doc_id, i, piece, CASE WHEN regexp_matches(stem, '^[-+]?[0-9][0-9.,:/-]*$') THEN '##number##' ELSE stem END AS type,
+          CASE WHEN regexp_matches(core, '[!?]$') THEN 'hard' WHEN regexp_matches(core, '(\.\.|…)$') THEN 'ellipsis' WHEN ends_with(core, '.') THEN 'stop' ELSE 'none' END AS ending,
+          CASE WHEN regexp_matches(core, '^\p{{Lu}}') THEN 'upper' WHEN regexp_matches(core, '^\p{{Ll}}') THEN 'lower' ELSE 'none' END AS letter FROM stems),
+near AS (SELECT *, lag(type) OVER w AS before, lag(ending) OVER w AS before_ending FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+pairs AS (SELECT type, ending, letter, before, before_ending, count(*) AS n FROM near GROUP BY ALL),
+tally AS (SELECT type, CAST(sum(CASE WHEN ending = 'stop' THEN n ELSE 0 END) AS BIGINT) AS stops, CAST(sum(CASE WHEN ending <> 'stop' THEN n ELSE 0 END) AS BIGINT) AS plain FROM pairs GROUP BY type),
+share AS (SELECT least(greatest(sum(stops) / sum(stops + plain), 1e-9), 1 - 1e-9) AS p, sum(stops + plain) AS whole FROM tally),
+rated AS (SELECT type, stops, plain, CASE WHEN stops > 0 AND regexp_matches(type, '\p{{L}}') AND type <> '##number##' THEN
+          -2 * (stops * (ln(p) - ln(0.99)) + plain * (ln(1 - p) - ln(1 - 0.99::DOUBLE))) * exp(-CAST(length(replace(type, '.', '')) AS DOUBLE))
+          * (1 + length(type) - length(replace(type, '.', ''))) * pow(CAST(length(replace(type, '.', '')) AS DOUBLE), -plain) ELSE 0 END AS score FROM tally, share),
+kinds AS (SELECT *, score >= 0.3 AS abbreviation FROM rated),
+placed AS (SELECT pairs.*, CASE WHEN before IS NULL OR before_ending = 'hard' THEN 'first' WHEN before_ending = 'ellipsis' THEN 'unknown' WHEN before_ending = 'none' THEN 'inner'
+           WHEN k.abbreviation THEN 'unknown' ELSE 'first' END AS place FROM pairs LEFT JOIN kinds k ON k.type = pairs.before),
+first0 AS (SELECT type, CAST(sum(CASE WHEN place = 'first' AND before IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS at_first, CAST(sum(n) AS BIGINT) AS total FROM placed GROUP BY type),
+first1 AS (SELECT *, CAST(sum(at_first) OVER () AS DOUBLE) AS a, CAST(total AS DOUBLE) AS b, CAST(at_first AS DOUBLE) AS ab, CAST(sum(total) OVER () AS DOUBLE) AS whole FROM first0),
+first2 AS (SELECT *, {_ratio("a", "b", "ab", "whole")} AS score FROM first1 WHERE at_first > 0 AND regexp_matches(type, '^\p{{L}}')),
+openers AS (SELECT type, at_first, total, score, whole / a > b / ab AND score >= 30 AS starter FROM first2),
+near2 AS (SELECT before, type, sum(n) AS together FROM pairs WHERE before_ending = 'stop' AND regexp_matches(type, '[\p{{L}}#]') AND regexp_matches(before, '[\p{{L}}#]') GROUP BY ALL HAVING sum(n) > 1),
+near3 AS (SELECT before, near2.type, CAST(together AS BIGINT) AS together, CAST(l.stops + l.plain AS DOUBLE) AS a, CAST(r.stops + r.plain AS DOUBLE) AS b, CAST(together AS DOUBLE) AS ab, CAST(whole AS DOUBLE) AS whole
+          FROM near2 JOIN kinds l ON l.type = before JOIN kinds r ON r.type = near2.type, share WHERE l.abbreviation OR before = '##number##' OR regexp_matches(before, '^\p{{L}}$')),
+near4 AS (SELECT *, {_ratio("a", "b", "ab", "whole")} AS score FROM near3),
+together AS (SELECT before, type, together, score, whole / a > b / ab AND score >= 7.88 AS collocation FROM near4)"""
+#: Words around a stop that ends no sentence.
+STAYING = r"""cases AS (SELECT type, bool_or(letter = 'upper' AND place = 'inner') AS upper_inner, bool_or(letter = 'lower' AND place = 'first') AS lower_first,
+          bool_or(letter = 'upper') AS any_upper, bool_or(letter = 'lower') AS any_lower FROM placed GROUP BY type),
+asked AS (SELECT DISTINCT before, before_ending, type, letter FROM pairs WHERE before_ending IN ('stop', 'ellipsis')),
+facts AS (SELECT asked.*, before_ending = 'ellipsis' AS dots, coalesce(k.abbreviation, false) OR before_ending = 'ellipsis' AS short, coalesce(c.collocation, false) AS drawn, coalesce(o.starter, false) AS opens,
+          before_ending <> 'ellipsis' AND regexp_matches(before, '^\p{L}$') AS initial, before_ending <> 'ellipsis' AND before = '##number##' AS number, any_lower,
+          CASE WHEN letter = 'upper' AND any_lower AND NOT upper_inner THEN 1 WHEN letter = 'lower' AND (any_upper OR NOT lower_first) THEN 0 END AS begins
+          FROM asked LEFT JOIN kinds k ON k.type = before LEFT JOIN together c ON c.before = asked.before AND c.type = asked.type LEFT JOIN openers o ON o.type = asked.type LEFT JOIN cases ON cases.type = asked.type),
+verdict AS (SELECT *, CASE WHEN drawn AND NOT dots THEN false WHEN short AND NOT initial AND coalesce(begins, 0) = 1 THEN true WHEN short AND NOT initial AND letter = 'upper' AND opens THEN true
+            WHEN (initial OR number) AND begins = 0 THEN false WHEN initial AND begins IS NULL AND letter = 'upper' AND NOT any_lower THEN false ELSE NOT short END AS ends FROM facts),
+staying AS (SELECT before, before_ending, type, letter FROM verdict WHERE NOT ends)"""
+
+
+def _viterbi(tokens: int = 5) -> str:
+    """The best path token by token, in rows (vector, label), and back again."""
+    ok = f"(NOT starts_with({NAMES}[1 + b.j], 'I-') OR (a.j > 0 AND {BASES}[1 + a.j] = {BASES}[1 + b.j]))"
+    parts = [
+        f"e AS (SELECT vec_id, k, j, CAST(embedding[k * 11 + j + 1] AS DOUBLE) AS s FROM embeddings, (SELECT unnest(range({tokens})) AS k), (SELECT unnest(range(11)) AS j))",
+        f"v0 AS (SELECT vec_id, j, s + CASE WHEN starts_with({NAMES}[1 + j], 'I-') THEN -10000 ELSE 0 END AS s, 0 AS i FROM e WHERE k = 0)",
+    ]
+    for k in range(1, tokens):
+        way = f"SELECT b.vec_id, b.j, b.s, a.j AS i, a.s + CASE WHEN {ok} THEN 0 ELSE -10000 END AS w FROM v{k - 1} a JOIN e b ON b.vec_id = a.vec_id AND b.k = {k}"
+        parts.append(f"v{k} AS (SELECT vec_id, j, max(w) + any_value(s) AS s, min(i) FILTER (w = top) AS i FROM (SELECT *, max(w) OVER (PARTITION BY vec_id, j) AS top FROM ({way})) GROUP BY vec_id, j)")
+    last = tokens - 1
+    parts.append(f"p{last} AS (SELECT vec_id, min(j) AS j, CAST(min(j) AS VARCHAR) AS path FROM (SELECT *, max(s) OVER (PARTITION BY vec_id) AS top FROM v{last}) WHERE s = top GROUP BY vec_id)")
+    for k in range(last, 0, -1):
+        parts.append(f"p{k - 1} AS (SELECT vec_id, v{k}.i AS j, v{k}.i || ' ' || path AS path FROM p{k} JOIN v{k} USING (vec_id, j))")
+    parts.append("f AS (SELECT vec_id, string_agg(CAST(j AS VARCHAR), ' ' ORDER BY k) AS free FROM (SELECT vec_id, k, min(j) AS j FROM (SELECT *, max(s) OVER (PARTITION BY vec_id, k) AS top FROM e) WHERE s = top GROUP BY vec_id, k) GROUP BY vec_id)")
+    return f"WITH {', '.join(parts)} SELECT vec_id, path, free FROM p0 JOIN f USING (vec_id)"
+
+
 def _prefix(order: str, members: str = "true") -> str:
     exact = f"(lower(text) = '{NEEDLE}') DESC"
     by = {"aa": f"{exact}, text", "ad": f"{exact}, text DESC", "fd": f"amount DESC, {exact}, text", "fa": f"amount, {exact}, text"}[order]
@@ -179,10 +253,22 @@ FROM (SELECT doc_id, text, {san('text')} AS c FROM documents)""",
 list_filter(list_transform(regexp_extract_all({pre('text')}, '[^.!?]*[.!?]|[^.!?]+'), lambda x: regexp_replace(x, '^{ANY}+|{ANY}+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)""",
         "sentences_dot_fallback": f"""SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS sent_no, unnest(s) || '.' AS sentence FROM (SELECT conv_id, turn,
 list_filter(list_transform(string_split({pre('text')}, '.'), lambda x: regexp_replace(x, '^{ANY}+|{ANY}+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)""",
+        "punkt_neighbours": f"{AROUND} SELECT type, ending, letter, before, before_ending, n FROM pairs WHERE before_ending IN ('stop', 'ellipsis', 'hard')",
+        "punkt_types": f"{AROUND} SELECT type, stops, plain, round(score, 4) AS score, abbreviation FROM kinds",
+        "punkt_collocations": f"{AROUND} SELECT before, type, together, round(score, 3) AS score, collocation FROM together",
+        "punkt_starters": f"{AROUND} SELECT type, at_first, total, round(score, 3) AS score, starter FROM openers",
+        "sentences_punkt": f"""{AROUND}, {STAYING},
+t AS (SELECT near.*, lead(type) OVER w AS next_type, lead(letter) OVER w AS next_letter FROM near WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT t.*, t.ending = 'hard' OR (t.ending IN ('stop', 'ellipsis') AND staying.type IS NULL) AS cut FROM t
+      LEFT JOIN staying ON staying.before = t.type AND staying.before_ending = t.ending AND staying.type = t.next_type AND staying.letter = t.next_letter),
+n AS (SELECT *, 1 + coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_no FROM e),
+g AS (SELECT doc_id, CAST(sent_no AS BIGINT) AS sent_no, string_agg(piece, ' ' ORDER BY i) AS s FROM n GROUP BY doc_id, sent_no)
+SELECT doc_id, sent_no, md5(s) AS sentence_md5, length(s) AS n FROM g""",
         "unit_tokens": f"""SELECT unit, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all({san('text')}, '{UNIT}', 2)) AS unit FROM documents) GROUP BY unit""",
         "char_class_profile": f"""SELECT doc_id, len(u) AS units, len(list_filter(u, lambda x: x IN {MARK_LIST})) AS marks, len(regexp_extract_all(text, '{SP}')) AS spaces,
 length(regexp_replace(text, '{MARKS}', '', 'g')) AS unmarked_chars, text = '' OR regexp_matches(text, '^{SP}') AS blank_first FROM (SELECT doc_id, text, regexp_extract_all(text, '{UNIT}', 2) AS u FROM documents)""",
-        "cyrillic_lower": f"WITH {SAMPLE_CTE} SELECT i, {low('s')} AS lowered, lower(s) AS folded FROM samples",
+        "cyrillic_lower": f"""WITH t AS (SELECT conv_id, turn, translate(text, 'abcdefghijklmnopqrstuvwxyzàéüß', 'АБЦДЕФГХИЙКЛМНОПЯРСТУВЩЫЧЗЁІЄЇ') AS s FROM conversations)
+SELECT conv_id, turn, md5({low("s")}) AS lowered, md5(lower(s)) AS folded, len(regexp_extract_all(s, '[А-ЯЁІЄ]')) AS capitals FROM t""",
         "cyrillic_detect": f"""WITH {SAMPLE_CTE} SELECT 'sample' AS kind, i, regexp_matches(s, '[Ѐ-ӿ]') AS cyrillic FROM samples
 UNION ALL SELECT 'document', doc_id, regexp_matches(text, '[Ѐ-ӿ]') FROM documents""",
         "string_primitives": f"""WITH {SAMPLE_CTE}, t AS (SELECT p_partkey AS i, concat_ws(' ', p_name, 'Ёжик', p_type) AS s FROM part UNION ALL SELECT i, s FROM samples),
@@ -226,6 +312,9 @@ LEFT JOIN (SELECT conv_id, count(*) AS total_entities FROM ents GROUP BY 1) e ON
         "search_prefix_no_member": _prefix("aa", "false"),
         "search_relevance": _relevance(MATCH),
         "search_relevance_typed": _relevance("CASE WHEN type_ru = 'подлежащее' THEN 'typeOnly' ELSE 'none' END"),
+        "search_prefix_stored": _prefix("fd"),
+        "search_postings": f"""{PAGE}, m AS (SELECT *, CASE WHEN text = 'tion' THEN 'exact' ELSE 'partial' END AS match_type FROM page WHERE contains(text, 'tion'))
+SELECT type_ru, text, original_order, match_type, row_number() OVER (ORDER BY match_type, original_order) AS rank FROM m""",
         "search_hit_stats": f"""{ITEMS}, s AS (SELECT count(*) FILTER (m = 'exact') AS exact, count(*) FILTER (m = 'partial') AS partial, {none} AS type_only FROM (SELECT {MATCH} AS m FROM items))
 SELECT *, CASE WHEN exact + partial = 0 THEN '❌ Ничего не найдено' ELSE '✅ Найдено: ' || concat_ws(', ', CASE WHEN exact > 0 THEN exact || ' точных совпадений' END, CASE WHEN partial > 0 THEN partial || ' частичных совпадений' END) END AS message FROM s""",
         "search_relevance_again": f"""{PAGE}, first AS (SELECT *, row_number() OVER (ORDER BY {PLACED.format(m=MATCH)}, original_order) AS current FROM page),
@@ -254,6 +343,8 @@ coalesce('2 ' || l || ' ' || CAST((35 + 3 * (k + 1)) % 11 AS VARCHAR), '') AS la
         "offset_repair": f"""WITH {UNITS}, hurt AS (SELECT {KEY}, unit_no, unit, CASE WHEN unit_no % 7 = 3 THEN 0 ELSE start_b END AS a, CASE WHEN unit_no % 7 = 3 THEN 0 ELSE end_b END AS b FROM units),
 prev AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY {KEY} ORDER BY unit_no), 0) AS was FROM hurt)
 SELECT {KEY}, unit_no, unit, a AS start_b, b AS end_b FROM prev WHERE NOT (a = 0 AND b = 0 AND was <> 0)""",
+        "viterbi_labels": _viterbi(),
+        "analysis_progress": "SELECT count(*) AS documents, count(*) AS processed, 100.0::DOUBLE AS percent FROM documents",
         "argmax_labels": f"SELECT vec_id, l AS label_id, {NAMES}[1 + l] AS label FROM (SELECT vec_id, CAST(list_position(embedding[1:11], list_max(embedding[1:11])) - 1 AS BIGINT) AS l FROM embeddings)",
         "subword_merge": f"""{LSUBS}, grp AS (SELECT *, CAST(sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY {KEY} ORDER BY unit_no, piece_no) AS BIGINT) AS word_no,
 CASE WHEN starts_with(label, 'B-') THEN 0 WHEN starts_with(label, 'I-') THEN 1 ELSE 2 END AS r FROM lab)
@@ -288,11 +379,17 @@ CASE WHEN strlen(html) + 1 <= 307200 AND NOT contains(html, chr(65533)) THEN md5
         "source_whole_texts": "SELECT md5(html || chr(10)) AS text_md5 FROM pages",
         "source_lines": "SELECT text, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS text FROM conversations) WHERE text <> '' GROUP BY text",
         "source_blank_labels": """SELECT replace(trim(l), ' ', '|') AS tokens, len(string_split(trim(l), ' ')) AS tags, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM conversations) WHERE l <> '' GROUP BY ALL""",
-        "source_typed": """SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'Привет [x] мир!', 'Привет мир!', 'ok'), (1, '+++ a', 'a', 'shrunk'), (3, 'ab+++++++', 'ab', 'shrunk'), (4, 'один', 'один', 'ok'), (5, 'два,три', 'два, три', 'ok')) t(doc_id, text, clean, state)""",
+        "source_typed": f"""WITH {CONSOLE}, c AS (SELECT *, {san("text")} AS clean FROM lines WHERE NOT regexp_full_match(text, '{SP}*'))
+SELECT doc_id, line_no, md5(clean) AS clean_md5, CASE WHEN clean = '' THEN 'empty' WHEN length(clean) < length(text) // 2 THEN 'shrunk' ELSE 'ok' END AS state FROM c""",
+        "source_console_blank": f"""WITH {CONSOLE}, s AS (SELECT *, min(line_no) FILTER (text = '') OVER (PARTITION BY doc_id) AS stop FROM lines)
+SELECT doc_id, count(*) AS n, max(line_no) AS last FROM s WHERE stop IS NULL OR line_no < stop GROUP BY doc_id""",
+        "source_console_quit": f"""WITH {CONSOLE}, b AS (SELECT doc_id, line_no, regexp_replace(text, '^{SP}+|{SP}+$', '', 'g') AS t FROM lines),
+s AS (SELECT *, min(line_no) FILTER (lower(t) IN ('exit', 'quit', 'q')) OVER (PARTITION BY doc_id) AS stop FROM b)
+SELECT doc_id, count(*) AS n, max(line_no) AS last, CAST(sum(length(t)) AS BIGINT) AS chars FROM s WHERE (stop IS NULL OR line_no < stop) AND t <> '' GROUP BY doc_id""",
         "source_labelled": f"""WITH {UNITS},{label_cte('units', 'true')}, s AS (SELECT turn, string_agg(unit, ' ' ORDER BY unit_no) AS text, string_agg(label, ' ' ORDER BY unit_no) AS tags, count(*) AS k FROM word GROUP BY conv_id, turn, sent_no)
 SELECT text, tags, count(*) AS n FROM s WHERE turn % 4 <> 0 GROUP BY text, tags""",
         "source_vocabulary": f"{VOCAB} SELECT token, row_number() OVER (ORDER BY id) - 1 AS id FROM vocab",
-        "source_label_config": f"SELECT CAST(unnest(range(11)) AS BIGINT) AS label_id, unnest({NAMES}) AS label, unnest({TYPES}) AS type_ru",
+        "source_label_config": f"{WORDS} SELECT DISTINCT CAST(lid AS BIGINT) AS label_id, label, ru AS type_ru FROM word",
         "sink_results": f"""{ENTS}, e AS (SELECT {KEY}, count(*) AS n, string_agg(text || ':' || type_ru, '|' ORDER BY ent_no) AS x FROM ents GROUP BY {KEY})
 SELECT conv_id, turn, conv_id || '/' || turn AS input_file, count(*) OVER w AS total_sentences, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS total_entities, sent_no, sentence, coalesce(x, '') AS entities
 FROM sent LEFT JOIN e USING ({KEY}) WINDOW w AS (PARTITION BY conv_id, turn)""",
@@ -302,6 +399,22 @@ SELECT original_order, md5('<details class="item" data-original-order="' || orig
 FROM page JOIN c USING (type_ru, text)""",
         "sink_listing": f"""{ENTS}, k AS (SELECT {KEY}, type_ru, string_agg(text, ', ' ORDER BY ent_no) AS texts FROM ents WHERE sent_no % 2 = 0 GROUP BY {KEY}, type_ru),
 l AS (SELECT {KEY}, string_agg(type_ru || ': ' || texts, '; ' ORDER BY type_ru) AS line FROM k GROUP BY {KEY}) SELECT {KEY}, coalesce(line, 'No members found') AS line FROM sent LEFT JOIN l USING ({KEY})""",
+        "sink_statistics": f"""{ITEMS}, {CATS_CTE}, best AS (SELECT type_ru, text, amount, row_number() OVER (PARTITION BY type_ru ORDER BY amount DESC, text) AS r FROM items),
+totals AS (SELECT cat_no, cats.type_ru, count(ents.type_ru) AS n FROM cats LEFT JOIN ents ON ents.type_ru = cats.type_ru GROUP BY ALL)
+SELECT (SELECT count(*) FROM sent) || ' ' || (SELECT CAST(coalesce(sum({words('sentence')}), 0) AS BIGINT) FROM sent) || ' ' || (SELECT count(*) FROM ents) AS totals, t.type_ru, n,
+round(coalesce(n / nullif(sum(n) OVER (), 0), 0) * 100, 1) AS percent, CASE WHEN amount > 1 THEN {esc('text')} ELSE '-' END AS top_word, CASE WHEN amount > 1 THEN amount ELSE 0 END AS top_count
+FROM totals t LEFT JOIN best ON best.type_ru = t.type_ru AND r = 1""",
+        "sink_search_site": f"""{PAGE}, ctx AS (SELECT DISTINCT type_ru, lower(text) AS text, conv_id, turn, sent_no, sentence FROM ents),
+lines AS (SELECT 'i' AS kind, original_order, 'i(' || original_order || ',' || to_json(text) || ',' || to_json(type_ru) || ',' || amount || ');' AS line FROM page
+UNION ALL SELECT 'c', original_order, 'c(' || original_order || ',' || to_json(sentence) || ');' FROM page JOIN ctx USING (type_ru, text))
+SELECT kind, original_order, count(*) AS n, md5(min(line)) AS first_md5, md5(max(line)) AS last_md5 FROM lines GROUP BY ALL""",
+        "sink_report": f"{PRF} SELECT class, printf('%.4f', precision) AS precision, printf('%.4f', recall) AS recall, printf('%.4f', f1) AS f1, support FROM prf",
+        "lead_bytes": """WITH b AS (SELECT p_partkey, hex(encode(concat_ws(' ', p_name, 'Ёжик—😀'))) AS h FROM part),
+x AS (SELECT p_partkey, list_transform(range(CAST(length(h) / 2 AS BIGINT)), lambda i: CAST('0x' || substring(h, 2 * i + 1, 2) AS INT)) AS v FROM b)
+SELECT p_partkey, array_to_string(list_transform(v, lambda c: CASE WHEN c < 128 THEN 1 WHEN c BETWEEN 192 AND 223 THEN 2 WHEN c BETWEEN 224 AND 239 THEN 3 WHEN c BETWEEN 240 AND 247 THEN 4 ELSE 0 END), '') AS widths FROM x""",
+        "stream_phrase_counts": f"{ITEMS} SELECT type_ru, text AS word, amount AS n FROM items",
+        "stream_top_members": f"""{ITEMS}, {CATS_CTE}, best AS (SELECT type_ru, text, amount, row_number() OVER (PARTITION BY type_ru ORDER BY amount DESC, text) AS r FROM items)
+SELECT cat_no, cats.type_ru, CASE WHEN amount > 1 THEN text ELSE '-' END AS top_word, CASE WHEN amount > 1 THEN amount ELSE 0 END AS top_count FROM cats LEFT JOIN best ON best.type_ru = cats.type_ru AND r = 1""",
         "sink_evaluation": f"""{PRF} SELECT true AS dated, round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS support, round(avg(f1), 6) AS macro_f1,
 (SELECT class FROM prf ORDER BY round(f1, 6) DESC, place LIMIT 1) AS best, (SELECT class FROM prf ORDER BY round(f1, 6), place LIMIT 1) AS worst, round(avg(f1) FILTER (class <> 'O'), 6) AS members_f1,
 (SELECT count(*) FROM pairs) AS cells_total, count(*) + 2 AS report_lines FROM prf""",

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
-from ..operators import analysis, annotate, labels, metrics, search, stats, taggers, tokens
+from ..operators import analysis, annotate, index, labels, metrics, progress, punkt, search, stats, taggers, tokens, viterbi
 from ..session import fresh_path
 from ..sources import readers, writers
+from ..streaming import annotate as streams, counts
 
 TURN = ["conv_id", "turn"]
 BY = [*TURN, "sent_no"]
 NEEDLE = "re"
-#: Literal rows for rules on Cyrillic, as the tables have none.
+#: Literal rows for rules on Cyrillic, beside those of the tables.
 SAMPLES = ("Привет МИР", "ЁЛКА Ї І Є ABC", "plain text", "смесь mixed ТЕКСТ", "", "Ӂ ӂ", "день—ночь")
+#: The tables have no Cyrillic, so their lower-case letters become capitals of it for the rules on case.
+LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyzàéüß", "АБЦДЕФГХИЙКЛМНОПЯРСТУВЩЫЧЗЁІЄЇ"
 
 
 def long(c: Column | str) -> Column:
@@ -53,7 +56,7 @@ def _words(spark, d, shift=0):
 
 
 def _ents(spark, d):
-    return annotate.entities(_words(spark, d), TURN)
+    return annotate.phrases(_sents(spark, d), taggers.RuleTagger().in_row, lambda u: ~T.is_mark(u))
 
 
 def _items(spark, d):
@@ -64,8 +67,10 @@ def _items(spark, d):
 
 
 def sentence_word_stats(spark, d):
-    sents = annotate.sentences(table(spark, d, "documents").select("doc_id", "lang", "text"), ["doc_id", "lang"])
-    return sents.groupBy("lang").agg(F.count("*").alias("sentences"), F.sum(T.count_words(F.col("sentence"))).alias("words"))
+    listed = annotate.sentence_lists(table(spark, d, "documents").select("lang", "text"), ["lang"])
+    words = F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + T.count_words(s))
+    counts = listed.select("lang", long(F.size("sentences")).alias("n"), words.alias("words")).filter("n > 0")
+    return counts.groupBy("lang").agg(F.sum("n").alias("sentences"), F.sum("words").alias("words"))
 
 
 def sanitize_text(spark, d):
@@ -92,6 +97,37 @@ def sentences_dot_fallback(spark, d):
     return df.select(*TURN, long(F.col("i") + 1).alias("sent_no"), "sentence")
 
 
+def _around(spark, d):
+    return punkt.neighbours(table(spark, d, "documents").select("text"))
+
+
+def punkt_neighbours(spark, d):
+    pairs = _around(spark, d).filter("before_ending in ('stop', 'ellipsis', 'hard')")
+    return pairs.select("type", "ending", F.col("case").alias("letter"), "before", "before_ending", "n")
+
+
+def punkt_types(spark, d):
+    return punkt.types(_around(spark, d)).withColumn("score", F.round("score", 4))
+
+
+def _kinds(spark, d):
+    pairs = _around(spark, d)
+    return pairs, punkt.types(pairs)
+
+
+def punkt_collocations(spark, d):
+    return punkt.collocations(*_kinds(spark, d)).withColumn("score", F.round("score", 3))
+
+
+def punkt_starters(spark, d):
+    return punkt.starters(punkt.in_context(*_kinds(spark, d))).withColumn("score", F.round("score", 3))
+
+
+def sentences_punkt(spark, d):
+    df = punkt.split(table(spark, d, "documents").select("doc_id", "text"), punkt.joined_stops(_around(spark, d)), ["doc_id"])
+    return df.select("doc_id", long("sent_no").alias("sent_no"), F.md5("sentence").alias("sentence_md5"), long(F.length("sentence")).alias("n"))
+
+
 def unit_tokens(spark, d):
     df = _docs(spark, d).select("doc_id", F.explode(T.units(T.sanitize(F.col("text")))).alias("unit"))
     return df.groupBy("unit").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
@@ -111,7 +147,9 @@ def char_class_profile(spark, d):
 
 
 def cyrillic_lower(spark, d):
-    return samples(spark).select("i", T.cyrillic_lower(F.col("s")).alias("lowered"), F.lower("s").alias("folded"))
+    df = _conv(spark, d).withColumn("s", F.translate("text", LATIN, CYRILLIC))
+    capitals = F.length("s") - F.length(F.translate("s", T.UPPER, ""))
+    return df.select(*TURN, F.md5(T.cyrillic_lower(F.col("s"))).alias("lowered"), F.md5(F.lower("s")).alias("folded"), long(capitals).alias("capitals"))
 
 
 def cyrillic_detect(spark, d):
@@ -174,8 +212,7 @@ def entities_bytes(spark, d):
 
 
 def _ents_chars(spark, d):
-    words = taggers.RuleTagger()(_units(spark, d).filter(~F.col("unit").isin(*T.PHRASE_PUNCTUATION)))
-    return annotate.entities(words, TURN, chars=True)
+    return annotate.phrases(_sents(spark, d), taggers.RuleTagger().in_row, lambda u: ~u.isin(*T.PHRASE_PUNCTUATION), chars=True)
 
 
 def entities_chars(spark, d):
@@ -265,6 +302,22 @@ def search_relevance_again(spark, d):
     return _shown(search.relevance(first, "an", current="current"))
 
 
+def search_prefix_stored(spark, d):
+    """The prefix search over items stored by ranges of their text."""
+    path = fresh_path(spark, "items-by-text")
+    index.write_prefixes(_items(spark, d), path)
+    df = index.prefix_search(spark, path, NEEDLE, order="frequency_desc")
+    return df.select("type_ru", "text", "amount", long("rank").alias("rank"))
+
+
+def search_postings(spark, d):
+    """The visible items of a search of the saved page, by postings."""
+    path = fresh_path(spark, "items-postings")
+    index.write_postings(_page(spark, d), path)
+    df = index.relevance_search(spark, path, "tion")
+    return df.select("type_ru", "text", long("original_order").alias("original_order"), "match_type", long("rank").alias("rank"))
+
+
 def search_hit_stats(spark, d):
     # the counts need no order
     found = _items(spark, d).withColumn("match_type", search.match_type(NEEDLE))
@@ -375,6 +428,23 @@ def argmax_labels(spark, d):
     return df.select("vec_id", long("label_id").alias("label_id"), schema.label_name(F.col("label_id")).alias("label"))
 
 
+def viterbi_labels(spark, d):
+    """The best paths that keep to the label scheme, and the labels without it; five tokens' scores stand in each embedding."""
+    n = len(schema.LABELS)
+    scores = F.array(*[F.slice("embedding", k * n + 1, n) for k in range(5)])
+    df = table(spark, d, "embeddings").select("vec_id", viterbi.best_path(scores, *viterbi.bio_steps()).alias("path"), F.transform(scores, taggers.argmax).alias("free"))
+    return df.select("vec_id", F.array_join("path", " ").alias("path"), F.array_join("free", " ").alias("free"))
+
+
+def analysis_progress(spark, d):
+    """Documents that passed a run over their sentences, of all of them."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    follow = progress.Progress(docs, docs.count())
+    annotate.sentences(follow.rows, ["doc_id"]).write.format("noop").mode("overwrite").save()
+    told = follow.report()
+    return table(spark, d, "documents").agg(F.count("*").alias("documents")).select("documents", long(F.lit(told.processed)).alias("processed"), F.lit(told.percent).alias("percent"))
+
+
 def _labelled_subs(spark, d):
     rule = ((F.length("token") * 7 + F.col("unit_no") * 3 + F.col("piece_no")) % len(schema.LABELS)).cast("int")
     return taggers.named(_subs(spark, d).withColumn("label_id", rule))
@@ -522,11 +592,25 @@ def source_blank_labels(spark, d):
     return df.groupBy(F.array_join("tokens", "|").alias("tokens"), long(F.size("tags")).alias("tags")).agg(F.count("*").alias("n"))
 
 
+def _console(spark, d):
+    """The lines of each document, as if typed one after another; every 13th by length is a word that ends a session."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return lines.withColumn("text", F.when(F.length("text") % 13 == 5, " Quit ").otherwise(F.col("text")))
+
+
 def source_typed(spark, d):
-    """Literal texts, as typed at the two consoles."""
-    first = readers.until_blank(["Привет [x] мир!", "+++ a", " ", "ab+++++++", "", "not read"])
-    second = readers.until_quit(["  один ", "", "два,три", "QUIT", "not read"])
-    return readers.typed(spark, [*first, *second]).select("doc_id", "text", "clean", "state")
+    df = readers.typed_lines(_console(spark, d))
+    return df.select("doc_id", long("line_no").alias("line_no"), F.md5("clean").alias("clean_md5"), "state")
+
+
+def source_console_blank(spark, d):
+    df = readers.lines_until_blank(_console(spark, d), ["doc_id"], "line_no")
+    return df.groupBy("doc_id").agg(F.count("*").alias("n"), long(F.max("line_no")).alias("last"))
+
+
+def source_console_quit(spark, d):
+    df = readers.lines_until_quit(_console(spark, d), ["doc_id"], "line_no")
+    return df.groupBy("doc_id").agg(F.count("*").alias("n"), long(F.max("line_no")).alias("last"), F.sum(long(F.length("text"))).alias("chars"))
 
 
 def source_labelled(spark, d):
@@ -547,8 +631,9 @@ def source_vocabulary(spark, d):
 
 
 def source_label_config(spark, d):
-    path = fresh_path(spark, "metadata")
-    writers.metadata(spark, path, "stand-in")
+    """A configuration of the labels that the conversations' words have, written and read."""
+    path = fresh_path(spark, "label-config")
+    writers.label_config(_words(spark, d).select("label_id", "label").distinct(), path)
     return readers.label_config(spark, path).select(long("label_id").alias("label_id"), "label", "type_ru")
 
 
@@ -573,6 +658,63 @@ def sink_listing(spark, d):
     return writers.listing(_sents(spark, d), ents, TURN, "No members found").select(*TURN, long("sent_no").alias("sent_no"), "line")
 
 
+def sink_statistics(spark, d):
+    """The numbers of the statistics page, read back out of its cards."""
+    folder = fresh_path(spark, "statistics")
+    page = writers.statistics_page(_sents(spark, d), _ents(spark, d), folder)
+    card = r'<div class="card">([^<:]+): ([0-9]+) \(([0-9.]+) %\), ([^<]*) \(([0-9]+)\)<'
+    found = [F.regexp_extract_all("value", F.lit(card), F.lit(k)).alias(n) for k, n in enumerate(("type_ru", "n", "percent", "top_word", "top_count"), 1)]
+    totals = F.regexp_extract_all("value", F.lit(r'<div class="card"><b>([0-9]+)</b>'), F.lit(1))
+    df = spark.read.text(page, wholetext=True).select(F.explode(F.arrays_zip(*found)).alias("x"), F.array_join(totals, " ").alias("totals"))
+    return df.select("totals", "x.type_ru", F.col("x.n").cast("long").alias("n"), F.col("x.percent").cast("double").alias("percent"), "x.top_word", F.col("x.top_count").cast("long").alias("top_count"))
+
+
+def sink_search_site(spark, d):
+    """The lines of all shards of the page that searches any number of items, read back."""
+    folder = fresh_path(spark, "site")
+    contexts = stats.item_contexts(_ents(spark, d), TURN, _sents(spark, d))
+    writers.search_site(_page(spark, d), contexts, TURN, folder, lines=1000)
+    lines = spark.read.text(f"{folder}/shards", recursiveFileLookup=True)
+    kind = F.left("value", F.lit(1))
+    return lines.groupBy(kind.alias("kind"), long(F.regexp_extract("value", r"^.\(([0-9]+),", 1)).alias("original_order")).agg(F.count("*").alias("n"), F.md5(F.min("value")).alias("first_md5"), F.md5(F.max("value")).alias("last_md5"))
+
+
+def sink_report(spark, d):
+    """The classes' lines of the text report, read back."""
+    path = f"{fresh_path(spark, 'report')}/classification_report.txt"
+    metrics.report(metrics.per_class(metrics.confusion(_pairs(spark, d))), 7, path)
+    rows = spark.read.text(path).filter(F.col("value").rlike(r" [0-9]+$") & ~F.col("value").startswith("Tokens"))
+    part = F.split(F.col("value"), " +")
+    return rows.select(part[0].alias("class"), part[1].alias("precision"), part[2].alias("recall"), part[3].alias("f1"), part[4].cast("long").alias("support"))
+
+
+def lead_bytes(spark, d):
+    """What each byte of a name says of the symbol that it begins."""
+    df = table(spark, d, "part").select("p_partkey", F.encode(F.concat_ws(" ", "p_name", F.lit("Ёжик—😀")), "UTF-8").alias("b"))
+    at = F.transform(F.sequence(F.lit(0), F.length("b") - 1), lambda i: T.lead_bytes(F.col("b"), i).cast("string"))
+    return df.select("p_partkey", F.array_join(at, "").alias("widths"))
+
+
+def _streamed(spark, d):
+    """Updates of phrase counts of the conversations, which come as a stream of files."""
+    source = table(spark, d, "conversations").select(*TURN, "text")
+    inbox, out = fresh_path(spark, "inbox"), fresh_path(spark, "updates")
+    source.repartition(3).write.parquet(inbox)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(inbox)
+    ents = annotate.phrases(streams.sentences(stream), taggers.RuleTagger().in_row, lambda u: ~T.is_mark(u))
+    query = counts.phrase_counts(ents).writeStream.outputMode("update").option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True)
+    query.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).start().awaitTermination()
+    return spark.read.schema(counts.SCHEMA).parquet(out)
+
+
+def stream_phrase_counts(spark, d):
+    return counts.counted(_streamed(spark, d))
+
+
+def stream_top_members(spark, d):
+    return counts.top_members(_streamed(spark, d)).select(long("cat_no").alias("cat_no"), "type_ru", "top_word", long("top_count").alias("top_count"))
+
+
 def sink_evaluation(spark, d):
     path = fresh_path(spark, "evaluation")
     cells = metrics.confusion(_pairs(spark, d))
@@ -594,14 +736,14 @@ def sink_evaluation(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        sentence_word_stats, sanitize_text, preprocess_text, sentences_regex, sentences_scan, sentences_dot_fallback, unit_tokens, char_class_profile, cyrillic_lower,
+        sentence_word_stats, sanitize_text, preprocess_text, sentences_regex, sentences_scan, sentences_dot_fallback, punkt_neighbours, punkt_types, punkt_collocations, punkt_starters, sentences_punkt, unit_tokens, char_class_profile, cyrillic_lower,
         cyrillic_detect, string_primitives, snippet_truncate, highlight_mark, html_escape, file_sizes, label_decode, unit_offsets, entities_bytes, entities_chars,
         sentence_structure, markup_stream, console_by_type, global_stats, category_totals, sentence_parts, category_share, top_member_per_category, search_items,
         file_totals, search_relevance, search_relevance_typed, search_hit_stats, search_reset, vocabulary, wordpiece_tokens, subtoken_offsets, encode_padded, attention_mask,
-        decode_roundtrip, offset_repair, argmax_labels, subword_merge, bio_encode, bio_violations, invalid_labels, align_subtoken_labels, label_counts, base_class_counts, train_val_split,
-        search_contexts, search_relevance_again, encode_unpadded, encode_char_offsets, sentence_results, analysis_totals, special_tokens_dropped, unknown_labels, gold_evaluation, masked_evaluation,
-        source_text_files, source_accepted_files, source_whole_texts, source_lines, source_blank_labels, source_typed, source_labelled, source_vocabulary, source_label_config,
-        sink_results, sink_item_cards, sink_listing, sink_evaluation, gold_span_align, confusion_matrix, confusion_normalized, per_class_prf, weighted_prf, macro_best_worst,
+        decode_roundtrip, offset_repair, argmax_labels, viterbi_labels, analysis_progress, subword_merge, bio_encode, bio_violations, invalid_labels, align_subtoken_labels, label_counts, base_class_counts, train_val_split,
+        search_contexts, search_relevance_again, search_prefix_stored, search_postings, encode_unpadded, encode_char_offsets, sentence_results, analysis_totals, special_tokens_dropped, unknown_labels, gold_evaluation, masked_evaluation,
+        source_text_files, source_accepted_files, source_whole_texts, source_lines, source_blank_labels, source_typed, source_console_blank, source_console_quit, source_labelled, source_vocabulary, source_label_config,
+        sink_results, sink_item_cards, sink_listing, sink_evaluation, sink_statistics, sink_search_site, sink_report, lead_bytes, stream_phrase_counts, stream_top_members, gold_span_align, confusion_matrix, confusion_normalized, per_class_prf, weighted_prf, macro_best_worst,
     )
     found = {f.__name__: f for f in named}
     found["search_prefix_alpha_asc"] = _prefix("alphabet_asc", NEEDLE)

@@ -53,3 +53,9 @@ def label_id(label: Column) -> Column:
     for i, name, *_ in LABELS[1:]:
         out = F.when(label == name, i).otherwise(out)
     return out
+
+
+def label_base(label_id: Column) -> Column:
+    """Base of an id, null when unknown."""
+    bases = F.array(*[F.lit(x[2]) for x in LABELS])
+    return F.when(label_id.between(0, len(LABELS) - 1), F.get(bases, label_id.cast("int")))

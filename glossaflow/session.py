@@ -103,17 +103,36 @@ def discard(df: DataFrame) -> None:
 
 def put_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
     """Writes a bounded text to one file of any store that Spark reaches; a path without a scheme is local."""
+    put_bytes(spark, path, text.encode("utf-8"), overwrite)
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes, overwrite: bool = False) -> None:
+    """Writes bounded data to one file, as put_text()."""
     p = _path(spark, path)
     store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if store.exists(p) and not overwrite:
         raise FileExistsError(path)
     out = store.create(p, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        for at in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[at : at + (1 << 22)]))
     finally:
         out.close()
 
 
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A bounded text file of any store that Spark reaches; null if it is missing."""
+    p = _path(spark, path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(p):
+        return None
+    held = store.open(p)
+    try:
+        return bytes(held.readAllBytes()).decode("utf-8")
+    finally:
+        held.close()
+
+
 def file_exists(spark: SparkSession, path: str) -> bool:
     p = _path(spark, path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

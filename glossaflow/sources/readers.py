@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import takewhile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -40,11 +40,34 @@ def accepted_files(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(F.is_valid_utf8(s) & ~s.contains("�")).select("path", s.alias("text"))
 
 
+def typed_lines(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with clean and state of typed texts; blank ones are left out."""
+    df = df.filter(F.trim(F.regexp_replace(text, T.SPACE, " ")) != "").withColumn("clean", T.sanitize(F.col(text)))
+    return df.withColumn("state", T.validity(F.col("clean"), F.col(text)))
+
+
 def typed(spark: SparkSession, texts: list[str]) -> DataFrame:
     """(doc_id, text, clean, state) of texts from a keyboard; blank ones are left out."""
     rows = [(i, t) for i, t in enumerate(texts) if t.strip()]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("clean", T.sanitize(F.col("text")))
-    return df.withColumn("state", T.validity(F.col("clean"), F.col("text")))
+    return typed_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def _until(lines: DataFrame, keys: Sequence[str], at: str, stop: Column) -> DataFrame:
+    """The lines of each session before the first that stop holds for; sessions are told by keys, and one session's lines share a task."""
+    first = F.min(F.when(stop, F.col(at))).over(Window.partitionBy(*keys))
+    df = lines.withColumn("_stop", first)
+    return df.filter(F.col("_stop").isNull() | (F.col(at) < F.col("_stop"))).drop("_stop")
+
+
+def lines_until_blank(lines: DataFrame, keys: Sequence[str], at: str, text: str = "text") -> DataFrame:
+    """Lines of many consoles (keys, at, text): those before a session's first empty line."""
+    return _until(lines, keys, at, F.col(text) == "")
+
+
+def lines_until_quit(lines: DataFrame, keys: Sequence[str], at: str, text: str = "text") -> DataFrame:
+    """Lines of many consoles, stripped and without blank ones, before a session's first exit, quit or q in any case."""
+    bare = F.regexp_replace(text, rf"^{T.SPACE}+|{T.SPACE}+$", "")
+    return _until(lines.withColumn(text, bare), keys, at, F.lower(text).isin("exit", "quit", "q")).filter(F.col(text) != "")
 
 
 def until_blank(texts: Iterable[str]) -> Iterator[str]:
@@ -78,10 +101,17 @@ def labelled(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """(token, id): one token a line, blank lines take no id; of equal tokens the last id counts."""
+    """(token, id): one token a line, blank lines take no id; of equal tokens the last id counts.
+
+    Several files are numbered one after another, by name; each is a row at first, and a
+    row for each of them tells where its numbers begin.
+    """
     rows = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, r"[\r\n]+$", "")), lambda x: x != "")
-    df = spark.read.text(path, wholetext=True).select(F.posexplode(rows).alias("id", "token"))
-    return df.groupBy("token").agg(F.max("id").cast("long").alias("id"))
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), rows.alias("tokens"))
+    before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    begins = files.select("file", F.size("tokens").alias("n")).select(F.col("file").alias("at"), F.coalesce(before, F.lit(0)).alias("begin"))
+    df = files.join(F.broadcast(begins), F.col("file") == F.col("at")).select("begin", F.posexplode("tokens").alias("id", "token"))
+    return df.groupBy("token").agg(F.max(F.col("begin") + F.col("id")).cast("long").alias("id"))
 
 
 def label_config(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..operators import stats as S
-from ..session import file_exists, put_text
+from ..operators.order import numbered
+from ..session import file_exists, put_text, stored
 from .readers import asset
 
 #: Items that one self-contained page can hold.
@@ -48,9 +49,10 @@ def dataset_json(samples: DataFrame, path: str, mode: str = "errorifexists") ->
     rows.mapInPandas(arrays, "value string").write.mode(mode).text(path)
 
 
-def vocabulary_text(vocab: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tokens by id, one a line, in one file, as readers number its lines: a task holds the vocabulary, which is bounded by its model."""
-    vocab.repartition(1).sortWithinPartitions("id").select("token").write.mode(mode).text(path)
+def vocabulary_text(vocab: DataFrame, path: str, mode: str = "errorifexists", files: int = 1) -> None:
+    """Tokens by id, one a line: in one file, as models have it, or in several, which readers.vocabulary() numbers in the order of their names."""
+    dealt = vocab.repartition(1) if files == 1 else vocab.repartitionByRange(files, "id")
+    dealt.sortWithinPartitions("id").select("token").write.mode(mode).text(path)
 
 
 def item_rows(items: DataFrame) -> DataFrame:
@@ -93,14 +95,14 @@ def _guard(spark: SparkSession, target: str, overwrite: bool) -> str:
 
 
 def search_page(items: DataFrame, folder: str, overwrite: bool = False, style: str | None = None, script: str | None = None) -> str:
-    """list.html: a self-contained page that searches up to MAX_ITEMS items; item_pages() takes any number.
+    """list.html: a self-contained page that searches up to MAX_ITEMS items; search_site() takes any number.
 
     style and script name files that go into the page beside its own; missing ones count as empty.
     """
     spark = items.sparkSession
     target = _guard(spark, f"{folder}/list.html", overwrite)
     if items.count() > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items; filter them first, or write item_pages()")
+        raise ValueError(f"more than {MAX_ITEMS} items; write search_site()")
     rows = "".join(r["html"] for r in item_rows(items).orderBy("original_order").toLocalIterator())
     kinds = "".join(f"<option>{html.escape(r['type_ru'])}</option>" for r in items.select("type_ru").distinct().orderBy("type_ru").collect())
     body = f'<style>{asset(style)}</style><input id="needle"><select id="kind"><option value=""></option>{kinds}</select><div id="results">{rows}</div>'
@@ -117,6 +119,69 @@ def item_pages(items: DataFrame, path: str, per_page: int = 1000, mode: str = "e
     whole.write.mode(mode).partitionBy("page").text(path)
 
 
+_SITE = """
+let hits=[],open_=null;
+const box=document.getElementById('needle'),kind=document.getElementById('kind'),list=document.getElementById('results'),said=document.getElementById('said');
+const load=f=>new Promise(r=>{const s=document.createElement('script');s.src=f;s.onload=s.onerror=()=>{s.remove();r()};document.head.append(s)});
+let onItem=()=>{},onContext=()=>{};
+function i(...x){onItem(...x)}
+function c(...x){onContext(...x)}
+async function search(){
+  const t=box.value.trim().toLowerCase(),k=kind.value;hits=[];
+  onContext=()=>{};
+  onItem=(order,text,type,amount)=>{const x=text.toLowerCase();if(k&&type!==k)return;const r=!t?2:x===t?0:x.includes(t)?1:3;if(r<3)hits.push([r,order,text,type,amount])};
+  for(const f of SHARDS){said.textContent=f;await load(f)}
+  hits.sort((a,b)=>a[0]-b[0]||a[1]-b[1]);said.textContent=hits.length;
+  list.replaceChildren(...hits.slice(0,1000).map(([,order,text,type,amount])=>{
+    const d=document.createElement('details');d.className='item';const s=document.createElement('summary');s.textContent=`${text} (${type}) × ${amount}`;d.append(s);
+    d.ontoggle=()=>{if(d.open&&d.children.length<2)contexts(order,d)};return d}));
+}
+async function contexts(order,d){
+  const o=document.createElement('ol');d.append(o);onItem=()=>{};
+  onContext=(at,text)=>{if(at===order){const l=document.createElement('li');l.textContent=text;o.append(l)}};
+  for(const [f,first,last] of SHARDS.map((f,n)=>[f,...BOUNDS[n]]))if(first<=order&&order<=last)await load(f);
+}
+document.getElementById('go').onclick=search;
+"""
+
+
+def search_site(items: DataFrame, contexts: DataFrame, keys: Sequence[str], folder: str, lines: int = 20_000, overwrite: bool = False) -> str:
+    """index.html and shards of about lines lines: a page that searches any number of items, however common.
+
+    items: (original_order, type_ru, text, amount); contexts: stats.item_contexts(). An
+    item is a line, and so is each of its contexts, so a common item goes over as many
+    shards as it needs. The page reads one shard at a time; the driver learns of the
+    shards' names and bounds only.
+    """
+    spark = items.sparkSession
+    target = _guard(spark, f"{folder}/index.html", overwrite)
+
+    def called(name: str, *values) -> F.Column:
+        return F.concat(F.lit(f"{name}("), F.array_join(F.array(*values), ","), F.lit(");"))
+
+    def quoted(c: str) -> F.Column:
+        return F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r'^\{"x":|\}$', "")
+
+    order = F.col("original_order").cast("string")
+    none = [F.lit(None).cast(contexts.schema[k].dataType).alias(k) for k in (*keys, "sent_no")]
+    heads = items.select("original_order", F.lit(0).alias("part"), *none, called("i", order, quoted("text"), quoted("type_ru"), F.col("amount").cast("string")).alias("value"))
+    placed = contexts.join(items.select("original_order", "type_ru", "text"), ["type_ru", "text"])
+    rest = placed.select("original_order", F.lit(1).alias("part"), *keys, "sent_no", called("c", order, quoted("sentence")).alias("value"))
+    by = ["original_order", "part", *keys, "sent_no"]
+    rows = numbered(heads.unionByName(rest), by, "line", 0).withColumn("shard", F.floor(F.col("line") / lines))
+    rows = stored(rows.select("shard", "line", "original_order", "value"), "site-lines")
+    path = f"{folder}/shards"
+    rows.repartition("shard").sortWithinPartitions("shard", "line").select("shard", "value").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("shard").text(path)
+    bounds = rows.groupBy("shard").agg(F.min("original_order").alias("a"), F.max("original_order").alias("b")).orderBy("shard").collect()  # a row a shard
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path").collect()
+    names = {int(p.split("shard=")[1].split("/")[0]): "shards/shard=" + p.split("shard=")[1] for p in (r["path"] for r in files)}
+    kinds = "".join(f"<option>{html.escape(r['type_ru'])}</option>" for r in items.select("type_ru").distinct().orderBy("type_ru").collect())
+    body = f'<input id="needle"><select id="kind"><option value=""></option>{kinds}</select><button id="go">Найти</button> <span id="said"></span><div id="results"></div>'
+    script = f"const SHARDS={json.dumps([names[r['shard']] for r in bounds])},BOUNDS={json.dumps([[r['a'], r['b']] for r in bounds])};{_SITE}"
+    put_text(spark, target, _PAGE.format(title="Члены предложений", body=body, script=script), overwrite)
+    return target
+
+
 def statistics_page(sents: DataFrame, ents: DataFrame, folder: str, overwrite: bool = False) -> str:
     """statistics.html: totals, the top member and the share of each category, as cards and bars."""
     target = _guard(sents.sparkSession, f"{folder}/statistics.html", overwrite)
@@ -176,6 +241,12 @@ def metadata(spark: SparkSession, path: str, model_name: str, max_len: int = 128
     put_text(spark, path, json.dumps(found, ensure_ascii=False, indent=2), overwrite)
 
 
+def label_config(labels: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A configuration's id2label, of labels (label_id, label): a few rows by nature."""
+    found = {str(r["label_id"]): r["label"] for r in labels.orderBy("label_id").collect()}
+    put_text(labels.sparkSession, path, json.dumps({"id2label": found}, ensure_ascii=False), overwrite)
+
+
 def listing(sents: DataFrame, ents: DataFrame, keys: Sequence[str], none: str = "-") -> DataFrame:
     """(keys, sent_no, line): the entities of each sentence by type, as the console shows them; none for a sentence without any."""
     by = [*keys, "sent_no"]

@@ -20,6 +20,14 @@ def test_text_files(spark, tmp_path):
     assert [r["text"] for r in readers.accepted_files(spark, str(tmp_path)).collect()] == ["Привет"]
 
 
+def test_consoles(spark):
+    rows = [(k, i, t) for k, lines in enumerate((["a [x]", " b ", "", "c"], [" ", " d", "QUIT", "e"], ["", "f"], [" Q"], ["exit "], ["g"])) for i, t in enumerate(lines)]
+    df = spark.createDataFrame(rows, "k int, at int, text string").repartition(3)
+    listed = lambda x: sorted((r["k"], r["text"]) for r in x.collect())
+    assert listed(readers.lines_until_blank(df, ["k"], "at")) == [(0, " b "), (0, "a [x]"), (1, " "), (1, " d"), (1, "QUIT"), (1, "e"), (3, " Q"), (4, "exit "), (5, "g")]
+    assert listed(readers.lines_until_quit(df, ["k"], "at")) == [(0, "a [x]"), (0, "b"), (0, "c"), (1, "d"), (2, "f"), (5, "g")]
+
+
 def test_small_sources(spark, tmp_path):
     assert [r["state"] for r in readers.typed(spark, ["Да.", "  ", "+++"]).orderBy("doc_id").collect()] == ["ok", "empty"]
     (tmp_path / "l.txt").write_text("one\n\n  two \nx\n")
@@ -80,6 +88,65 @@ def test_reports(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "vocab")).collect()] == ["a", "b"]
 
 
+def test_vocabulary_in_several_files(spark, tmp_path):
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(1000)], "token string, id long")
+    writers.vocabulary_text(vocab, str(tmp_path / "v"), files=7)
+    assert len(list((tmp_path / "v").glob("part-*"))) > 3
+    assert sorted(map(tuple, readers.vocabulary(spark, str(tmp_path / "v")).collect())) == sorted(map(tuple, vocab.collect()))
+
+
+def test_search_site(spark, tmp_path):
+    from glossaflow.operators import search
+
+    texts = spark.createDataFrame([(i, f'Кот "спит" <b> {i}. Кот ест рыбу!') for i in range(40)], "doc int, text string")
+    sents = annotate.sentences(texts, ["doc"])
+    ents = annotate.phrases(sents, taggers.RuleTagger().in_row, lambda u: u != "")
+    items = search.with_order(stats.item_counts(ents, ["doc"]))
+    contexts = stats.item_contexts(ents, ["doc"], sents)
+    page = writers.search_site(items, contexts, ["doc"], str(tmp_path / "site"), lines=50)
+    text = Path(page).read_text(encoding="utf-8")
+    names = json.loads(text.split("const SHARDS=")[1].split(",BOUNDS")[0])
+    bounds = json.loads(text.split(",BOUNDS=")[1].split(";\n")[0])
+    found, held = [], []
+    for name, (first, last) in zip(names, bounds):
+        lines = (tmp_path / "site" / name).read_text(encoding="utf-8").splitlines()
+        assert len(lines) <= 50
+        orders = [int(x[2:].split(",")[0].rstrip(")")) for x in lines]
+        assert (min(orders), max(orders)) == (first, last) and orders == sorted(orders)
+        found += [x for x in lines if x.startswith("i(")]
+        held += [json.loads("[" + x[2:-2] + "]") for x in lines if x.startswith("c(")]
+    assert len(names) > 2 and len(found) == items.count() and len(held) == contexts.count()
+    by = {r["original_order"]: (r["type_ru"], r["text"]) for r in items.collect()}
+    assert sorted((*by[o], s) for o, s in held) == sorted((r["type_ru"], r["text"], r["sentence"]) for r in contexts.collect())
+    with pytest.raises(FileExistsError):
+        writers.search_site(items, contexts, ["doc"], str(tmp_path / "site"))
+
+
+def test_stream_of_phrases_after_any_order(spark, tmp_path):
+    """Counts and tops of a stream equal those of the table, whatever the order and the batches."""
+    import random
+
+    from glossaflow.streaming import counts
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["подлежащее", "сказуемое", "дополнение"]), rng.choice(["Кот", "кот", "пёс", "Дом", "я", "", "ты"])) for _ in range(300)]
+    rows += [("определение", "раз"), ("", "кот")]
+    df = spark.createDataFrame(rows, "type_ru string, text string")
+    want = {(r["type_ru"], r["word"]): r["n"] for r in stats.word_counts(df).collect()}
+    tops = sorted(map(tuple, stats.top_member(df).collect()))
+    for k in range(2):
+        rng.shuffle(rows)
+        inbox = tmp_path / f"in{k}"
+        for i in range(0, len(rows), 100):
+            spark.createDataFrame(rows[i : i + 100], df.schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
+        q = counts.phrase_counts(stream, shards=2).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / f"c{k}")).trigger(availableNow=True)
+        q.foreachBatch(lambda b, _, k=k: b.write.mode("append").parquet(str(tmp_path / f"out{k}"))).start().awaitTermination()
+        updates = spark.read.schema(counts.SCHEMA).parquet(str(tmp_path / f"out{k}"))
+        assert {(r["type_ru"], r["word"]): r["n"] for r in counts.counted(updates).collect()} == want
+        assert sorted(map(tuple, counts.top_members(updates).collect())) == tops
+
+
 def test_stream_equals_batch(spark, tmp_path):
     ts = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([(i, ts + datetime.timedelta(minutes=i), f"Раз {i}. Два!") for i in range(12)], "doc int, ts timestamp, text string")

@@ -48,6 +48,41 @@ def model():
     return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
 
 
+def test_model_folder(spark, tmp_path):
+    """Weights, vocabulary and labels from one folder, written by the sinks, to entities."""
+    import json
+
+    from glossaflow.operators import analysis, models, tokens
+    from glossaflow.sources import writers
+
+    names = ["O", "I-SUBJECT", "B-SUBJECT", "B-PREDICATE", "B-X", *["O"] * 6]  # an order of the model's own
+    folder = tmp_path / "model-a"
+    folder.mkdir()
+    (folder / "model.onnx").write_bytes(model())
+    writers.metadata(spark, str(folder / "metadata.json"), "a", max_len=16)
+    (folder / "config.json").write_text(json.dumps({"id2label": {str(i): n for i, n in enumerate(names)}}))
+    words = ["[PAD]", *[f"u{i}" for i in range(99)], "[UNK]", "[CLS]", "[SEP]", "a", "b", "."]
+    (folder / "vocab.txt").write_text("\n".join(words) + "\n")
+    docs = spark.createDataFrame([(1, "a b. b a."), (2, "a z.")], "doc int, text string")
+    found = models.Folder(spark, str(folder))
+    assert found.max_len == 16 and found.labels[1] == "I-SUBJECT"
+    rows = models.analyze(docs, ["doc"], found).orderBy("doc", "sent_no").collect()
+    assert [(r["doc"], r["err"], len(r["tokens"])) for r in rows] == [(1, 0, 16), (1, 0, 16), (2, 1, 0)]
+
+    class Same:
+        def __call__(self, encoded):
+            scored = taggers.OnnxTagger(model())(encoded)
+            known = {"O": 0, "I-SUBJECT": 4, "B-SUBJECT": 3, "B-PREDICATE": 5}
+            ids = F.array(*[F.lit(known.get(n, -1)) for n in names])
+            return scored.withColumn("label_ids", F.transform("label_ids", lambda i: F.get(ids, i)))
+
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "token string, id long")
+    want = analysis.analyze(docs, ["doc"], vocab, Same(), max_len=16).orderBy("doc", "sent_no").collect()
+    assert rows == want and tokens.split_word("ab", set(words)) == ["[UNK]"]
+    with pytest.raises(FileNotFoundError):
+        models.Folder(spark, str(tmp_path / "none"))
+
+
 def test_onnx_tagger(spark):
     rows = [(i, [i, 0, 3], [1, 1, 0]) for i in range(20)]
     df = spark.createDataFrame(rows, "doc int, input_ids array<long>, attention_mask array<int>").repartition(3)

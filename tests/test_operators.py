@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossaflow import schema
+from glossaflow.functions import text as T
 from glossaflow.operators import analysis, annotate, labels, metrics, search, stats, taggers, tokens
 
 ENT = "doc int, sent_no int, ent_no int, text string, type_ru string, base string, sentence string"
@@ -50,6 +51,23 @@ def test_phrases_against_a_loop(spark, chars):
     assert got == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("chars", [False, True])
+def test_phrases_in_the_row(spark, chars):
+    """The same phrases as by rows, without an exchange by key."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["аб", "word", "x", " ", " ", ",", "—", " - ", "é"]) for _ in range(rng.randrange(60))) for _ in range(300)] + ["", ", ."]
+    sents = annotate.sentences(spark.createDataFrame(list(enumerate(texts)), "doc int, text string"), ["doc"])
+    drop = T.PHRASE_PUNCTUATION if chars else T.PUNCTUATION
+    names = ["doc", "sent_no", "ent_no", "text", "type", "base", "type_ru", "start_b", "end_b", "start_c", "end_c"]
+    by_rows = annotate.entities(taggers.RuleTagger(3)(annotate.units(sents)).filter(~F.col("unit").isin(*drop)), ["doc"], chars)
+    in_row = annotate.phrases(sents, taggers.RuleTagger(3).in_row, lambda u: ~u.isin(*drop), chars)
+    assert set(in_row.columns) == set(names)
+    rows = [sorted(tuple(r) for r in df.select(*names).collect()) for df in (by_rows, in_row)]
+    assert rows[0] == rows[1] and len(rows[0]) > 300
+    plan = in_row._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_gap_unit_differs(spark):
     # a gap of 4 bytes and 2 characters: only the count of characters lets the phrase go on
     rows = [(1, 1, 0, "а", "B-SUBJECT", "SUBJECT", 0, 2, 0, 1, "а —б"), (1, 1, 2, "б", "I-SUBJECT", "SUBJECT", 6, 8, 3, 4, "а —б")]
@@ -292,3 +310,28 @@ def test_analysis_from_texts_to_results(spark):
         analysis.strict(out).collect()
     assert analysis.strict(out.filter("sent_no < 3")).count() == 2
     assert analysis.analyze(docs.limit(0), ["doc_id"], vocab, tagger).count() == 0
+
+
+@pytest.mark.parametrize("text", ["word " * 100_000, "[" * 100_000, "a [" * 50_000 + "\n" + "[x] b. " * 1000, "»" * 100_000, "…" + "»" * 100_000, "a." * 50_000])
+def test_from_text_to_units_in_linear_time(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc int, text string")
+    annotate.units(annotate.sentences(spark.createDataFrame([(1, "a b.")], "doc int, text string"), ["doc"])).count()
+    began = time.time()
+    assert annotate.units(annotate.sentences(df, ["doc"])).agg(F.count("unit")).first()[0] >= 0
+    assert time.time() - began < 5
+
+
+def test_split_descends_to_a_few_hashes(spark):
+    """The same cut however few hashes one task may order, also with keys that repeat."""
+    for rows in ([(i % 700,) for i in range(3000)], [(7,)] * 500 + [(i,) for i in range(20)]):
+        df = spark.createDataFrame(rows, "k int")
+        want = sorted(map(tuple, labels.train_val_split(df, "k").groupBy("k", "split").count().collect()))
+        assert sorted(map(tuple, labels.train_val_split(df, "k", few=0).groupBy("k", "split").count().collect())) == want
+        assert sum(n for _, s, n in want if s == "train") == int(len(rows) * 0.8)
+
+
+def test_open_brackets_stay(spark):
+    rows = ["[a] b [c", "[a\n] b", "[[x] y] z", "x ] [ y", "[", "[]", "a [b\n[c] d"]
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, s string")
+    got = [r[0] for r in df.orderBy("i").select(T.sanitize(F.col("s"))).collect()]
+    assert got == ["b [c", "[a ] b", "y] z", "x ] [ y", "[", "", "a [b d"]
