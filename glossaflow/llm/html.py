@@ -5,9 +5,10 @@ inside) by a forgiving tokenizer. Each block becomes a vector: the tags on its p
 hashed words of their class, id and role, hashed words of its text, and a few
 measures. A bidirectional LSTM in numpy reads the blocks of a page in order and
 labels each as article or not, with the whole document as context; the label alone
-decides. It is trained here, on generated pages, once a process. An element of a kind
-that articles don't stand in, such as a form, that yet holds most of the page's text says
-nothing about its blocks, and is left out of their vectors.
+decides. It is trained here, on generated pages, once a process. Of elements that
+articles seldom stand in, such as a form, a vector tells what share of the page's text
+the nearest and the outermost one hold, and whether a title or an article element stands
+inside: so a page-wide form and a long sidebar look different.
 
 What is on a path is kept once an element, as bits, and vectors are made in bounded
 pieces, so deep and long pages take memory in proportion to their size.
@@ -22,7 +23,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import free_name, small_batches, spread
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!(?!--)[^>]*+>?|<\?[^>]*+>?"""
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!(?!--)[^>]*+>?|<\?[^>]*+>?"""
     r"""|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attr>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"""|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attr2>[^>]*+)(?:>|\Z)""",
     re.S,
@@ -51,8 +52,9 @@ _TAGS = (
 _TAG_NO = {t: i for i, t in enumerate(_TAGS)}
 _CLOSES_P = frozenset(_TAGS) - {"label", "button", "select", "option", "legend"}
 _NEVER = frozenset("nav footer aside form button select option dialog menu head".split())
+_TITLED = frozenset("article main h1".split())
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "p": ("div", "article", "section", "td", "th", "li", "body", "blockquote", "main", "aside", "nav", "footer", "header", "form", "figure", "button")}
-_HASH_NAMES, _HASH_WORDS, _MEASURES = 256, 64, 10
+_HASH_NAMES, _HASH_WORDS, _MEASURES = 256, 64, 14
 _AT_NAMES = 2 * len(_TAGS)
 _AT_WORDS = _AT_NAMES + 2 * _HASH_NAMES
 WIDTH = _AT_WORDS + _HASH_WORDS + _MEASURES
@@ -63,12 +65,14 @@ class Block:
     marks: int  # bits of the vector's first places: path, last tag, words of class, id and role, those of the nearest element with any
     text: str
     linked: int  # characters inside links
+    inner: list[int] | None = None  # of the nearest _NEVER element: characters of its blocks, and whether a title or an article stands in it
+    outer: list[int] | None = None  # of the outermost one
 
 
 class _Element:
     """An open element, with the marks of a block right inside."""
 
-    __slots__ = ("tag", "path", "near", "marks")
+    __slots__ = ("tag", "path", "near", "marks", "held", "inner", "outer", "around")
 
     def __init__(self, tag: str, words: set[str], parent: _Element | None):
         self.tag = tag
@@ -81,6 +85,18 @@ class _Element:
         self.path = own | (parent.path if parent else 0)
         self.near = near or (parent.near if parent else 0)
         self.marks = self.path | 1 << len(_TAGS) + _TAG_NO[tag] | self.near
+        self.around = parent.inner if parent else None
+        self.held = [0, 0] if tag in _NEVER else None
+        self.inner = self.around if self.held is None else self.held
+        self.outer = (parent.outer if parent else None) or self.inner
+        if tag in _TITLED and self.inner:
+            self.inner[1] = 1
+
+    def closed(self) -> None:
+        """Hands what it held on to the _NEVER element around it."""
+        if self.held and self.around:
+            self.around[0] += self.held[0]
+            self.around[1] |= self.held[1]
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -95,7 +111,10 @@ def blocks(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(Block(stack[-1].marks if stack else 0, text, min(state["linked"], len(text))))
+            last = stack[-1] if stack else None
+            out.append(Block(last.marks if last else 0, text, min(state["linked"], len(text)), last and last.inner, last and last.outer))
+            if last and last.inner:
+                last.inner[0] += len(text)
         state["linked"] = 0
 
     def add(text: str) -> None:
@@ -108,8 +127,9 @@ def blocks(page: str | None) -> list[Block]:
             return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].tag == tag:
-                for e in stack[i:]:
+                for e in reversed(stack[i:]):
                     open_[e.tag] -= 1
+                    e.closed()
                 del stack[i:]
                 return
             if stack[i].tag in stop:
@@ -160,6 +180,8 @@ def blocks(page: str | None) -> list[Block]:
             open_[tag] += 1
             state["link"] = 0
     flush()
+    for e in reversed(stack):
+        e.closed()
     return out
 
 
@@ -180,6 +202,7 @@ def vectors(page: list[Block], begin: int = 0, end: int | None = None, longest:
     marks = np.frombuffer(b"".join(b.marks.to_bytes(size, "little") for b in part), np.uint8).reshape(len(part), size)
     out[:, :_AT_WORDS] = np.unpackbits(marks, axis=1, bitorder="little")[:, :_AT_WORDS]
     longest = longest or max((len(b.text) for b in page), default=1)
+    whole = sum(len(b.text) for b in page)
     for i, b in enumerate(part, begin):
         row = out[i - begin]
         words = [w.lower() for w in _WORD.findall(b.text)]
@@ -199,6 +222,8 @@ def vectors(page: list[Block], begin: int = 0, end: int | None = None, longest:
             (len(page) - 1 - i) / len(page),
             chars / longest,
             min(1.0, len(words) / 10),
+            *((b.inner[0] / whole, b.inner[1]) if b.inner else (0, 0)),
+            *((b.outer[0] / whole, b.outer[1]) if b.outer else (0, 0)),
         )
     return out
 
@@ -379,10 +404,12 @@ def generated(r: random.Random) -> tuple[str, list[str]]:
         return f"<div{attr('cookie', 'cookie-banner', 'consent', 'gdpr', 'notice', 'alert', 'popup', 'newsletter', 'subscribe', 'modal', 'cookie-notice')}><p>{text}</p>{'<button>OK</button>' if r.random() < 0.5 else ''}</div>"
 
     def sidebar() -> str:
-        inner = "".join(r.choice([f"<p>{prose(4, 25)}</p>", f"<h3>{prose(1, 4)}</h3>", f"<ul>{links(r.randrange(2, 6))}</ul>"]) for _ in range(r.randrange(1, 5)))
-        return r.choice([f"<aside>{inner}</aside>", f"<div{attr('sidebar', 'side', 'widget', 'related', 'recommended', 'popular', 'trending', 'more-stories', 'share', 'social')}>{inner}</div>"])
+        inner = "".join(r.choice([f"<p>{prose(4, 25)}</p>", f"<h3>{prose(1, 4)}</h3>", f"<ul>{links(r.randrange(2, 6))}</ul>"]) for _ in range(r.randrange(1, 5) if r.random() < 0.75 else r.randrange(5, 16)))
+        return r.choice([f"<aside>{inner}</aside>", f"<aside><h3>{prose(1, 4)}</h3>{''.join(f'<p>{prose(8, 60)}</p>' for _ in range(r.randrange(1, 8)))}</aside>", f"<div{attr('sidebar', 'side', 'widget', 'related', 'recommended', 'popular', 'trending', 'more-stories', 'share', 'social')}>{inner}</div>"])
 
     def form() -> str:
+        if r.random() < 0.4:
+            return f"<form{attr('', 'signup', 'subscribe', 'survey')}>{''.join(f'<p>{prose(3, 40)}</p>' for _ in range(r.randrange(1, 6)))}{r.choice(['', '<input name=e>'])}<button>{word()}</button></form>"
         return f"<form action='/s'><label>{prose(1, 4)}</label><input name=q>{'<p>' + prose(3, 12) + '</p>' if r.random() < 0.4 else ''}<button>{r.choice(['Search', 'Send', word()])}</button></form>"
 
     def comments() -> str:
@@ -397,7 +424,14 @@ def generated(r: random.Random) -> tuple[str, list[str]]:
             kind = r.random()
             if kind < 0.72:
                 short = r.random() < 0.25
-                text = prose(1, 4) if short else prose(8, 90)
+                text = r.choice([word().capitalize() + ".", word()[:2], prose(1, 4), prose(1, 4)]) if short else prose(8, 90)
+                if r.random() < 0.03:  # as footers have it
+                    text = r.choice([f"This {word()} is licensed under the {word()} Public License, version {r.randrange(1, 5)}.", f"All rights reserved by {word()} {word()}.", f"Licensed under {prose(2, 8)}"])
+                if r.random() < 0.06:  # figures only, over lines at times
+                    figures = [str(r.randrange(10 ** r.randrange(1, 6))) for _ in range(r.randrange(1, 7))]
+                    made.append("<p>" + r.choice(["<br>", " "]).join(figures) + "</p>")
+                    good(" ".join(figures))
+                    continue
                 if r.random() < 0.04:  # one word over and over
                     text = word() + f" {word()[: r.randrange(1, 4)]}" * r.randrange(20, 400) + r.choice([".", ""])
                 bold = "<b>" if sloppy and r.random() < 0.3 else ""
@@ -412,10 +446,10 @@ def generated(r: random.Random) -> tuple[str, list[str]]:
                 made.append("<table>" + "".join("<tr>" + "".join(f"<td>{good(prose(1, 4))}</td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>")
             elif kind < 0.93:
                 made.append(f"<div>{good(prose(8, 60))}</div>")
-            elif kind < 0.97:
+            elif kind < 0.96:
                 made.append(advert())
             else:
-                made.append(r.choice([sidebar, form, notice])())
+                made.append(r.choice([sidebar, form, form, notice])())
         if r.random() < 0.12:
             made.append(comments())
         body = "\n".join(made)
@@ -444,7 +478,7 @@ def generated(r: random.Random) -> tuple[str, list[str]]:
 
 
 @functools.lru_cache(maxsize=2)
-def model(pages: int = 500, seed: int = 5) -> Labeller:
+def model(pages: int = 600, seed: int = 5) -> Labeller:
     """The labeller, fitted once a process on generated pages; it is the same for all data."""
     r = random.Random(seed)
     made = []
@@ -458,24 +492,13 @@ def model(pages: int = 500, seed: int = 5) -> Labeller:
                 left.remove(b.text)
                 y[i] = 1
         if found:
-            made.append((vectors(opened(found)), y))
+            made.append((vectors(found), y))
     return Labeller(seed=seed).train(made)
 
 
-def opened(page: list[Block]) -> list[Block]:
-    """The blocks, without the marks of _NEVER elements that hold most of the page: one around the article, or one that isn't closed."""
-    whole = sum(len(b.text) for b in page)
-    gone = 0
-    for t in _NEVER:
-        bit = 1 << _TAG_NO[t]
-        if 2 * sum(len(b.text) for b in page if b.marks & bit) > whole:
-            gone |= bit | bit << len(_TAGS)
-    return [replace(b, marks=b.marks & ~gone) for b in page] if gone else page
-
-
 def main_texts(pages: list[str | None], labeller: Labeller) -> list[list[str]]:
     """The article blocks of each page."""
-    found = [opened(blocks(p)) for p in pages]
+    found = [blocks(p) for p in pages]
     return [[b.text for b, p in zip(bs, ps) if p > 0.5] for bs, ps in zip(found, labeller.label(found))]
 
 

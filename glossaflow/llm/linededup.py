@@ -12,9 +12,11 @@ digit stay.
 
 Digests are grouped globally, and the occurrence of the least rank (doc_id, text, place)
 stays. A task sends the least occurrence of a digest that it has seen to the digest's
-group; the others can't be the one that stays, so they are dealt out by themselves. So a
-line or passage that stands in a third of all rows gives its group some rows a task, and
-no group meets in one task as a whole.
+group; the others can't be the one that stays, so they are dealt out by themselves. A
+task knows a digest again by a table of the digests that it saw lately, and remembers
+those that came twice, the most frequent ones if they are too many. So a line or passage
+that stands in a third of all rows, or in one of some thousand, gives its group some rows
+a task, and no group meets in one task as a whole.
 """
 
 from __future__ import annotations
@@ -104,8 +106,22 @@ _LEAST, _FIRST, _LATER, _OVERLAPPING = 0, 1, 2, 3
 class _Task:
     """Tells the rows of a task's batches apart, and leaves out those of a text that it has seen."""
 
-    def __init__(self) -> None:
-        self.least: dict[int, tuple] = {}
+    def __init__(self, slots: int = 1 << 20, held: int = 1 << 18) -> None:
+        self.least: dict[int, list] = {}  # of digests that came twice: the least place so far, and how often they came
+        self.lately = np.zeros(slots, np.int64)
+        self.held = held
+
+    def _again(self, digest: np.ndarray) -> np.ndarray:
+        """Whether distinct digests are among those seen lately, which they are from now on."""
+        slot = (digest.view(np.uint64) % np.uint64(len(self.lately))).astype(np.int64)
+        known = self.lately[slot] == digest
+        self.lately[slot] = digest
+        return known
+
+    def _forget(self) -> None:
+        """Keeps the more frequent half; their counts halve, so that later ones can rise."""
+        by = sorted(self.least.items(), key=lambda x: -x[1][1])[: self.held // 2]
+        self.least = {d: [place, n // 2] for d, (place, n) in by}
 
     def kinds(self, owner: np.ndarray, made: np.ndarray, docs: list[tuple]) -> np.ndarray:
         """The kind of each row (digest, start, end, words, no), -1 for one to leave out; docs: (no id, id, text key) of each text."""
@@ -121,15 +137,22 @@ class _Task:
         kind[~in_text & (no - words < no[first])] = _OVERLAPPING
         kind[~in_text & (no == np.r_[-1, no[:-1]])] = -1  # the same text again
         begin = np.flatnonzero(new)
-        for i, d, n in zip(begin.tolist(), digest[begin].tolist(), np.diff(np.r_[begin, len(at)]).tolist()):
+        size, again = np.diff(np.r_[begin, len(at)]), self._again(digest[begin])
+        for i, d, n, known in zip(begin.tolist(), digest[begin].tolist(), size.tolist(), (again | (size > 1)).tolist()):
             was = self.least.get(d)
-            if was is None and n < 4:
+            if was is None and not known:
                 continue
             here = (*order[doc[i]], int(no[i]))
-            if was is None or here < was:
-                self.least[d] = here
+            if was is None:
+                self.least[d] = [here, n]
+                continue
+            was[1] += n
+            if here < was[0]:
+                was[0] = here
             else:
-                kind[i] = _FIRST if here != was else -1
+                kind[i] = _FIRST if here != was[0] else -1
+        if len(self.least) > self.held:
+            self._forget()
         out = np.empty(len(at), np.int64)
         out[at] = kind
         return out
@@ -158,6 +181,31 @@ def _scan(least_unit: int, window: int):
     return run
 
 
+def _place():
+    """What occurrences are ranked by."""
+    return F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
+
+
+def _found(docs: DataFrame, doc_id: str, text: str, least_unit: int, window: int) -> DataFrame:
+    """(doc_id, tk, digest, no, start, end, words, kind): the spans and lines of all texts."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
+    name = rows.schema["doc_id"].dataType.simpleString()
+    columns = f"doc_id {name}, tk long, digest long, no int, start int, end int, words int, kind byte"
+    return spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan(least_unit, window), columns)
+
+
+def keepers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, window: int = 12) -> DataFrame:
+    """(digest, doc_id, tk, start, end, words, n): of each line (words below 0) or span that stands in several places, the place that keeps it, and how many they are (a repeated row counts once a batch).
+
+    An aggregation with map-side combine: no group comes together. A removed part is a
+    run of such spans, whose digests spans() gives.
+    """
+    found = _found(docs, doc_id, text, least_unit, window)
+    per = found.groupBy("digest").agg(F.min_by(F.struct("doc_id", "tk", "start", "end", "words"), _place()).alias("kept"), F.count("*").alias("n"))
+    return per.filter("n > 1").select("digest", "kept.*", "n")
+
+
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_unit: int = 6, least_run: int | None = 20, window: int = 12) -> DataFrame:
     """One row per removed part: doc_id, tk (text key), start, end, words.
 
@@ -168,14 +216,10 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     letter or digit (rules, brackets) stay. Null and empty texts have no parts, an empty
     table gives an empty one, and no text is too long. Offsets are code points.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("tk", F.xxhash64("text"))
-    name = rows.schema["doc_id"].dataType.simpleString()
-    columns = f"doc_id {name}, tk long, digest long, no int, start int, end int, words int, kind byte"
-    found = spread(rows).select("doc_id", "text", "tk").mapInArrow(_scan(least_unit, window), columns)
+    found = _found(docs, doc_id, text, least_unit, window)
     if least_run is None:
         found = found.filter("words < 0")
-    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "tk", "no")
+    place = _place()
     # a window over one exchange: a join would run the Python stage, or write its rows, and shuffle them twice
     dealt = F.when(F.col("kind") == _LEAST, F.lit(0)).otherwise(F.xxhash64("tk", "no")).alias("deal")
     found = found.select("*", dealt)

@@ -117,6 +117,41 @@ def test_a_common_line_gives_few_rows_a_task():
     assert (task.kinds(np.arange(100), made, [(False, -100, 1)] * 100) == -1).all()
 
 
+@pytest.mark.parametrize("every", [2, 50, 200, 400, 5000])
+def test_rows_of_a_digest_that_its_group_gets(every):
+    """A line in every so many rows, among lines of each row's own: a task sends it a few times, not once a batch."""
+    rng = np.random.default_rng(every)
+    task, sent, rows, batches = linededup._Task(), 0, 512, 60
+    for b in range(batches):
+        at = np.arange(rows) + b * rows
+        own = rng.integers(1, 1 << 62, (rows, 20))
+        own[at % every == 0, 0] = 5
+        made = np.zeros((rows * 20, 5), np.int64)
+        made[:, 0], made[:, 2], made[:, 3], made[:, 4] = own.ravel(), 9, -1, np.tile(np.arange(20), rows)
+        kinds = task.kinds(np.repeat(np.arange(rows), 20), made, [(False, int(i), int(i)) for i in at])
+        sent += int(((made[:, 0] == 5) & (kinds == linededup._LEAST)).sum())
+    assert 1 <= sent <= 5
+
+
+def test_a_task_remembers_a_bounded_number():
+    task = linededup._Task(slots=1 << 10, held=64)
+    for b in range(50):
+        digests = np.concatenate([np.full(30, 7), np.repeat(np.arange(1000 + 100 * b, 1100 + 100 * b), 2)])
+        made = np.zeros((len(digests), 5), np.int64)
+        made[:, 0], made[:, 4] = digests, np.arange(len(digests))
+        kinds = task.kinds(np.arange(len(digests)), made, [(False, b * 1000 + i, 1) for i in range(len(digests))])
+        assert len(task.least) <= 64 and 7 in task.least
+        assert b == 0 or not (kinds[:30] == linededup._LEAST).any()
+
+
+def test_keepers(spark):
+    line = "a line that stands in all of them"
+    df = spark.createDataFrame([(i, f"{line}\nown {i}", "x") for i in (3, 1, 2)] + [(None, line, "x"), (4, None, "x")], "doc_id long, text string, digest string").repartition(2)
+    rows = [(r["doc_id"], r["words"], r["n"]) for r in linededup.keepers(df).collect()]
+    assert rows == [(1, -8, 4)]
+    assert linededup.keepers(df.limit(0)).count() == 0
+
+
 def windows_seen_before(docs, size=6):
     """Of each document, by doc_id, the words that stand in a window of size words which an earlier document or place has."""
     seen, out = set(), {}
