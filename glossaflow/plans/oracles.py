@@ -189,9 +189,9 @@ STAYING = r"""cases AS (SELECT type, bool_or(letter = 'upper' AND place = 'inner
           bool_or(letter = 'upper') AS any_upper, bool_or(letter = 'lower') AS any_lower FROM placed GROUP BY type),
 asked AS (SELECT DISTINCT before, before_ending, type, letter FROM pairs WHERE before_ending IN ('stop', 'ellipsis')),
 facts AS (SELECT asked.*, before_ending = 'ellipsis' AS dots, coalesce(k.abbreviation, false) OR before_ending = 'ellipsis' AS short, coalesce(c.collocation, false) AS drawn, coalesce(o.starter, false) AS opens,
-          before_ending <> 'ellipsis' AND regexp_matches(before, '^\p{L}$') AS initial, before_ending <> 'ellipsis' AND before = '##number##' AS number, any_lower,
-          CASE WHEN letter = 'upper' AND any_lower AND NOT upper_inner THEN 1 WHEN letter = 'lower' AND (any_upper OR NOT lower_first) THEN 0 END AS begins
-          FROM asked LEFT JOIN kinds k ON k.type = before LEFT JOIN together c ON c.before = asked.before AND c.type = asked.type LEFT JOIN openers o ON o.type = asked.type LEFT JOIN cases ON cases.type = asked.type),
+          before_ending <> 'ellipsis' AND regexp_matches(asked.before, '^\p{L}$') AS initial, before_ending <> 'ellipsis' AND asked.before = '##number##' AS number, any_lower,
+          CASE WHEN asked.letter = 'upper' AND any_lower AND NOT upper_inner THEN 1 WHEN asked.letter = 'lower' AND (any_upper OR NOT lower_first) THEN 0 END AS begins
+          FROM asked LEFT JOIN kinds k ON k.type = asked.before LEFT JOIN together c ON c.before = asked.before AND c.type = asked.type LEFT JOIN openers o ON o.type = asked.type LEFT JOIN cases ON cases.type = asked.type),
 verdict AS (SELECT *, CASE WHEN drawn AND NOT dots THEN false WHEN short AND NOT initial AND coalesce(begins, 0) = 1 THEN true WHEN short AND NOT initial AND letter = 'upper' AND opens THEN true
             WHEN (initial OR number) AND begins = 0 THEN false WHEN initial AND begins IS NULL AND letter = 'upper' AND NOT any_lower THEN false ELSE NOT short END AS ends FROM facts),
 staying AS (SELECT before, before_ending, type, letter FROM verdict WHERE NOT ends)"""
@@ -254,9 +254,9 @@ list_filter(list_transform(regexp_extract_all({pre('text')}, '[^.!?]*[.!?]|[^.!?
         "sentences_dot_fallback": f"""SELECT conv_id, turn, unnest(range(1, len(s) + 1)) AS sent_no, unnest(s) || '.' AS sentence FROM (SELECT conv_id, turn,
 list_filter(list_transform(string_split({pre('text')}, '.'), lambda x: regexp_replace(x, '^{ANY}+|{ANY}+$', '', 'g')), lambda x: x <> '') AS s FROM conversations)""",
         "punkt_neighbours": f"{AROUND} SELECT type, ending, letter, before, before_ending, n FROM pairs WHERE before_ending IN ('stop', 'ellipsis', 'hard')",
-        "punkt_types": f"{AROUND} SELECT type, stops, plain, round(score, 4) AS score, abbreviation FROM kinds",
-        "punkt_collocations": f"{AROUND} SELECT before, type, together, round(score, 3) AS score, collocation FROM together",
-        "punkt_starters": f"{AROUND} SELECT type, at_first, total, round(score, 3) AS score, starter FROM openers",
+        "punkt_types": f"{AROUND} SELECT type, stops, plain, round(score, 4) + 0.0 AS score, abbreviation FROM kinds",
+        "punkt_collocations": f"{AROUND} SELECT before, type, together, round(score, 3) + 0.0 AS score, collocation FROM together",
+        "punkt_starters": f"{AROUND} SELECT type, at_first, total, round(score, 3) + 0.0 AS score, starter FROM openers",
         "sentences_punkt": f"""{AROUND}, {STAYING},
 t AS (SELECT near.*, lead(type) OVER w AS next_type, lead(letter) OVER w AS next_letter FROM near WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 e AS (SELECT t.*, t.ending = 'hard' OR (t.ending IN ('stop', 'ellipsis') AND staying.type IS NULL) AS cut FROM t

@@ -107,7 +107,7 @@ def punkt_neighbours(spark, d):
 
 
 def punkt_types(spark, d):
-    return punkt.types(_around(spark, d)).withColumn("score", F.round("score", 4))
+    return punkt.types(_around(spark, d)).withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
 def _kinds(spark, d):
@@ -116,11 +116,11 @@ def _kinds(spark, d):
 
 
 def punkt_collocations(spark, d):
-    return punkt.collocations(*_kinds(spark, d)).withColumn("score", F.round("score", 3))
+    return punkt.collocations(*_kinds(spark, d)).withColumn("score", F.round("score", 3) + F.lit(0.0))
 
 
 def punkt_starters(spark, d):
-    return punkt.starters(punkt.in_context(*_kinds(spark, d))).withColumn("score", F.round("score", 3))
+    return punkt.starters(punkt.in_context(*_kinds(spark, d))).withColumn("score", F.round("score", 3) + F.lit(0.0))
 
 
 def sentences_punkt(spark, d):
