@@ -34,11 +34,12 @@ def analyze(docs: DataFrame, keys: Sequence[str], vocab: DataFrame, tagger: Toke
     tagger adds label_ids to encoded sentences (see :mod:`.taggers`). err is 1 where a
     token is not in the vocabulary, 2 where a sentence has no token: such sentences have
     no tokens, labels and entities, and the others go on. Entities have places in bytes.
-    All steps from the encoding on share one exchange by keys and sentence.
+    Sentences are encoded inside their rows; all later steps share one exchange by keys
+    and sentence.
     """
     by = [*keys, "sent_no"]
     sents = annotate.sentences(docs, keys, text, clean)
-    encoded = tokens.encode(tokens.subtokens(annotate.units(sents), vocab, keys), keys, max_len)
+    encoded = tokens.encode_sentences(sents, vocab, keys, max_len)
     tagged = tagger(encoded.filter("err = 0"))
     words = merged_words(tagged, keys, unknown).join(sents, by)
     slice_ = F.substring(F.encode("sentence", "UTF-8"), F.col("start_b").cast("int") + 1, (F.col("end_b") - F.col("start_b")).cast("int")).cast("string")

@@ -33,8 +33,11 @@ def sentences(df: DataFrame, keys: Sequence[str], text: str = "text", clean: boo
     return listed.select(*keys, F.posexplode("sentences").alias("_at", "sentence")).select(*keys, (F.col("_at") + 1).alias("sent_no"), "sentence")
 
 
-def unit_list(s: Column) -> Column:
-    """The units of a sentence in order, as (unit, start_c, end_c, start_b, end_b): places in code points and bytes, ends exclusive."""
+def unit_list(s: Column, most: int | None = None) -> Column:
+    """The units of a sentence in order (the first most, if that is given), as (unit, start_c, end_c, start_b, end_b): places in code points and bytes, ends exclusive."""
+
+    def some(c: Column) -> Column:
+        return F.slice(c, 1, most) if most else c
 
     def placed(x):
         def starts(size):
@@ -47,7 +50,7 @@ def unit_list(s: Column) -> Column:
         c, b = z["c"] + F.length(z["g"]), z["b"] + F.octet_length(z["g"])
         return F.struct(z["u"].alias("unit"), c.alias("start_c"), (c + F.length(z["u"])).alias("end_c"), b.alias("start_b"), (b + F.octet_length(z["u"])).alias("end_b"))
 
-    return let(F.struct(T.unit_gaps(s).alias("g"), T.units(s).alias("u")), placed)
+    return let(F.struct(some(T.unit_gaps(s)).alias("g"), some(T.units(s)).alias("u")), placed)
 
 
 def units(df: DataFrame, sentence: str = "sentence") -> DataFrame:

@@ -12,7 +12,7 @@ from .. import schema
 from ..functions import text as T
 from ..functions.arrays import running
 from ..session import ship, stored
-from . import trie
+from . import annotate, trie
 from .order import numbered
 
 #: A vocabulary above this is not broadcast to every worker, but joined.
@@ -67,13 +67,10 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFra
     """
     spark = words.sparkSession
     ship(spark)
-    ids = vocab.groupBy("token").agg(F.max("id").alias("id"))
     if vocab.count() > MAX_VOCABULARY:
-        return _joined_pieces(words, ids, word)
-    table = ids.toArrow()
-    known = dict(zip(table.column("token").to_pylist(), table.column("id").to_pylist()))
-    name = trie.publish(spark, known.items())
-    unknown = ["[UNK]"], [known.get("[UNK]", schema.UNK)]
+        return _joined_pieces(words, vocab.groupBy("token").agg(F.max("id").alias("id")), word)
+    name, unknown_id = _published(vocab)
+    unknown = ["[UNK]"], [unknown_id]
 
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shared = trie.opened(name)
@@ -85,6 +82,19 @@ def wordpiece(words: DataFrame, vocab: DataFrame, word: str = "word") -> DataFra
     return words.withColumn("_split", F.pandas_udf(split, _SPLIT)(F.col(word))).select(*words.columns, "_split.*")
 
 
+def _published(vocab: DataFrame) -> tuple[str, int]:
+    """The name of a vocabulary's trie for workers, and the id of [UNK]; once for each stored vocabulary."""
+    key = (vocab.sparkSession.sparkContext.applicationId, getattr(vocab, "_glossaflow_path", None))
+    if key[1] is None or key not in _tries:
+        table = vocab.groupBy("token").agg(F.max("id").alias("id")).toArrow()
+        known = dict(zip(table.column("token").to_pylist(), table.column("id").to_pylist()))
+        _tries[key] = trie.publish(vocab.sparkSession, known.items()), known.get("[UNK]", schema.UNK)
+    return _tries[key]
+
+
+_tries: dict[tuple, tuple[str, int]] = {}
+
+
 def _joined_pieces(words: DataFrame, ids: DataFrame, word: str) -> DataFrame:
     """As wordpiece(), by a join of each word's candidate pieces with the vocabulary: no task holds more than a word's own pieces."""
 
@@ -132,6 +142,72 @@ def subtokens(units: DataFrame, vocab: DataFrame, keys: Sequence[str]) -> DataFr
     return rows.select(*keys, "sent_no", "unit_no", "piece_no", "p.*")
 
 
+_PIECES = "array<array<struct<token:string,id:bigint,b:bigint,end_b:bigint,c:bigint,end_c:bigint>>>"
+
+
+def _piece_lists(name: str, unknown: int):
+    """An Arrow function: the words of sentences to each word's pieces, with places in the word, null for [UNK]. A batch's distinct words are split once."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(words: pa.Array) -> pa.Array:
+        shared = trie.opened(name)
+        coded = words.flatten().dictionary_encode()
+        rows, sizes = [], []
+        for w in coded.dictionary.to_pylist():
+            found = shared.split(w) if w and len(w.encode("utf-8", "surrogatepass")) <= MAX_WORD_BYTES else None
+            sizes.append(len(found[0]) if found else 1)
+            if found is None or found[0] == ["[UNK]"]:
+                rows.append(("[UNK]", found[1][0] if found else unknown, None, None, None, None))
+                continue
+            b = c = 0
+            for k, (token, i) in enumerate(zip(*found)):
+                plain = token[2:] if k else token
+                rows.append((token, i, b, b + len(plain.encode("utf-8", "surrogatepass")), c, c + len(plain)))
+                b, c = rows[-1][3], rows[-1][5]
+        size = np.array(sizes, np.int64)
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        many = size[at] if len(at) else np.zeros(0, np.int64)
+        where = pa.array(np.repeat((np.cumsum(size) - size)[at] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())) if len(at) else np.zeros(0, np.int64))
+        kinds = [pa.string(), *[pa.int64()] * 5]
+        columns = [pa.array(list(c), k).take(where) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+        pieces = pa.StructArray.from_arrays(columns, ["token", "id", "b", "end_b", "c", "end_c"])
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pieces)
+        lengths = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), inner)
+
+    run.__annotations__ = {"words": pa.Array, "return": pa.Array}
+    return run
+
+
+def encode_sentences(sents: DataFrame, vocab: DataFrame, keys: Sequence[str], max_len: int = 128, pad: bool = True) -> DataFrame:
+    """encode() of sentences (keys, sent_no, sentence), inside their rows: no unit leaves its sentence, and nothing is shuffled.
+
+    Only the first max_len - 2 units of a sentence are split, as each gives a token or
+    more. Above MAX_VOCABULARY tokens the units go as rows, by subtokens().
+    """
+    spark = sents.sparkSession
+    ship(spark)
+    if vocab.count() > MAX_VOCABULARY:
+        return encode(subtokens(annotate.units(sents).drop("sentence"), vocab, keys), keys, max_len, pad)
+    name, unknown = _published(vocab)
+    split = F.arrow_udf(_piece_lists(name, unknown), _PIECES).asNondeterministic()  # worked out once, before any filter on its results
+    df = sents.select(*keys, "sent_no", annotate.unit_list(F.col("sentence"), max_len - 2).alias("_u"))
+    df = df.withColumn("_p", split(F.transform("_u", lambda u: T.cyrillic_lower(u["unit"]))))
+
+    def token(u):
+        return lambda x: F.struct(
+            x["token"].alias("token"),
+            x["id"].alias("id"),
+            F.when(x["b"].isNull(), 1).otherwise(0).alias("err"),
+            *[(u[f"start_{k}"] + x[f]).alias(n) for n, k, f in (("start_b", "b", "b"), ("end_b", "b", "end_b"), ("start_c", "c", "c"), ("end_c", "c", "end_c"))],
+            F.when(x["token"].startswith("##"), 0).otherwise(1).cast("long").alias("new"),
+        )
+
+    rows = F.flatten(F.zip_with("_u", "_p", lambda u, p: F.transform(p, token(u))))
+    return _framed(df.select(*keys, "sent_no", F.slice(rows, 1, max_len - 2).alias("s")), [*keys, "sent_no"], max_len, pad)
+
+
 def encode(subs: DataFrame, keys: Sequence[str], max_len: int = 128, pad: bool = True) -> DataFrame:
     """(keys, sent_no, tokens, input_ids, word_ids, and places of each token, err, attention_mask).
 
@@ -142,7 +218,11 @@ def encode(subs: DataFrame, keys: Sequence[str], max_len: int = 128, pad: bool =
     at = F.row_number().over(Window.partitionBy(*by).orderBy("unit_no", "piece_no"))
     df = subs.withColumn("_at", at).filter(F.col("_at") <= max_len - 2)
     row = F.struct("_at", "token", "id", "err", "start_b", "end_b", "start_c", "end_c", F.when(F.col("token").startswith("##"), 0).otherwise(1).cast("long").alias("new"))
-    df = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("s"))
+    return _framed(df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("s")), by, max_len, pad)
+
+
+def _framed(df: DataFrame, by: Sequence[str], max_len: int, pad: bool) -> DataFrame:
+    """The arrays of encode() from a sentence's tokens s."""
 
     def framed(middle, first, last, fill):
         whole = F.concat(F.array(first), middle, F.array(last))

@@ -355,7 +355,7 @@ def subtoken_offsets(spark, d):
 
 
 def _encoded(spark, d):
-    return tokens.encode(_subs(spark, d), TURN)
+    return tokens.encode_sentences(_sents(spark, d), _vocab(spark, d), TURN)
 
 
 def encode_padded(spark, d):
@@ -373,7 +373,7 @@ def decode_roundtrip(spark, d):
 
 
 def encode_unpadded(spark, d):
-    df = tokens.encode(_subs(spark, d), TURN, pad=False)
+    df = tokens.encode_sentences(_sents(spark, d), _vocab(spark, d), TURN, pad=False)
     return df.select(*TURN, long("sent_no").alias("sent_no"), long(F.size("input_ids")).alias("n"), F.array_join("input_ids", " ").alias("ids"))
 
 

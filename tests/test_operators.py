@@ -321,6 +321,22 @@ def test_from_text_to_units_in_linear_time(spark, text):
     assert time.time() - began < 5
 
 
+def test_encoding_in_the_row(spark):
+    """The same arrays as by rows of units, long sentences and unknown words included, without an exchange by key."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["привет", "Мир", "как", "дела", "zz", "при", "при-вет", ",", "а" * 60]) for _ in range(rng.choice([0, 1, 5, 40, 300]))) for _ in range(60)]
+    texts += ["?", "a" * 5000, ""]
+    words = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "при", "##вет", ",", "мир", "как", "дела", "?", "!", "-", "вет"]
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate(words)] + [("мир", 40)], "token string, id long")
+    sents = annotate.sentences(spark.createDataFrame(list(enumerate(texts)), "doc int, text string"), ["doc"])
+    for more in ({}, {"pad": False, "max_len": 20}):
+        by_rows = tokens.encode(tokens.subtokens(annotate.units(sents).drop("sentence"), vocab, ["doc"]), ["doc"], **more)
+        in_row = tokens.encode_sentences(sents, vocab, ["doc"], **more)
+        a, b = (df.select(*by_rows.columns).orderBy("doc", "sent_no").collect() for df in (by_rows, in_row))
+        assert a == b and len(a) > 40
+    assert "hashpartitioning" not in in_row._jdf.queryExecution().executedPlan().toString()
+
+
 def test_split_descends_to_a_few_hashes(spark):
     """The same cut however few hashes one task may order, also with keys that repeat."""
     for rows in ([(i % 700,) for i in range(3000)], [(7,)] * 500 + [(i,) for i in range(20)]):
