@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, small_batches, spread
+from .common import free_name, small_batches, spread, stored
 
 #: Bytes that belong to words after lower-casing A-Z; all others become spaces.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -148,6 +148,8 @@ def contamination(
     state = free_name(docs, "hit_state")
     out = spread(docs)
     for k, windows in enumerate(_blocks(benchmark, item_id, item_text, width, block_words)):
+        if k:  # what the blocks so far found is written, so a worker holds one block at a time
+            out = stored(out, "decontaminate-found")
         scan = _scanner(sc.broadcast(windows), k == 0)
         out = out.withColumn(state, scan(F.col(f"`{text}`"), *([F.col(state)] if k else [])))
     s = F.col(state)
