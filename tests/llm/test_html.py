@@ -114,6 +114,36 @@ def test_deep_and_long_pages(page):
         assert peak < 60e6 and np.allclose(whole, html.model().label([some])[0], atol=1e-4)
 
 
+ARTICLE = "<article><h1>Short news</h1><p>A short article with one paragraph, that says little but says it well.</p><p>And one more of the kind.</p></article>"
+GOLD = ["Short news", "A short article with one paragraph, that says little but says it well.", "And one more of the kind."]
+SIDE = "<aside><h3>Related</h3>" + "".join(f"<p>Related story number {i}: the mayor of the town spoke at length about plans for a new harbour and its costs.</p>" for i in range(6)) + "</aside>"
+FORM = "<form action=x>" + "".join(f"<p>Please tell us about question {i}, and be as complete as you can in your answer to us.</p>" for i in range(5)) + "<button>Send</button></form>"
+
+
+@pytest.mark.parametrize(
+    "page, gold",
+    [
+        (f"<html><body>{ARTICLE}{SIDE}</body></html>", GOLD),
+        (f"<html><body>{SIDE}{ARTICLE}</body></html>", GOLD),
+        (f"<html><body>{ARTICLE}{FORM}</body></html>", GOLD),
+        (f"<html><body><form id=aspnet>{ARTICLE}</form></body></html>", GOLD),
+        (
+            "<body><article><h1>T is here</h1><p>Some words of an article that goes on a while.</p><p>1<br>2</p><p>More words of it follow here, as they do.</p><p>1234 5678</p></article><footer>c 2020</footer></body>",
+            ["T is here", "Some words of an article that goes on a while.", "1 2", "More words of it follow here, as they do.", "1234 5678"],
+        ),
+        (
+            "<body><article><h1>T is here</h1><p>Some words of an article that goes on a while.</p><form><p>Enter your email to get our letter.</p><button>Go</button></form><p>More words of it follow here, as they do.</p></article></body>",
+            ["T is here", "Some words of an article that goes on a while.", "More words of it follow here, as they do."],
+        ),
+        ("<article><p>one two three words of it</p><!--><p>two is here as well, with words</p><p>three is the last of these</p></article>", ["one two three words of it", "two is here as well, with words", "three is the last of these"]),
+        ("<article><p>one two three words of it</p><!-- a --!><p>two is here as well, with words</p><p>three is the last of these</p></article>", ["one two three words of it", "two is here as well, with words", "three is the last of these"]),
+    ],
+)
+def test_hand_written_pages(page, gold):
+    """Sidebars that outweigh the article, page-wide forms, forms amid it, figures, odd comments."""
+    assert html.main_texts([page], html.model()) == [gold]
+
+
 def test_main_text():
     (got,) = html.main_texts([PAGE], html.model())
     assert got == [
