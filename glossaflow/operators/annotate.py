@@ -39,15 +39,17 @@ def unit_list(s: Column, most: int | None = None) -> Column:
     def some(c: Column) -> Column:
         return F.slice(c, 1, most) if most else c
 
-    def placed(x):
-        def starts(size):
-            return running(F.zip_with(x["g"], x["u"], lambda g, u: (size(g) + size(u)).cast("long")))
+    def size(c: Column) -> Column:
+        """Code points and bytes of a text in one long, whose sums hold the sums of both."""
+        return F.shiftleft(F.length(c).cast("long"), 32) + F.octet_length(c)
 
-        zipped = F.arrays_zip(x["g"].alias("g"), x["u"].alias("u"), starts(F.length).alias("c"), starts(F.octet_length).alias("b"))
-        return F.transform(zipped, place)
+    def placed(x):
+        starts = running(F.zip_with(x["g"], x["u"], lambda g, u: size(g) + size(u)))
+        return F.transform(F.arrays_zip(x["g"].alias("g"), x["u"].alias("u"), starts.alias("at")), place)
 
     def place(z):
-        c, b = z["c"] + F.length(z["g"]), z["b"] + F.octet_length(z["g"])
+        c = F.shiftright(z["at"], 32) + F.length(z["g"])
+        b = z["at"].bitwiseAND(F.lit((1 << 32) - 1)) + F.octet_length(z["g"])
         return F.struct(z["u"].alias("unit"), c.alias("start_c"), (c + F.length(z["u"])).alias("end_c"), b.alias("start_b"), (b + F.octet_length(z["u"])).alias("end_b"))
 
     return let(F.struct(some(T.unit_gaps(s)).alias("g"), some(T.units(s)).alias("u")), placed)

@@ -111,3 +111,19 @@ def test_strings(spark):
     assert one(spark, "x" * 91, " y ", s=T.snippet(s)) == [["x" * 90 + "..."], ["y"]]
     assert one(spark, "B-SUBJECT", "I-X-Y", "O", a=T.base_label(s), b=T.metric_class(s)) == [["SUBJECT", "SUBJECT"], ["X-Y", "X"], ["O", "O"]]
     assert one(spark, "B-ADDITION", "O", "Z", a=T.type_name(s), b=T.role(T.type_name(s))) == [["дополнение", "доп."], ["другое", "др."], ["Z", "Z"]]
+
+
+def test_running_values(spark):
+    from glossaflow.functions.arrays import running
+
+    rng = random.Random(12)
+    rows = [(n, [rng.randrange(9) for _ in range(n)]) for n in (0, 1, 2, 31, 32, 33, 1000, 20_000)]
+    df = spark.createDataFrame(rows, "n int, v array<long>")
+    got = df.select("n", running(F.col("v")).alias("s"), running(F.col("v"), lambda a, b: F.greatest(a, b), 3).alias("m")).collect()
+    for (n, v), r in zip(rows, sorted(got, key=lambda r: r["n"])):
+        total, most, sums, tops = 0, 3, [], []
+        for x in v:
+            sums.append(total)
+            tops.append(most)
+            total, most = total + x, max(most, x)
+        assert (r["n"], r["s"], r["m"]) == (n, sums, tops)
